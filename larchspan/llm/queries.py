@@ -44,7 +44,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Verdict of the quality rules: the conjunction of all rules, whatever order the cascade runs them in.
 ORACLE["op4_quality_cascade"] = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT k, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT k, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM d),
 u AS (SELECT k, i, ws[i] AS word, ws[i:i+7] AS win, len(ws) AS n FROM w, unnest(range(1, len(ws) + 1)) AS r(i)),
 v AS (SELECT k, i, word, n, lag(word) OVER (PARTITION BY k ORDER BY i) AS before, count(*) OVER (PARTITION BY k, win) AS c FROM u),
 x AS (SELECT *, max(CASE WHEN i <= n - 7 AND c > 1 THEN i END) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM v),
