@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larchspan.llm import html_extract, pii_crf, quality_cascade, secret_scan
+from larchspan.llm import html_extract, language_id, mixing, packing, pii_crf, quality_cascade, secret_scan, simhash_gray
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +42,28 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(_documents(spark, sf_dir))
+    return got.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").cast("long").alias("copies"), F.col("mix_copy").cast("long").alias("copy"), "mix_key", "text")
+
+
+@_query
+def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_duplicates(_documents(spark, sf_dir))
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_documents(spark, sf_dir))
+
+
+@_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+ORACLE["op7_mixing"] = mixing.oracle()
 #: Verdict of the quality rules: the conjunction of all rules, whatever order the cascade runs them in.
 ORACLE["op4_quality_cascade"] = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
