@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchspan.llm import html_extract, language_id, mixing, packing, pii_crf, quality_cascade, secret_scan, simhash_gray
+from larchspan.llm import exact_dedup, html_extract, language_id, mixing, packing, pii_crf, quality_cascade, secret_scan, simhash_gray
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+@_query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(_documents(spark, sf_dir))
@@ -63,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+ORACLE["op6_exact_dedup"] = exact_dedup.ORACLE
 ORACLE["op7_mixing"] = mixing.oracle()
 #: Verdict of the quality rules: the conjunction of all rules, whatever order the cascade runs them in.
 ORACLE["op4_quality_cascade"] = r"""
