@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larchspan.llm import exact_dedup, html_extract, language_id, mixing, packing, pii_crf, quality_cascade, secret_scan, simhash_gray
+from larchspan.llm import exact_dedup, html_extract, language_id, lm_bloom, mixing, packing, pii_crf, quality_cascade, secret_scan, simhash_gray
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@_query
+def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.score(_documents(spark, sf_dir))
+
+
 @_query
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find(_documents(spark, sf_dir))

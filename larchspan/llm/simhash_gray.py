@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchspan.llm.common import id_and_text, lower_words, rows
+from larchspan.llm.common import lower_words, rows
+from larchspan.llm.exact_dedup import BROADCAST_ROWS, located
 from larchspan.llm.graph import components
 from larchspan.session import checkpointed
 
@@ -57,15 +58,20 @@ def fingerprint(words: list[bytes], size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n - size + 1).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row, and the columns named in `carry`; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches):
-            got = np.array([fingerprint(lower_words(t), shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got)], ["doc_id", "fp"])
+        for batch in batches:
+            at = 0
+            for ids, texts in rows(iter([batch])):
+                got = np.array([fingerprint(lower_words(t), shingle) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got), *(batch.column(2 + i).slice(at, len(ids)) for i in range(len(carry)))], ["doc_id", "fp", *carry])
+                at += len(ids)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *carry)
+    kinds = dict(chosen.dtypes)
+    return chosen.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -217,21 +223,32 @@ def links(nodes: DataFrame, most: int = 2, hot: int = 4096, chunk: int = 64) ->
     return buckets.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def _roots(prints: DataFrame, most: int, hot: int) -> DataFrame:
+    """fp, least (smallest doc_id), n, root (the fingerprint that stands for the component)."""
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(nodes.select("fp"), most, hot))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, hot: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, component_size of every row of `docs`."""
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(nodes.select("fp"), most, hot))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    placed = _roots(prints, most, hot)
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     classes = placed.join(heads, "root").select("fp", "component_id", "component_size")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
-    """One row of each component, with all columns of `docs`: the row with the component's smallest identifier (of
-    rows that repeat it, one); of components without identifiers all rows stay."""
-    placed = near_duplicates(docs, id_col, text_col, shingle, most)
-    heads = placed.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col].cast("long") == F.col("_head"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, hot: int = 4096) -> DataFrame:
+    """One row of each component, with all columns of `docs`: that of the smallest identifier (a null one is larger
+    than any; of rows that repeat it, the first in its file)."""
+    placed = located(docs)
+    prints = checkpointed(fingerprints(placed, id_col, text_col, shingle, ("_file", "_row")))
+    with_root = prints.join(_roots(prints, most, hot).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
+    heads = with_root.groupBy("root").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = with_root.join(heads, "root").where((F.col("_file") != F.col("head._file")) | (F.col("_row") != F.col("head._row")))
+    gone = checkpointed(several.select(F.col("_file").alias("_gone_file"), F.col("_row").alias("_gone_row")))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return placed.join(gone, (F.col("_file") == F.col("_gone_file")) & (F.col("_row") == F.col("_gone_row")), "left_anti").select(*docs.columns)
