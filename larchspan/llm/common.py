@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ class Numbering(defaultdict):
         """Word numbers of all texts one after another, and where each text begins (one more entry at the end)."""
         starts = np.zeros(len(tokens) + 1, np.int64)
         np.cumsum([len(t) for t in tokens], out=starts[1:])
-        flat = np.fromiter((self[w] for t in tokens for w in t), np.int64, int(starts[-1]))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(tokens)), np.int64, int(starts[-1]))
         return flat, starts
 
 

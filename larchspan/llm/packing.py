@@ -20,6 +20,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from larchspan.llm.common import id_and_text, rows
 
 WINDOW = 2048
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,7 +50,7 @@ class _Words(dict):
 class WordTokens:
     """Token ids of UTF-8 texts by way of a bounded table of words: each word's ids are a slice of one array."""
 
-    def __init__(self, path: str, end_id: int | None = 1, most_known: int = 250_000) -> None:
+    def __init__(self, path: str, end_id: int | None = 1, most_known: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -56,51 +59,63 @@ class WordTokens:
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = {p: self._slow([p])[0] for p in (b".", b",")}
         self._reset()
 
     def _reset(self) -> None:
-        self.words = _Words()
+        self.words, self.tails = _Words(), {}
         self.pool, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _slow(self, some: list[bytes]) -> list[np.ndarray]:
-        got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+    def _slow(self, some: list[str]) -> list[np.ndarray]:
+        got = self.tok.encode_batch_fast(some, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
-    def _bare(self, some: list[bytes]) -> dict[bytes, np.ndarray]:
+    def _encode(self, some: list[str]) -> list[np.ndarray]:
         """Words of letters only are one piece each: many are encoded in one go and parted at their end-of-word ids."""
-        plain, rest, texts, out = [], [], [], {}
-        for w in some:
-            s = w.decode("utf-8", "replace")
-            if s.isalpha() and (len(w) == len(s) or (unicodedata.is_normalized("NFC", s) and all(len(c.lower()) == 1 and c.lower().isalpha() for c in s))):
-                plain.append(w)
-                texts.append(s)
-            else:
-                rest.append(w)
+        low = [s.lower() for s in some]
+        plain = [i for i, (s, t) in enumerate(zip(some, low, strict=True)) if t.isalpha() and s.isalpha() and len(t) == len(s) and (s.isascii() or unicodedata.is_normalized("NFC", s))]
+        out: list = [None] * len(some)
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(texts[at : at + 512])], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([" ".join([some[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(part) and len(ids) == stops[-1]:
-                out.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-            else:
-                rest += part
+                a = 0
+                for i, b in zip(part, stops, strict=True):
+                    out[i] = ids[a:b]
+                    a = b
+        rest = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(rest), 1024):
-            out.update(zip(rest[at : at + 1024], self._slow(rest[at : at + 1024]), strict=True))
+            part = rest[at : at + 1024]
+            for i, x in zip(part, self._slow([some[i] for i in part]), strict=True):
+                out[i] = x
         return out
 
     def _learn(self) -> None:
-        """Ids of the new words; a full stop or comma after an ASCII letter is a piece of its own."""
-        new, marks = self.words.new, self.marks
-        cut = [w[:-1] if w[-1:] in marks and w[:-1].isalpha() else w for w in new]
-        wanted, old = dict.fromkeys(cut), {}
-        for w in list(wanted):
-            if (k := dict.get(self.words, w)) is not None and k < len(self.at):
-                old[w] = self.pool[self.at[k] : self.at[k] + self.size[k]]
-                del wanted[w]
-        got = self._bare(list(wanted)) | old
-        parts = [got[c] if len(c) == len(w) else np.concatenate([got[c], marks[w[-1:]]]) for w, c in zip(new, cut, strict=True)]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        """Ids of the new words.  ASCII marks after a letter or digit at a word's end are a piece of their own."""
+        new = self.words.new
+        texts = [w.decode("utf-8", "replace") for w in new]
+        cores = [s.rstrip(MARKS) for s in texts]
+        cores = [c if c and (c[-1].isalpha() or c[-1] in "0123456789") else s for c, s in zip(cores, texts, strict=True)]
+        tails = [s[len(c) :] for c, s in zip(cores, texts, strict=True)]
+        fresh = [x for x in dict.fromkeys(tails) if x and x not in self.tails]
+        self.tails.update(zip(fresh, self._slow(fresh), strict=True))
+        known = {}
+        old, n_old = dict.get, len(self.at)
+        for w, c, t in zip(new, cores, tails, strict=True):
+            if t and (k := old(self.words, w[: -len(t)])) is not None and k < n_old:
+                known[c] = self.pool[self.at[k] : self.at[k] + self.size[k]]
+        wanted = [c for c in dict.fromkeys(cores) if c not in known]
+        known.update(zip(wanted, self._encode(wanted), strict=True))
+        parts, size = [], np.empty(len(new), np.int64)
+        for i, (c, t) in enumerate(zip(cores, tails, strict=True)):
+            x = known[c]
+            parts.append(x)
+            if t:
+                y = self.tails[t]
+                parts.append(y)
+                size[i] = len(x) + len(y)
+            else:
+                size[i] = len(x)
         self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, *parts])
@@ -113,7 +128,7 @@ class WordTokens:
         split = [t.lower().split() if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         number = self.words
-        ids = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if number.new:
             self._learn()
         n = self.size[ids]
@@ -168,7 +183,7 @@ def _tokens(path: str, end_id: int, most_known: int) -> WordTokens:
     return WordTokens(path, end_id, most_known)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 1, most_known: int = 250_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 1, most_known: int = 500_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if tokenizer is None:
         import public_tokenizers
