@@ -1,4 +1,4 @@
 """The catalogue of queries: name -> Spark callable, and name -> SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from larchspan.plans import baseline, detection, indices, masks  # noqa: F401
+from larchspan.plans.kit import ORACLE, QUERIES  # noqa: F401
