@@ -88,7 +88,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, orbit, ts, lin: positive linear values per unit and orbit."""
     e = table(spark, sf_dir, "events")
-    return e.where(F.col("value") > 0).groupBy(F.col("user_id").alias("uid"), F.col("event_type").alias("orbit"), "ts").agg(F.max("value").alias("lin"))
+    return e.where(F.col("value") > 0).groupBy(F.col("user_id").alias("uid"), F.col("event_type").alias("orbit"), F.col("ts").cast("timestamp").alias("ts")).agg(F.max("value").alias("lin"))
 
 
 def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
