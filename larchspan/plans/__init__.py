@@ -1,4 +1,4 @@
 """The catalogue of queries: name -> Spark callable, and name -> SQL."""
 
-from larchspan.plans import baseline, detection, indices, masks, objects, radar, signal  # noqa: F401
+from larchspan.plans import baseline, climate, detection, indices, masks, objects, radar, signal, validation  # noqa: F401
 from larchspan.plans.kit import ORACLE, QUERIES  # noqa: F401
