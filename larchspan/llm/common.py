@@ -20,7 +20,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def rows(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def rows(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Lists of identifiers and of UTF-8 texts (None where null) from batches whose first two columns are these.
 
     A list ends once its texts exceed `limit` bytes, so memory depends on one text at most beyond that.
