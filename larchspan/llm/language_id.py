@@ -104,7 +104,7 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 14, width: int = 12, epochs: int = 6, batch: int = 64, rate: float = 0.8, seed: int = 3, keep_share: float = 0.999, words_each: int = 60) -> LanguageModel | None:
+def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 14, width: int = 12, epochs: int = 6, least_steps: int = 360, batch: int = 64, rate: float = 0.8, seed: int = 3, keep_share: float = 0.999, words_each: int = 60) -> LanguageModel | None:
     """Stochastic gradient descent over texts; each step sees `words_each` random words of each text of the batch."""
     languages = sorted(set(langs))
     if not languages:
@@ -118,6 +118,7 @@ def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 14, width: i
     y = np.array([languages.index(x) for x in langs])
     order = r.permutation(len(texts))
     held, fit = order[: len(texts) // 5], order[len(texts) // 5 :]
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(fit) // batch))))
     n_l = len(languages)
     emb, w, b = r.normal(0, 0.1, (buckets, width)), r.normal(0, 0.1, (width, n_l)), np.zeros(n_l)
     for epoch in range(epochs):
