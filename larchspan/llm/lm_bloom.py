@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchspan.llm.common import Numbering, crc_of_id, lower_words, mix64, per_row, rows, text_bytes
+from larchspan.llm.common import Numbering, crc_of_id, lower_words, mix64, rows
 from larchspan.session import checkpointed
 
 END = b"\n"  # no word holds a line feed
@@ -197,6 +197,7 @@ class _Block:
         for s in split:
             s.append(END)
         self.ids, self.starts = self.number.ids(split)
+        del split
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.starts))
         self.first = np.zeros(len(self.ids), bool)
         self.first[self.starts[:-1]] = True
@@ -239,8 +240,9 @@ class Settings:
     base: float = 1.5
     bits: float = 6.5
     hashes: int = 4
-    block_bytes: int = 12 << 20
-    bucket_tokens: int = 1_500_000
+    block_bytes: int = 6 << 20
+    score_bytes: int = 2 << 20
+    bucket_tokens: int = 800_000
     broadcast_bytes: int = 192 << 20
     fit_rows: int = 400
     fit_chars: int = 20_000
@@ -410,13 +412,13 @@ def score_block(b: _Block, model: Model, word_level: np.ndarray, pair_level: np.
     context = contexts(b, model, word)
     share, single = model.probability(context, word, pair_level)
     w = model.weights[context]
-    return per_row(np.log10(w * share + (1 - w) * single), b.starts)
+    return np.add.reduceat(np.log10(w * share + (1 - w) * single), b.starts[:-1])  # every text has a token at least
 
 
-def _sample(all_rows: DataFrame, settings: Settings) -> _Block | None:
+def _sample(all_rows: DataFrame, total: int, settings: Settings) -> _Block | None:
     """A bounded sample of training rows as one block, drawn by a hash over all of them; for the weights only."""
     able = all_rows.where(~F.col("held_out"))
-    step = max(1, able.count() // settings.fit_rows)
+    step = max(1, total // settings.fit_rows)
     columns = ("doc_id", F.substring("text", 1, settings.fit_chars).alias("text"), "fingerprint", "held_out")
     got = able.where(F.pmod("fingerprint", F.lit(step)) == 0).select(*columns).limit(2 * settings.fit_rows).collect() or able.select(*columns).limit(settings.fit_rows).collect()
     if not got:
@@ -446,7 +448,7 @@ _SCORED = "fingerprint long, doc_id long, score double"
 def _scorer(held, model: Model, settings: Settings):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: LogFrequencyFilter = held.value
-        for b in blocks(batches, settings.block_bytes):
+        for b in blocks(batches, settings.score_bytes):
             keys, inverse = np.unique(b.pairs(), return_inverse=True)
             got = score_block(b, model, found.read(0, word_keys(b.hashes)), found.read(1, keys)[inverse])
             yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in b.keys], pa.int64()), pa.array([k[0] for k in b.keys], pa.int64()), pa.array(got)], ["fingerprint", "doc_id", "score"])
@@ -505,7 +507,7 @@ def _levels_of(b: _Block, answers: list[tuple[int, int, bytes]]) -> tuple[np.nda
 def _scored_by_shuffle(all_rows: DataFrame, segments: DataFrame, model: Model, settings: Settings, buckets: int) -> DataFrame:
     """The scores without a broadcast: blocks ask the segments for levels by a shuffle, then meet their answers."""
     spark = all_rows.sparkSession
-    b = _sample(all_rows, settings)
+    b = _sample(all_rows, int(model.start_count), settings)
     if b is not None:
         asked = spark.createDataFrame(_requests(b, "fit", buckets), _COUNTED)
         got = [(r["kind"], r["bucket"], bytes(r["body"])) for r in _answers(asked, segments, settings.hashes).collect()]
@@ -537,19 +539,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     spark = docs.sparkSession
     all_rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     all_rows = all_rows.withColumn("fingerprint", F.xxhash64("doc_id", "text")).withColumn("held_out", crc_of_id() % 10 == 0)
-    n_rows, n_bytes = text_bytes(all_rows)
+    n_rows, n_bytes, n_starts = all_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     buckets = max(1, math.ceil((n_bytes / 6 + n_rows) / settings.bucket_tokens))
     counted = all_rows.mapInArrow(_count(settings, buckets), _COUNTED)
     reduced = checkpointed(counted.groupBy("kind", "bucket").applyInArrow(_reduce(settings), _REDUCED))
     n_train, n_distinct, filter_bytes = reduced.where("kind >= 10").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     base = reduced.where("kind in (0, 2)").select("kind", "block", "body").groupBy("block").applyInArrow(_gather, _BASE)
-    n_starts = all_rows.where("not held_out").count()
     model = Model(int(n_train), int(n_distinct), float(n_starts), np.zeros(128), settings.base)
     if filter_bytes <= settings.broadcast_bytes:
-        got = reduced.where("kind >= 10").select("kind", "bucket", "body").collect()
-        found = assemble([(r["kind"] - 10, r["bucket"], bytes(r["body"])) for r in got], buckets, settings)
-        del got
-        b = _sample(all_rows, settings)
+        found = assemble(reduced.where("kind >= 10").select("kind", "bucket", "body").collect(), int(filter_bytes), buckets, settings)
+        b = _sample(all_rows, int(model.start_count), settings)
         model.weights = _fitted(b, model, *((found.read(0, word_keys(b.hashes)), found.read(1, b.pairs())) if b else (None, None)))
         held = spark.sparkContext.broadcast(found)
         scored = all_rows.mapInArrow(_scorer(held, model, settings), _SCORED)
@@ -561,12 +560,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_train).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
 
 
-def assemble(segments: list[tuple[int, int, bytes]], buckets: int, settings: Settings) -> LogFrequencyFilter:
-    """The filter from its segments (order, bucket, bytes)."""
+def assemble(segments: list, total: int, buckets: int, settings: Settings) -> LogFrequencyFilter:
+    """The filter of `total` bytes from its segments (kind 10 or 11, bucket, body); takes the list apart as it goes."""
     starts, sizes = [np.zeros(buckets, np.int64) for _ in range(2)], [np.zeros(buckets, np.int64) for _ in range(2)]
-    at, parts = 0, []
-    for order, bucket, body in sorted(segments, key=lambda x: x[:2]):
-        starts[order][bucket], sizes[order][bucket] = at, 8 * len(body)
+    data, at = np.zeros(total, np.uint8), 0
+    while segments:
+        kind, bucket, body = segments.pop()
+        data[at : at + len(body)] = np.frombuffer(body, np.uint8)
+        starts[kind - 10][bucket], sizes[kind - 10][bucket] = at, 8 * len(body)
         at += len(body)
-        parts.append(np.frombuffer(body, np.uint8))
-    return LogFrequencyFilter(np.concatenate(parts) if parts else np.zeros(0, np.uint8), starts, sizes, settings.hashes, settings.base)
+    return LogFrequencyFilter(data, starts, sizes, settings.hashes, settings.base)
