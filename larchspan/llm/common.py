@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -49,12 +48,12 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class Numbering(defaultdict):
-    """Word -> 0, 1, 2 ... in order of first use."""
+class Numbering(dict):
+    """Word -> 0, 1, 2 ... in order of first use.  (Holds no reference to itself, so it is freed as soon as it is dropped.)"""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.default_factory = self.__len__
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
     def ids(self, tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts one after another, and where each text begins (one more entry at the end)."""
