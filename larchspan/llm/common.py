@@ -69,6 +69,15 @@ def per_row(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def small_batches(docs: DataFrame, most: int = 1000) -> DataFrame:
+    """`docs`, after its session's Arrow batches are set to at most `most` rows: a batch of whole texts is held by the
+    executor and by the Python worker at once."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= most:
+        conf.set(name, str(most))
+    return docs
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows of `docs` and bytes of their texts, to size partitions by."""
     n, b = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from larchspan.llm.common import id_and_text, rows
+from larchspan.llm.common import id_and_text, rows, small_batches
 
 WINDOW = 2048
 #: ASCII characters that are neither letters, digits nor white space.
@@ -50,7 +50,7 @@ class _Words(dict):
 class WordTokens:
     """Token ids of UTF-8 texts by way of a bounded table of words: each word's ids are a slice of one array."""
 
-    def __init__(self, path: str, end_id: int | None = 1, most_known: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int | None = 1, most_known: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -183,7 +183,7 @@ def _tokens(path: str, end_id: int, most_known: int) -> WordTokens:
     return WordTokens(path, end_id, most_known)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 1, most_known: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 1, most_known: int = 300_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if tokenizer is None:
         import public_tokenizers
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for ids, texts in rows(batches, 3 << 20):
+        for ids, texts in rows(batches, 2 << 20):
             for doc, got in zip(ids, tok.encode(texts), strict=True):
                 total = len(got)
                 full = total - total % window
@@ -243,4 +243,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             size -= want
         yield flush()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_and_text(small_batches(docs), id_col, text_col).mapInArrow(run, SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchspan.llm.common import WHITE, Numbering, id_and_text, mix64, per_row, rows, words
+from larchspan.llm.common import WHITE, Numbering, id_and_text, mix64, per_row, rows, small_batches, words
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -168,7 +168,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 [x.split()[0] for x in SCHEMA.split(", ")],
             )
 
-    return chosen.mapInArrow(run, SCHEMA)
+    return small_batches(chosen).mapInArrow(run, SCHEMA)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, order: list[str] | None = None) -> DataFrame:
@@ -181,4 +181,4 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
             good = [~cascade(Texts(texts), order) for _, texts in rows(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at).cast(pa.string())], ["i", "t"])]))]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchspan.llm.common import lower_words, rows
+from larchspan.llm.common import lower_words, rows, small_batches
 from larchspan.llm.exact_dedup import BROADCAST_ROWS, located
 from larchspan.operators.graph import components
 from larchspan.session import checkpointed
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got), *(batch.column(2 + i).slice(at, len(ids)) for i in range(len(carry)))], ["doc_id", "fp", *carry])
                 at += len(ids)
 
-    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *carry)
+    chosen = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *carry)
     kinds = dict(chosen.dtypes)
     return chosen.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
 
