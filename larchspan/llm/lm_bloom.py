@@ -12,7 +12,7 @@ interpolates pairs with words, P(w|v) = l * c(vw)/c(v) + (1-l) * P(w); the weigh
 fitted by leave-one-out expectation maximisation on a bounded sample of training rows (`fit_rows`, `fit_chars` of each).
 
 The exact base score needs the exact count of every token, over a vocabulary that grows with the corpus: each block
-sends its distinct tokens with the places where they occur to the tokens' buckets, which send back sums per document.
+sends its distinct tokens to the tokens' buckets, which send back their totals; where they occur stays with the block.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are scored alike (and counted each); with no
 training rows all counts are 0; an empty table gives an empty result; a null doc_id hashes as an empty text.
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchspan.llm.common import Numbering, crc_of_id, lower_words, mix64, rows
+from larchspan.llm.common import Numbering, crc_of_id, lower_words, mix64, rows, small_batches
 from larchspan.session import checkpointed
 
 END = b"\n"  # no word holds a line feed
@@ -252,8 +252,9 @@ _COUNTED = "kind int, bucket int, block string, body binary"
 
 
 def _count(settings: Settings, buckets: int):  # noqa: ANN202
-    """Per block its rows (kind 2, sent along in any bucket); per bucket its words with their places (kind 0) and the
-    counts of its pairs (kind 1)."""
+    """Per block its rows and where its words occur in them (kind 2, sent along in any bucket); per bucket its distinct
+    words (kind 0) and pairs (kind 1) with their training counts.  A word sends one entry a block, however often it
+    occurs, so frequent words do not fill a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -262,7 +263,7 @@ def _count(settings: Settings, buckets: int):  # noqa: ANN202
             train_row = np.array([not k[2] for k in b.keys], bool)
             train = train_row[b.row]
             out: list[tuple] = []
-            # words: by bucket, then token number; each word's places as (row, times)
+            # words by bucket, then token number; their places (row, times) in this order stay with the block's own rows
             bucket = bucket_of(word_keys(b.hashes), buckets).astype(np.int64)
             place, times = np.unique(b.ids * np.int64(len(b.keys)) + b.row, return_counts=True)
             word, row = np.divmod(place, len(b.keys))
@@ -270,23 +271,18 @@ def _count(settings: Settings, buckets: int):  # noqa: ANN202
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             n_places = np.bincount(word, minlength=len(b.tokens))
-            first = np.cumsum(n_places) - n_places
-            for k in range(buckets):
+            n = n_places[by]
+            at = np.repeat((np.cumsum(n_places) - n_places)[by] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            for k in np.unique(bucket).tolist():
                 own = by[edges[k] : edges[k + 1]]
-                if not len(own):
-                    continue
-                n = n_places[own]
-                at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                names = np.frombuffer(b"\x00".join([b.tokens[i] for i in own.tolist()]), np.uint8)
-                lengths = np.fromiter((len(b.tokens[i]) for i in own.tolist()), "<u4", len(own))
-                out.append((0, k, name, _zip(names, lengths, total[own].astype("<u4"), n.astype("<u4"), row[at].astype("<u4"), times[at].astype("<u4"))))
+                out.append((0, k, name, _zip(np.frombuffer(b" ".join([b.tokens[i] for i in own.tolist()]), np.uint8), total[own].astype("<u4"))))
             keys, counts = np.unique(b.pairs()[train], return_counts=True)
             edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1).astype(U64))
             out += [(1, k, name, _pack(keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]])) for k in range(buckets) if edges[k] < edges[k + 1]]
             n_tokens = np.diff(b.starts)
             doc = np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8")
             null = np.array([k[0] is None for k in b.keys], np.uint8)
-            out.append((2, (part + serial) % buckets, name, _zip(doc, null, np.array([k[1] for k in b.keys], "<i8"), (~train_row).astype(np.uint8), n_tokens.astype("<i8"))))
+            out.append((2, (part + serial) % buckets, name, _zip(doc, null, np.array([k[1] for k in b.keys], "<i8"), (~train_row).astype(np.uint8), n_tokens.astype("<i8"), n.astype("<u4"), row[at].astype("<u4"), times[at].astype("<u4"))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["kind", "bucket", "block", "body"])
 
     return run
@@ -296,7 +292,7 @@ _REDUCED = "kind int, bucket int, block string, body binary, n_train long, n_dis
 
 
 def _reduce(settings: Settings):  # noqa: ANN202
-    """Of a words' bucket: each block's sums per row (kind 0) and the words' segment (kind 10).  Of a pairs' bucket: the
+    """Of a words' bucket: each block's words' totals (kind 0) and the words' segment (kind 10).  Of a pairs' bucket: the
     pairs' segment (kind 11).  Blocks' rows pass through."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -319,21 +315,14 @@ def _reduce(settings: Settings):  # noqa: ANN202
         else:
             number, totals, held = Numbering(), np.zeros(0, np.int64), []
             for name, body in zip(table.column("block").to_pylist(), bodies, strict=True):
-                names, lengths, total, *_ = _unzip(body.as_py(), "u1", "<u4", "<u4", "<u4", "<u4", "<u4")
-                ids = np.fromiter(map(number.__getitem__, names.tobytes().split(b"\x00")), np.int64, len(lengths))
+                names, total = _unzip(body.as_py(), "u1", "<u4")
+                ids = np.fromiter(map(number.__getitem__, names.tobytes().split(b" ")), np.int64, len(total))
                 if len(number) > len(totals):
                     totals = np.concatenate([totals, np.zeros(max(len(number) - len(totals), len(totals)), np.int64)])
                 totals[ids] += total
                 held.append((name, ids))
             totals = totals[: len(number)]
-            log = np.log10(totals + 0.1)
-            for (name, ids), body in zip(held, bodies, strict=True):
-                *_, n, row, times = _unzip(body.as_py(), "u1", "<u4", "<u4", "<u4", "<u4", "<u4")
-                word = np.repeat(ids, n)
-                at, inverse = np.unique(row, return_inverse=True)
-                part = np.bincount(inverse, weights=log[word] * times)
-                seen = np.bincount(inverse, weights=(totals[word] > 0) * times.astype(np.float64)).astype("<u4")
-                out.append((0, bucket, name, _zip(at.astype("<u4"), part.astype("<f8"), seen), 0, 0))
+            out += [(0, bucket, name, _zip(totals[ids].astype("<i8")), 0, 0) for name, ids in held]
             met = totals > 0
             keys = word_keys(token_hashes(list(number))[met])
             order = np.argsort(keys, kind="stable")
@@ -347,27 +336,18 @@ _BASE = "doc_id long, fingerprint long, held_out boolean, n_tokens long, n_known
 
 
 def _gather(key: tuple, table: pa.Table) -> pa.Table:
-    """The rows of one block with their sums over all buckets."""
-    own = None
-    parts = []
-    for kind, body in zip(table.column("kind").to_pylist(), table.column("body"), strict=True):
+    """The rows of one block: their words' totals, sent back by all buckets, at the places where the words occur."""
+    own, totals = None, []
+    for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body"), strict=True):
         if kind == 2:
-            own = _unzip(body.as_py(), "<i8", "u1", "<i8", "u1", "<i8")
+            own = _unzip(body.as_py(), "<i8", "u1", "<i8", "u1", "<i8", "<u4", "<u4", "<u4")
         else:
-            parts.append(body.as_py())
-    doc, null, mark, held, n = own
-    logs, known = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
-    # sums in the order of their own values, so that they do not depend on the order of arrival
-    rows_, sums = [], []
-    for p in parts:
-        at, part, seen = _unzip(p, "<u4", "<f8", "<u4")
-        rows_.append(at)
-        sums.append(part)
-        known[at] += seen
-    if rows_:
-        at, part = np.concatenate(rows_), np.concatenate(sums)
-        order = np.lexsort((part, at))
-        logs = np.bincount(at[order], weights=part[order], minlength=len(doc))
+            totals.append((bucket, _unzip(body.as_py(), "<i8")[0]))
+    doc, null, mark, held, n, n_places, row, times = own
+    total = np.concatenate([t for _, t in sorted(totals, key=lambda x: x[0])])
+    each = np.repeat(total, n_places)
+    logs = np.bincount(row, weights=np.log10(each + 0.1) * times, minlength=len(doc))
+    known = np.bincount(row, weights=(each > 0) * times.astype(np.float64), minlength=len(doc)).astype(np.int64)
     return pa.table({"doc_id": pa.array(doc, mask=null.astype(bool)), "fingerprint": mark, "held_out": pa.array(held.astype(bool)), "n_tokens": n, "n_known": known, "log_sum": logs})
 
 
@@ -474,8 +454,9 @@ def _asked(settings: Settings, buckets: int):  # noqa: ANN202
             name = f"{part}.{serial}"
             doc = np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8")
             null = np.array([k[0] is None for k in b.keys], np.uint8)
-            texts = b"\x00".join(b" ".join(b.tokens[i] for i in b.ids[x : y - 1].tolist()) for x, y in zip(b.starts[:-1].tolist(), b.starts[1:].tolist(), strict=True))
-            body = _zip(doc, null, np.array([k[1] for k in b.keys], "<i8"), np.diff(b.starts).astype("<u4"), np.frombuffer(texts.replace(b"\x00", b" "), np.uint8))
+            kept = b.ids[b.ids != b.number[END]]
+            text = np.frombuffer(b" ".join([b.tokens[i] for i in kept.tolist()]), np.uint8)
+            body = _zip(doc, null, np.array([k[1] for k in b.keys], "<i8"), np.diff(b.starts).astype("<u4"), text)
             out = [*_requests(b, name, buckets), (3, 0, name, body)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["kind", "bucket", "block", "body"])
 
@@ -537,14 +518,14 @@ def _scored_by_shuffle(all_rows: DataFrame, segments: DataFrame, model: Model, s
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
     spark = docs.sparkSession
-    all_rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    all_rows = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     all_rows = all_rows.withColumn("fingerprint", F.xxhash64("doc_id", "text")).withColumn("held_out", crc_of_id() % 10 == 0)
     n_rows, n_bytes, n_starts = all_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     buckets = max(1, math.ceil((n_bytes / 6 + n_rows) / settings.bucket_tokens))
     counted = all_rows.mapInArrow(_count(settings, buckets), _COUNTED)
     reduced = checkpointed(counted.groupBy("kind", "bucket").applyInArrow(_reduce(settings), _REDUCED))
     n_train, n_distinct, filter_bytes = reduced.where("kind >= 10").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
-    base = reduced.where("kind in (0, 2)").select("kind", "block", "body").groupBy("block").applyInArrow(_gather, _BASE)
+    base = reduced.where("kind in (0, 2)").select("kind", "bucket", "block", "body").groupBy("block").applyInArrow(_gather, _BASE)
     model = Model(int(n_train), int(n_distinct), float(n_starts), np.zeros(128), settings.base)
     if filter_bytes <= settings.broadcast_bytes:
         found = assemble(reduced.where("kind >= 10").select("kind", "bucket", "body").collect(), int(filter_bytes), buckets, settings)

@@ -22,7 +22,7 @@ LONG = "lorem ipsum dolor " * 60_000
 #: Nulls in every column, empty and blank texts, repeated rows, a very long text, text that is not Latin.
 ODD = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", "a", 3), (4, "one two", "en", None, 7), (4, "one two", "en", None, 7),
-    (None, "no id here", None, "b", 10), (None, None, None, None, None), (5, LONG, "en", "a", len(LONG)), (6, "日本語 テキスト 😀", "ja", "c", 11), (7, "0123456789 " * 50, "en", "a", 550),
+    (None, "no id here", None, "b", 10), (None, None, None, None, None), (5, LONG, "en", "a", len(LONG)), (6, "日本語 テキスト 😀", "ja", "c", 11), (7, "0123456789 " * 50, "en", "a", 550), (8, "a\x00b \x00 c", "en", "a", 7),
 ]
 
 
@@ -139,6 +139,8 @@ def test_packed_counts_round_trip():
 
 def test_scoring_odd_rows(odd, none):
     got = lm_bloom.score(odd).collect()
+    again = lm_bloom.score(odd, settings=replace(lm_bloom.Settings(), broadcast_bytes=0)).collect()
+    assert sorted(round(r.score, 6) for r in got) == sorted(round(r.score, 6) for r in again)
     assert len(got) == len(ODD) and all(r.n_tokens >= 1 and r.score <= 0 and math.isfinite(r.score) for r in got)
     assert lm_bloom.score(none).count() == 0
 
