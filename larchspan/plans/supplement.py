@@ -402,12 +402,12 @@ def platform_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey % 3 AS owner, CAST(year(o_orderdate) AS BIGINT) AS year, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS final, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS open FROM orders GROUP BY 1, 2
+SELECT o_orderkey % 3 AS owner, CAST(year(o_orderdate) AS BIGINT) AS year, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 8) AS final, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 8) AS open FROM orders GROUP BY 1, 2
 """)
 def official_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by owner and year, indicators as columns."""
     p = domain.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 3).alias("owner"), F.year("o_orderdate").cast("long").alias("year")).pivot("o_orderstatus", ["F", "O"]).agg(F.avg("o_totalprice"))
-    return p.select("owner", "year", F.round("F", 4).alias("final"), F.round("O", 4).alias("open"))
+    return p.select("owner", "year", F.round("F", 8).alias("final"), F.round("O", 8).alias("open"))
 
 
 @query("""
