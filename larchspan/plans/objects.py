@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larchspan.functions.stats import clip
 from larchspan.operators import geometry, raster
-from larchspan.plans.kit import GRID, OBJECTS, query
+from larchspan.plans.kit import OBJECTS, query
 from larchspan.sources import domain
 
 #: Cells of the larger test grid: one per part, marked by size.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larchspan.operators import raster
 from larchspan.plans.kit import OBJECTS, REFS, query
-from larchspan.plans.objects import CELLS, labelled, labelled_sql
+from larchspan.plans.objects import labelled, labelled_sql
 from larchspan.sources import domain
 
 LABELS = """lbl AS (SELECT l_partkey AS px, CAST(year(l_shipdate) AS BIGINT) AS year, CAST(max(l_linenumber) % 4 AS BIGINT) AS agent FROM lineitem GROUP BY 1, 2)"""
