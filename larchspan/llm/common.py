@@ -78,12 +78,6 @@ def small_batches(docs: DataFrame, most: int = 1000) -> DataFrame:
     return docs
 
 
-def text_bytes(docs: DataFrame) -> tuple[int, int]:
-    """Rows of `docs` and bytes of their texts, to size partitions by."""
-    n, b = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    return int(n), int(b or 0)
-
-
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the identifier written as text; a null identifier counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
