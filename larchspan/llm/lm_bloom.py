@@ -7,9 +7,10 @@ the first miss.  The filter is built bucket by bucket as segments of `bits` bits
 and neither counts nor segments are pruned.
 
 Scoring: the segments are broadcast while they are at most `broadcast_bytes` together; beyond that the distinct n-grams
-of each block go to the segments by a shuffle and come back with their levels, with the same results.  The model
-interpolates pairs with words, P(w|v) = l * c(vw)/c(v) + (1-l) * P(w); the weight l depends on the level of c(v) and is
-fitted by leave-one-out expectation maximisation on a bounded sample of training rows (`fit_rows`, `fit_chars` of each).
+of each block go to the segments by a shuffle and come back with their levels, with the same results.  The levels at all
+places are kept, a byte each, compressed.  The model interpolates pairs with words, P(w|v) = l * c(vw)/c(v) + (1-l) * P(w); the
+weight l depends on the level of c(v) and is fitted by leave-one-out expectation maximisation over every place of every
+training row: it needs no more than how often each (level of v, level of w, level of vw) occurs, which is a small table.
 
 The exact base score needs the exact count of every token, over a vocabulary that grows with the corpus: each block
 sends its distinct tokens to the tokens' buckets, which send back their totals; where they occur stays with the block.
@@ -244,8 +245,6 @@ class Settings:
     score_bytes: int = 2 << 20
     bucket_tokens: int = 800_000
     broadcast_bytes: int = 192 << 20
-    fit_rows: int = 400
-    fit_chars: int = 20_000
 
 
 _COUNTED = "kind int, bucket int, block string, body binary"
@@ -372,66 +371,98 @@ class Model:
         return share, np.maximum(self.word_probability(word), 1e-300)
 
 
-def fit_weights(model: Model, context: np.ndarray, word: np.ndarray, pair: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Leave-one-out expectation maximisation of the weight of each context level."""
+def fit_weights(model: Model, context: np.ndarray, word: np.ndarray, pair: np.ndarray, times: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Leave-one-out expectation maximisation of the weight of each context level, over levels that occur `times` times."""
     a, b = model.probability(context, word, pair, 1.0)
     w = np.full(128, 0.3)
     w[0] = 0.0
-    n = np.bincount(context, minlength=128)
+    n = np.bincount(context, weights=times, minlength=128)
     for _ in range(rounds):
         p = w[context] * a
-        got = np.bincount(context, weights=p / (p + (1 - w[context]) * b), minlength=128)
+        got = np.bincount(context, weights=times * p / (p + (1 - w[context]) * b), minlength=128)
         w = np.where(n > 0, (got + 0.3) / (n + 1), 0.3)
         w[0] = 0.0
     return np.clip(w, 0.0, 0.999)
 
 
-def score_block(b: _Block, model: Model, word_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, from the levels of each distinct token and of the pair at each place."""
-    word = word_level[b.ids]
-    context = contexts(b, model, word)
-    share, single = model.probability(context, word, pair_level)
-    w = model.weights[context]
-    return np.add.reduceat(np.log10(w * share + (1 - w) * single), b.starts[:-1])  # every text has a token at least
+def contexts(starts: np.ndarray, model: Model, word: np.ndarray) -> np.ndarray:
+    """Level of the token before each place; before a text's first token stands the start of a training text."""
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[starts] = int(levels(np.array([model.start_count]), model.base)[0]) if model.start_count else 0
+    return context
 
 
-def _sample(all_rows: DataFrame, total: int, settings: Settings) -> _Block | None:
-    """A bounded sample of training rows as one block, drawn by a hash over all of them; for the weights only."""
-    able = all_rows.where(~F.col("held_out"))
-    step = max(1, total // settings.fit_rows)
-    columns = ("doc_id", F.substring("text", 1, settings.fit_chars).alias("text"), "fingerprint", "held_out")
-    got = able.where(F.pmod("fingerprint", F.lit(step)) == 0).select(*columns).limit(2 * settings.fit_rows).collect() or able.select(*columns).limit(settings.fit_rows).collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["fingerprint"], r["doc_id"] is None, r["doc_id"] or 0))
-    return _Block([(r["doc_id"], r["fingerprint"], r["held_out"]) for r in got], [r["text"].encode() if r["text"] else b"" for r in got])
+_LEVELLED = "body binary"
 
 
-def _fitted(b: _Block | None, model: Model, word_level: np.ndarray | None, pair_level: np.ndarray | None) -> np.ndarray:
-    if b is None:
-        return np.zeros(128)
-    word = word_level[b.ids]
-    return fit_weights(model, contexts(b, model, word), word, pair_level)
+def _levelled(doc: np.ndarray, null: np.ndarray, mark: np.ndarray, held: np.ndarray, n: np.ndarray, word: np.ndarray, pair: np.ndarray) -> bytes:
+    """Rows of a block with the levels of the token and of the pair at each of their places."""
+    return _zip(doc, null, mark, held, n.astype("<u4"), word, pair)
 
 
-def contexts(b: _Block, model: Model, word: np.ndarray) -> np.ndarray:
-    """Level of the token before each place; before a text's first token stands the start of a training text."""
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[b.first] = int(levels(np.array([model.start_count]), model.base)[0]) if model.start_count else 0
-    return context
+def _opened(body: bytes) -> list[np.ndarray]:
+    doc, null, mark, held, n, word, pair = _unzip(body, "<i8", "u1", "<i8", "u1", "<u4", "u1", "u1")
+    n = n.astype(np.int64)
+    return [doc, null, mark, held, n, np.cumsum(n) - n, word, pair]  # every text has a token at least
 
 
-_SCORED = "fingerprint long, doc_id long, score double"
+def _rows_of(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, null, fingerprint, held_out of a block's rows."""
+    return np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8"), np.array([k[0] is None for k in b.keys], np.uint8), np.array([k[1] for k in b.keys], "<i8"), np.array([bool(k[2]) for k in b.keys], np.uint8)
 
 
-def _scorer(held, model: Model, settings: Settings):  # noqa: ANN001, ANN202
+def _leveller(held, settings: Settings):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: LogFrequencyFilter = held.value
         for b in blocks(batches, settings.score_bytes):
             keys, inverse = np.unique(b.pairs(), return_inverse=True)
-            got = score_block(b, model, found.read(0, word_keys(b.hashes)), found.read(1, keys)[inverse])
-            yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in b.keys], pa.int64()), pa.array([k[0] for k in b.keys], pa.int64()), pa.array(got)], ["fingerprint", "doc_id", "score"])
+            word, pair = found.read(0, word_keys(b.hashes))[b.ids], found.read(1, keys)[inverse]
+            yield pa.RecordBatch.from_arrays([pa.array([_levelled(*_rows_of(b), np.diff(b.starts), word, pair)], pa.binary())], ["body"])
+
+    return run
+
+
+def _triples(model: Model):  # noqa: ANN202
+    """How often each (context level, word level, pair level) occurs in the training rows of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 21, np.int64)
+        for batch in batches:
+            for body in batch.column(0):
+                *_, held, n, starts, word, pair = _opened(body.as_py())
+                code = (contexts(starts, model, word).astype(np.int64) << 14) | (word.astype(np.int64) << 7) | pair
+                total += np.bincount(code[np.repeat(held == 0, n)], minlength=1 << 21)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
+
+    return run
+
+
+def _fitted(levelled: DataFrame, model: Model) -> np.ndarray:
+    """The weights from all training rows; the table is bounded by the levels, whatever the number of rows."""
+    got = sorted((r[0], r[1]) for r in levelled.mapInArrow(_triples(model), "code long, n long").groupBy("code").agg(F.sum("n")).collect())
+    if not got:
+        return np.zeros(128)
+    code, times = np.array(got, np.int64).T
+    return fit_weights(model, code >> 14, (code >> 7) & 127, code & 127, times.astype(np.float64))
+
+
+_SCORED = "fingerprint long, doc_id long, score double"
+
+
+def _scorer(model: Model):  # noqa: ANN202
+    """log10 probability of each text, from the levels at its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                doc, null, mark, _, _, starts, word, pair = _opened(body.as_py())
+                context = contexts(starts, model, word)
+                share, single = model.probability(context, word, pair)
+                w = model.weights[context]
+                got = np.add.reduceat(np.log10(w * share + (1 - w) * single), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(got)], ["fingerprint", "doc_id", "score"])
 
     return run
 
@@ -452,11 +483,9 @@ def _asked(settings: Settings, buckets: int):  # noqa: ANN202
         part = TaskContext.get().partitionId()
         for serial, b in enumerate(blocks(batches, settings.block_bytes)):
             name = f"{part}.{serial}"
-            doc = np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8")
-            null = np.array([k[0] is None for k in b.keys], np.uint8)
             kept = b.ids[b.ids != b.number[END]]
             text = np.frombuffer(b" ".join([b.tokens[i] for i in kept.tolist()]), np.uint8)
-            body = _zip(doc, null, np.array([k[1] for k in b.keys], "<i8"), np.diff(b.starts).astype("<u4"), text)
+            body = _zip(*_rows_of(b), np.diff(b.starts).astype("<u4"), text)
             out = [*_requests(b, name, buckets), (3, 0, name, body)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["kind", "bucket", "block", "body"])
 
@@ -485,34 +514,28 @@ def _levels_of(b: _Block, answers: list[tuple[int, int, bytes]]) -> tuple[np.nda
     return out[0], out[1]
 
 
-def _scored_by_shuffle(all_rows: DataFrame, segments: DataFrame, model: Model, settings: Settings, buckets: int) -> DataFrame:
-    """The scores without a broadcast: blocks ask the segments for levels by a shuffle, then meet their answers."""
-    spark = all_rows.sparkSession
-    b = _sample(all_rows, int(model.start_count), settings)
-    if b is not None:
-        asked = spark.createDataFrame(_requests(b, "fit", buckets), _COUNTED)
-        got = [(r["kind"], r["bucket"], bytes(r["body"])) for r in _answers(asked, segments, settings.hashes).collect()]
-        model.weights = _fitted(b, model, *_levels_of(b, got))
+def _levelled_by_shuffle(all_rows: DataFrame, segments: DataFrame, settings: Settings, buckets: int) -> DataFrame:
+    """The levels without a broadcast: blocks ask the segments for them by a shuffle, then meet their answers."""
     asked = checkpointed(all_rows.mapInArrow(_asked(settings, buckets), _COUNTED))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         answers, own = [], None
         for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body"), strict=True):
             if kind == 3:
-                own = _unzip(body.as_py(), "<i8", "u1", "<i8", "<u4", "u1")
+                own = _unzip(body.as_py(), "<i8", "u1", "<i8", "u1", "<u4", "u1")
             else:
                 answers.append((kind, bucket, body.as_py()))
-        doc, null, mark, n, text = own
+        *row, n, text = own
         tokens, at, texts = text.tobytes().split(), 0, []
-        for k in (n - 1).tolist():
+        for k in (n.astype(np.int64) - 1).tolist():
             texts.append(b" ".join(tokens[at : at + k]))
             at += k
-        block = _Block([(None,)] * len(doc), texts)
-        got = score_block(block, model, *_levels_of(block, answers))
-        return pa.table({"fingerprint": mark, "doc_id": pa.array(doc, mask=null.astype(bool)), "score": got})
+        block = _Block([(None,)] * len(n), texts)
+        word, pair = _levels_of(block, answers)
+        return pa.table({"body": pa.array([_levelled(*row, n, word[block.ids], pair)], pa.binary())})
 
     answered = _answers(asked.where("kind <> 3"), segments, settings.hashes)
-    return asked.where("kind = 3").unionByName(answered).groupBy("block").applyInArrow(run, _SCORED)
+    return asked.where("kind = 3").unionByName(answered).groupBy("block").applyInArrow(run, _LEVELLED)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -529,12 +552,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     model = Model(int(n_train), int(n_distinct), float(n_starts), np.zeros(128), settings.base)
     if filter_bytes <= settings.broadcast_bytes:
         found = assemble(reduced.where("kind >= 10").select("kind", "bucket", "body").collect(), int(filter_bytes), buckets, settings)
-        b = _sample(all_rows, int(model.start_count), settings)
-        model.weights = _fitted(b, model, *((found.read(0, word_keys(b.hashes)), found.read(1, b.pairs())) if b else (None, None)))
         held = spark.sparkContext.broadcast(found)
-        scored = all_rows.mapInArrow(_scorer(held, model, settings), _SCORED)
+        levelled = all_rows.mapInArrow(_leveller(held, settings), _LEVELLED)
     else:
-        scored = _scored_by_shuffle(all_rows, reduced.where("kind >= 10"), model, settings, buckets)
+        levelled = _levelled_by_shuffle(all_rows, reduced.where("kind >= 10"), settings, buckets)
+    levelled = checkpointed(levelled)
+    model.weights = _fitted(levelled, model)
+    scored = levelled.mapInArrow(_scorer(model), _SCORED)
     scored = scored.groupBy("fingerprint", "doc_id").agg(F.max("score").alias("score"))  # repeated rows have one score
     norm = math.log10(model.n_train + 0.1 * (model.n_distinct + 1))
     joined = base.join(scored.withColumnRenamed("doc_id", "_doc").withColumnRenamed("fingerprint", "_mark"), (F.col("fingerprint") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc")))

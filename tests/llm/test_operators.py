@@ -145,6 +145,30 @@ def test_scoring_odd_rows(odd, none):
     assert lm_bloom.score(none).count() == 0
 
 
+def test_weights_come_from_all_training_rows(spark):
+    """Scores from exact counts and expectation maximisation over every place; the rows that matter are many and long."""
+    r = np.random.default_rng(4)
+    some = [" ".join(f"w{i}" for i in r.integers(0, 60, 12)) for _ in range(1500)]
+    some += ["x y " * 300 + "a b c d e f g h " * 3000] * 2
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    end, texts = "\n", [[*t.split(), "\n"] for t in some]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip([end, *t], t, strict=False))
+    q = lambda c: int(lm_bloom.levels(np.array([c]), 1.5)[0]) if c else 0
+    level = lambda t: [(q(len(train)) if i == 0 else q(one[t[i - 1]]), q(one[w]), q(two[t[i - 1] if i else end, w])) for i, w in enumerate(t)]
+    m = lm_bloom.Model(sum(one.values()), len(one), float(len(train)), np.zeros(128), 1.5)
+    c, w, p = np.array([x for t in train for x in level(t)]).T
+    m.weights = lm_bloom.fit_weights(m, c, w, p, np.ones(len(c)))
+    settings = replace(lm_bloom.Settings(), bits=60.0, hashes=6, block_bytes=50_000, score_bytes=40_000)
+    for most in (settings.broadcast_bytes, 0):
+        got = {x.doc_id: x.score for x in lm_bloom.score(docs, settings=replace(settings, broadcast_bytes=most)).collect()}
+        for i, t in enumerate(texts):
+            share, single = m.probability(*np.array(level(t)).T)
+            k = m.weights[np.array(level(t))[:, 0]]
+            assert abs(got[i] - np.log10(k * share + (1 - k) * single).sum()) < 1e-6 * len(t)
+
+
 # 3 personal data
 
 
