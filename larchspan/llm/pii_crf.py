@@ -3,7 +3,8 @@
 The base spans are those of fixed patterns; the model adds spans that the patterns miss (a phone number without "+", an
 address with spaces around "@", a card number with other separators).  An added span must touch no base span and pass
 a plausibility check of its kind, so clean text stays clean.  Every span holds a digit or "@", so the model decodes the
-windows around these characters in the whole text and nothing else.
+windows around these characters in the whole text and nothing else.  A long window is decoded in overlapping parts that
+are joined where both have the same label, so no span is cut.
 
 The model is trained on the driver from `labelled()`, a small table of made-up lines with marked spans.
 
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,29 +74,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def windows(text: str, reach: int = 40, most: int = 4096) -> list[tuple[int, int]]:
-    """Stretches around digits and "@", wider by `reach` characters and then up to white space; they do not overlap.
-
-    A stretch over `most` characters is decoded in parts.
-    """
+def windows(text: str, reach: int = 40) -> list[tuple[int, int]]:
+    """Stretches around digits and "@", wider by `reach` characters and then up to white space; they do not overlap."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = m.start() - reach, m.end() + reach
-        if out and a <= out[-1][1] and b - out[-1][0] <= most:
+        if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    done, past = [], 0
-    for i, (a, b) in enumerate(out):
+    done: list[tuple[int, int]] = []
+    for a, b in out:
+        past = done[-1][1] if done else 0
         a, b = max(a, past), min(b, len(text))
         while a > past and not text[a - 1].isspace():
             a -= 1
-        if i + 1 < len(out) and b >= out[i + 1][0]:  # the next stretch begins before this one ends: meet at white space
-            cut = text.rfind(" ", a + 1, b)
-            b = cut + 1 if cut > a else b
-        if a < b:
+        if done and a == past and not text[a - 1].isspace():  # one word reaches from stretch to stretch
+            done[-1] = (done[-1][0], b)
+        elif a < b:
             done.append((a, b))
-            past = b
     return done
 
 
@@ -110,6 +108,16 @@ def tokens(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
     return [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
 
 
+def parts(text: str, a: int, b: int, most: int, shared: int) -> Iterator[list[tuple[str, int, int]]]:
+    """The tokens of a stretch, at most `most` at a time; each part begins with the last `shared` of the one before."""
+    source = ((m[0], m.start(), m.end()) for m in TOKEN.finditer(text, a, b))
+    held = list(islice(source, most))
+    while held:
+        yield held
+        new = list(islice(source, most - shared))
+        held = held[-shared:] + new if new else []
+
+
 def _features(toks: list[tuple[str, int, int]]) -> list[list[str]]:
     """Word-shape features of each token: its own shape, those around it, and whether space stands between."""
     shapes = [_shape(t) for t, *_ in toks]
@@ -197,30 +205,95 @@ def plausible(kind: str, s: str) -> bool:
     return 10 <= len(digits) <= 15 and not re.search(r"[^0-9\s().+/-]", s) and bool(re.search(r"[()+-]", s))
 
 
-def added_spans(crf: ChainCRF, vocabulary: dict[str, int], texts: list[str], base: list[list[tuple[str, int, int]]], group: int = 100_000) -> list[list[tuple[str, int, int]]]:
-    """Spans of the model for each text, without those that touch a base span or fail their check."""
+class _Joint:
+    """Plausible spans that the labels of the parts of stretches mark; parts come in order, with their labels."""
+
+    def __init__(self, label, shared: int) -> None:  # noqa: ANN001
+        self.label, self.shared = label, shared
+        self.toks: list[tuple[str, int, int]] = []  # of the last part, from where it holds
+        self.path = np.zeros(0, np.int64)
+        self.text, self.out = "", []
+        self.span: tuple[str, int, int] | None = None
+        self.last, self.n = -1, 0  # the span's last token, tokens read
+
+    def add(self, first: bool, toks: list[tuple[str, int, int]], path: np.ndarray, text: str, out: list[tuple[str, int, int]]) -> None:
+        if first:
+            self.close()
+            self.text, self.out, self.toks, self.path = text, out, toks, path
+            return
+        before, k = len(self.toks) - self.shared, self.meet(self.path[-self.shared :], path[: self.shared])
+        if k is None:  # the parts disagree all over what they share: as one
+            self.toks = self.toks + toks[self.shared :]
+            self.path = self.label([self.toks])[0]
+            return
+        self.read(before + k)
+        self.toks, self.path = toks[k:], path[k:]
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> int | None:
+        """Where to go from one part to the next: at equal labels, outside spans if possible, about the middle."""
+        edge = self.shared // 4  # near its ends a part knows too little of what is around
+        same = edge + np.flatnonzero((a == b)[edge : self.shared - edge])
+        if not len(same):
+            return None
+        outside = same[a[same] == 0]
+        same = outside if len(outside) else same
+        return int(same[np.abs(same - self.shared // 2).argmin()])
+
+    def read(self, stop: int) -> None:
+        """Takes the labels before `stop`; a span may go on after it."""
+        path = self.path[:stop]
+        for at in np.flatnonzero(path).tolist():
+            y, (_, a, b) = int(path[at]), self.toks[at]
+            if y % 2 == 1:
+                self.end()
+                self.span, self.last = (KINDS[(y - 1) // 2], a, b), self.n + at
+            elif self.span and self.last == self.n + at - 1 and self.span[0] == KINDS[(y - 2) // 2]:
+                self.span, self.last = (self.span[0], self.span[1], b), self.n + at
+        self.n += stop
+
+    def end(self) -> None:
+        if self.span and plausible(self.span[0], self.text[self.span[1] : self.span[2]]):
+            self.out.append(self.span)
+        self.span = None
+
+    def close(self) -> None:
+        self.read(len(self.toks))
+        self.end()
+        self.toks, self.path = [], np.zeros(0, np.int64)
+
+
+def added_spans(crf: ChainCRF, vocabulary: dict[str, int], texts: list[str], base: list[list[tuple[str, int, int]]], group: int = 100_000, most: int = 1024, shared: int = 256) -> list[list[tuple[str, int, int]]]:
+    """Spans of the model for each text, without those that touch a base span or fail their check.
+
+    `group` tokens are labelled at once; a stretch over `most` tokens is labelled in parts that share `shared` tokens.
+    """
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    where: list[int] = []
+    where: list[tuple[int, bool]] = []
     held: list[list[tuple[str, int, int]]] = []
 
+    def label(some: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
+        return crf.viterbi([[[vocabulary[f] for f in fs if f in vocabulary] for fs in _features(toks)] for toks in some])
+
+    joint = _Joint(label, shared)
+
     def decode() -> None:
-        sequences = [[[vocabulary[f] for f in fs if f in vocabulary] for fs in _features(toks)] for toks in held]
-        for i, toks, path in zip(where, held, crf.viterbi(sequences), strict=True):
-            out[i] += _read(path, toks, texts[i])
+        for (i, first), toks, path in zip(where, held, label(held), strict=True):
+            joint.add(first, toks, path, texts[i], out[i])
         where.clear()
         held.clear()
 
     size = 0
     for i, t in enumerate(texts):
         for a, b in windows(t):
-            if toks := tokens(t, a, b):
-                where.append(i)
+            for j, toks in enumerate(parts(t, a, b, most, shared)):
+                where.append((i, j == 0))
                 held.append(toks)
                 size += len(toks)
-            if size > group:  # bounds the memory of the features
-                decode()
-                size = 0
+                if size > group:  # bounds the memory of the features
+                    decode()
+                    size = 0
     decode()
+    joint.close()
     for i, found in enumerate(out):
         if found:
             taken = sorted((a, b) for _, a, b in base[i])
@@ -232,21 +305,6 @@ def added_spans(crf: ChainCRF, vocabulary: dict[str, int], texts: list[str], bas
     return out
 
 
-def _read(path: np.ndarray, toks: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
-    """Plausible spans that a labelling marks."""
-    out, at = [], 0
-    while at < len(path):
-        y, end = int(path[at]), at + 1
-        if y % 2 == 1:
-            while end < len(path) and path[end] == y + 1:
-                end += 1
-            kind, a, b = KINDS[(y - 1) // 2], toks[at][1], toks[end - 1][2]
-            if plausible(kind, text[a:b]):
-                out.append((kind, a, b))
-        at = end
-    return out
-
-
 def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (KINDS.index(x[0]), x[1])))
 

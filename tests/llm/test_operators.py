@@ -198,6 +198,21 @@ def test_personal_data_model_on_held_out_lines():
     assert found >= 0.93 * sum(len(m) for _, m in lines) and found >= 0.97 * sum(map(len, got))
 
 
+@pytest.mark.parametrize("gap", [" ", "\t", "\n"])
+def test_personal_data_in_long_stretches_is_not_cut(gap):
+    """A long list without a pause: every line's number is found, as it is where the line stands alone."""
+    r = np.random.default_rng(6)
+    lines = [f"Kalo{gap}{'Mirentasulbre'[: a % 11 + 2]}{gap}({a}){gap}{b}-{c}\n" for a, b, c in zip(*(r.integers(lo, hi, 3000) for lo, hi in ((200, 999), (200, 999), (1000, 9999))), strict=True)]
+    text, at = "".join(lines), np.cumsum([0, *map(len, lines)]).tolist()
+    crf, vocabulary = pii_crf.model()
+    alone = pii_crf.added_spans(crf, vocabulary, lines, [[] for _ in lines])
+    want = {(k, a + at[i], b + at[i]) for i, some in enumerate(alone) for k, a, b in some}
+    got = pii_crf.added_spans(crf, vocabulary, [text], [[]])[0]
+    assert len(want) > 2900 and len(got) == len(set(got)) and want - set(got) == set()
+    whole = pii_crf.added_spans(crf, vocabulary, [text], [[]], most=1 << 30)[0]
+    assert got == whole and got == pii_crf.added_spans(crf, vocabulary, [text], [[]], group=5000)[0]
+
+
 def test_personal_data_odd_rows(odd, none):
     got = pii_crf.find(odd).collect()
     assert len(got) == len(ODD) and all(r.spans is not None for r in got)
