@@ -250,8 +250,10 @@ def disc_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def chip_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-pixel shift between two layers of small chips (here a layer and itself moved by a cell)."""
-    c = cells(spark, sf_dir).where("row < 32 and col < 32").withColumn("chip", (F.floor(F.col("row") / 16) * 2 + F.floor(F.col("col") / 16)))
+    """Sub-pixel shift between two layers of small chips over the whole grid (here a layer and itself moved by a cell)."""
+    c = cells(spark, sf_dir)
+    across = c.agg((F.floor(F.max("col") / 16) + 1).alias("across"))
+    c = c.crossJoin(F.broadcast(across)).withColumn("chip", F.floor(F.col("row") / 16) * F.col("across") + F.floor(F.col("col") / 16))  # a one-row side
     w = W.partitionBy("chip", "row").orderBy("col")
     return sampling.shifts(c.select("chip", "row", "col", F.col("price").alias("a"), F.coalesce(F.lag("price").over(w), F.lit(0.0)).alias("b")))
 
