@@ -2,7 +2,8 @@
 
 A word is the bag of its hashed character n-grams (2 to 4, with end marks) and of itself; a text is the average over its
 words' vectors.  Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows (`fit_rows`, a documented parameter, drawn over the whole table by a hash).  Afterwards both layers are
+labelled rows, drawn over the whole table by a hash: of each language its share of `fit_rows`, but `fit_each` at least
+(or all it has), and of each such text at most `fit_words` words, drawn over the whole text.  Afterwards both layers are
 linear, so a word's share of the class scores is one small vector, computed once per distinct word; prediction runs
 over every word of the whole text.  A temperature and a rejection threshold are calibrated on a held-back fifth of the
 sample: `rejected` marks texts whose score is below the threshold that keeps `keep_share` of that fifth.
@@ -20,6 +21,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larchspan.llm.common import Numbering, crc_of_id, id_and_text, lower_words, mix64, per_row, rows
@@ -117,7 +119,12 @@ def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 14, width: i
     first = np.cumsum(sizes) - sizes
     y = np.array([languages.index(x) for x in langs])
     order = r.permutation(len(texts))
-    held, fit = order[: len(texts) // 5], order[len(texts) // 5 :]
+    rank, n_of, seen = np.zeros(len(texts), np.int64), np.bincount(y, minlength=len(languages)), np.zeros(len(languages), np.int64)
+    for i in order.tolist():
+        rank[i] = seen[y[i]]
+        seen[y[i]] += 1
+    aside = (rank < n_of[y] // 5)[order]  # of each language, so that none is held back whole
+    held, fit = order[aside], order[~aside]
     epochs = max(epochs, -(-least_steps // max(1, -(-len(fit) // batch))))
     n_l = len(languages)
     emb, w, b = r.normal(0, 0.1, (buckets, width)), r.normal(0, 0.1, (width, n_l)), np.zeros(n_l)
@@ -160,17 +167,40 @@ def train(texts: list[bytes], langs: list[str], buckets: int = 1 << 14, width: i
     return model
 
 
-def fit(docs: DataFrame, fit_rows: int = 3000, most_chars: int = 4000) -> LanguageModel | None:
-    """A model from at most about `fit_rows` labelled training rows of `docs` (doc_id, text, lang)."""
-    able = docs.where((crc_of_id() % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    total = able.count()
+def _some_words(most: int):  # noqa: ANN202
+    """(text, lang, mark): of longer texts `most` words, drawn over the whole text by the row's mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for t, mark in zip(b.column(0), b.column(2).to_pylist(), strict=True):
+                words = t.as_py().split()
+                if len(words) > most:
+                    take = np.sort(np.random.default_rng(mark % (1 << 63)).choice(len(words), most, replace=False))
+                    words = [words[i] for i in take.tolist()]
+                texts.append(" ".join(words))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1), b.column(2)], ["text", "lang", "mark"])
+
+    return run
+
+
+def fit(docs: DataFrame, fit_rows: int = 3000, fit_each: int = 200, fit_words: int = 1000) -> LanguageModel | None:
+    """A model from labelled training rows of `docs` (doc_id, text, lang): about `fit_rows` in all, but `fit_each` of each
+    language at least.  Repeated rows count once."""
+    able = docs.where((crc_of_id() % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("mark"))
+    counts = {r[0]: r[1] for r in able.groupBy("lang").count().collect()}
+    total = sum(counts.values())
     if not total:
         return None
-    bound = max(1, -(-total // fit_rows))
-    # the sampling hash depends on nothing but the row; the text is cut for training only, never for prediction
-    got = able.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(bound)) == 0).select(F.substring("text", 1, most_chars), "lang").limit(2 * fit_rows).collect()
-    got = sorted((r[1], r[0]) for r in got) or sorted((r[1], r[0]) for r in able.select(F.substring("text", 1, most_chars), "lang").limit(fit_rows).collect())
-    pairs = [(t.encode(), lang) for lang, t in got if has_letter(t.encode())]
+    bounds = [(k, -(-n // max(fit_each, -(-n * fit_rows // total)))) for k, n in counts.items()]
+    once = lambda some: some.mapInArrow(_some_words(fit_words), "text string, lang string, mark long").groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    step = docs.sparkSession.createDataFrame(bounds, "lang string, step long")  # one row a language
+    got = once(able.join(F.broadcast(step), "lang").where(F.pmod("mark", "step") == 0).select("text", "lang", "mark")).select("lang", "text").collect()
+    left = sorted(set(counts) - {r[0] for r in got})
+    if left:  # languages of few distinct rows, none of them drawn
+        w = W.partitionBy("lang").orderBy("mark")
+        got += once(able.where(F.col("lang").isin(left))).withColumn("n", F.row_number().over(w)).where(F.col("n") <= fit_each).select("lang", "text").collect()
+    pairs = [(t.encode(), lang) for lang, t in sorted((r[0], r[1]) for r in got) if has_letter(t.encode())]
     return train([t for t, _ in pairs], [lang for _, lang in pairs])
 
 

@@ -399,6 +399,21 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.rejected for r in got]) < 0.05
 
 
+def test_language_fit_has_rare_languages_and_whole_texts(spark):
+    r = np.random.default_rng(8)
+    draw = lambda some, n: " ".join(r.choice(some.split(), n))
+    one, two, rare = "the and with house water", "der und mit haus wasser", "xoqu zylvi quorth ozzik vyx"
+    rows = [(i, draw(one, 20), "one") for i in range(4000)] + [(i, draw(two, 20), "two") for i in range(4000, 8000)]
+    rows += [(i, draw(rare, 20), "rare") for i in range(8000, 8010)] + [(8010, "qaqa qiqi", "copies")] * 300
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=100, fit_each=20)
+    assert model.languages == ["copies", "one", "rare", "two"]
+    assert model.languages[model.probabilities([draw(rare, 20).encode()]).argmax()] == "rare"
+    same = draw("lorem ipsum dolor", 900)  # more than 4000 characters
+    rows = [(i, f"{same} {draw(one if i % 2 else two, 900)}", "one" if i % 2 else "two") for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [model.languages[k] for k in model.probabilities([t.encode() for _, t, _ in rows]).argmax(1)] == [x for *_, x in rows]
+
+
 def test_language_odd_rows(odd, none):
     got = language_id.predict(odd).collect()
     assert len(got) == len(ODD)
