@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,19 +14,26 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, also set as the checkpoint folder if none is.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset (tests, a laptop) a temporary folder is
-    made once and used as the checkpoint folder too.
+    A cluster names it in ``spark.checkpoint.dir``; else a folder given to ``setCheckpointDir`` is taken.  Where neither
+    is set a local session (tests, a laptop) gets a temporary folder, removed as Python ends; on a cluster that is an
+    error, as executors could not read what others wrote.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="larchspan-")
-        spark.sparkContext.setCheckpointDir(_FALLBACK[app])
-    return _FALLBACK[app]
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = context.applicationId
+        if app not in _FALLBACK:
+            _FALLBACK[app] = tempfile.mkdtemp(prefix="larchspan-")
+            atexit.register(shutil.rmtree, _FALLBACK[app], ignore_errors=True)
+        base = _FALLBACK[app]
+    if not held.isDefined():
+        context.setCheckpointDir(base)
+    return base
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -32,6 +41,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder that nothing reads any more, by the file system that it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
