@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters of [\x20\x09-\x0D].
@@ -15,7 +15,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just the identifier and the text, under fixed names, whatever else `docs` has."""
+    """Just the identifier and the text, under fixed names, whatever else `docs` has; in small Arrow batches."""
+    docs = small_batches(docs)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
@@ -70,12 +71,26 @@ def per_row(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def small_batches(docs: DataFrame, most: int = 1000) -> DataFrame:
-    """`docs`, after its session's Arrow batches are set to at most `most` rows: a batch of whole texts is held by the
-    executor and by the Python worker at once."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= most:
-        conf.set(name, str(most))
-    return docs
+    """`docs` in a session of its own whose Arrow batches have at most `most` rows: a batch of whole texts is held by the
+    executor and by the Python worker at once.  The session is a copy of the caller's, whose settings stay as they are."""
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
+    if 0 < int(spark.conf.get(name)) <= most:
+        return docs
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(name, str(most))
+    plan = docs._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many "_" behind it as it takes to be unlike every column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from larchspan.llm import html_blocks, labelled_pages
-from larchspan.llm.common import rows
+from larchspan.llm.common import rows, small_batches
 from larchspan.llm.crf import ChainCRF
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_main int"
@@ -59,5 +59,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 )
                 done += len(ids)
 
+    pages = small_batches(pages)
     chosen = pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].cast("string").alias("html"), pages[url_col].cast("string").alias("url"))
     return chosen.mapInArrow(run, SCHEMA)

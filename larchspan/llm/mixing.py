@@ -13,7 +13,8 @@ up to `broadcast_sources` sources and joined with a shuffle (which adaptive exec
 
 Defined cases: null text counts 0 code points but is repeated like others; a null source is a source of its own; repeated
 rows draw alike unless their identifiers differ; a source without code points has rate 0 under any weights; an empty
-table gives an empty result.
+table gives an empty result.  Where `docs` has a column of an output's name, that column stays and the output's name gets
+a "_" behind it (or more, until it is free).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larchspan.llm.common import free_names
 from larchspan.session import checkpointed
 
 SEED = "mix-1"
@@ -74,23 +76,19 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict | None = None, alpha: float = 0.5, total_ratio: float = 1.0, seed: str = SEED, piece: float = 8.0, broadcast_sources: int = 50_000, shuffle: bool = True) -> DataFrame:
     """All columns of `docs`, then `mix_rate`, `mix_copies`, `mix_copy` (from 0) and `mix_key`: one row per copy, shuffled."""
-    table = rates(docs, source_col, text_col, weights, alpha, total_ratio, piece).select(F.col("source").alias("_mix_source"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("_mix_pieces"), F.col("cdf").alias("_mix_cdf"))
-    table = checkpointed(table)
+    rate, copies, copy, key, source, pieces, cdf = free_names(docs, "mix_rate", "mix_copies", "mix_copy", "mix_key", "_mix_source", "_mix_pieces", "_mix_cdf")
+    table = checkpointed(rates(docs, source_col, text_col, weights, alpha, total_ratio, piece).select(F.col("source").alias(source), F.col("rate").alias(rate), F.col("pieces").alias(pieces), F.col("cdf").alias(cdf)))
     if table.count() <= broadcast_sources:
         table = F.broadcast(table)
-    joined = docs.join(table, docs[source_col].cast("string").eqNullSafe(F.col("_mix_source")), "inner")
-    doc = joined[id_col]
-    drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col("_mix_pieces") - 1),
-        F.lit(0),
-        lambda total, i: total + F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= uniform(seed, doc, i))),
-    )
-    counted = joined.withColumn("mix_copies", drawn).where(F.col("mix_copies") > 0)
-    copies = counted.select(*[counted[c] for c in docs.columns], "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(copies[id_col].cast("string"), F.lit("")), F.col("mix_copy").cast("string"))))
+    joined = docs.join(table, docs[source_col].cast("string").eqNullSafe(F.col(source)), "inner")
+    numbers = F.transform(F.sequence(F.lit(0), F.col(pieces) - 1), lambda i: uniform(seed, joined[id_col], i))  # one digest a piece
+    drawn = F.aggregate(numbers, F.lit(0), lambda total, u: total + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    counted = joined.withColumn(copies, drawn).where(F.col(copies) > 0)
+    each = counted.select(*[counted[c] for c in docs.columns], rate, copies, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(copy))
+    keyed = each.withColumn(key, F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(each[id_col].cast("string"), F.lit("")), F.col(copy).cast("string"))))
     if not shuffle:
         return keyed
-    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    return keyed.repartition(F.col(key)).sortWithinPartitions(key)
 
 
 def oracle(weights: str = "CASE WHEN chars > 0 THEN pow(chars / sum(chars) OVER (), 0.5) ELSE 0 END", seed: str = SEED, piece: float = 8.0) -> str:

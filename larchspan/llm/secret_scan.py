@@ -35,7 +35,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
+PEM = re.compile(rb"-----BEGIN ([A-Z ]*+(?<=PRIVATE KEY))-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 HEX = re.compile(rb"[0-9a-f]+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX_CLASS = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))

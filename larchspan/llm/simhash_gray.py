@@ -3,26 +3,27 @@
 Fingerprints: 64 bits, each 1 if set in over half of the XXH64 values of the text's word shingles, over the whole text.
 Equal fingerprints are one node from the start (a partial aggregate), so groups of copies of any size stay one row.
 
-Search: two fingerprints that differ in at most 2 bits agree on at least two of four 16-bit quarters, so every pair of
-quarters (six of them) is a bucket key and all links lie inside buckets.  A bucket with over `hot` fingerprints is
-split in the same way by the remaining 32 bits (six keys of two 8-bit parts), after which only 16 bits are free: no
-bucket can hold more than 65,536 distinct fingerprints.  Inside a bucket the fingerprints are sorted by Gray rank, and
-runs of 16 share an upper node, that holds the bits on which they agree (mask and pattern), level over level.  All
-fingerprints of a bucket are searched at once, from the root down: a node whose pattern differs from the query in over
-2 masked bits is pruned with all below it, and the differences found on the way carry over.  A bucket hands on a
-spanning forest of its links, so never more rows than fingerprints.
+Search: of three parts of the 64 bits, two fingerprints that differ in at most 2 bits agree on at least one.  All
+fingerprints are dealt three times, by some bits of each part: as many bits as make buckets of about `fill` fingerprints,
+so a bucket is a large set at any size of the corpus (few fingerprints are a single bucket).  In a bucket they are sorted
+by Gray rank, and runs of 16 share an upper node, that holds the bits on which they agree (mask and pattern), level over
+level.  All fingerprints of a bucket are searched at once, from the root down: a node whose pattern differs from the
+query in over 2 masked bits is pruned with all below it, and the differences found on the way carry over
+(`search_report` counts the nodes).  A bucket hands on a spanning forest of its links, so never more rows than
+fingerprints.  A bucket over `hot` fingerprints is dealt again, by all bits of its part, and then by thirds of the bits
+that are still free, until no bucket is hot or `LEAST_FREE` bits are left, which bounds it.
 
 Components of the forest are found by joins (`graph`); nothing is collected.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any other; one with fewer
 words than a shingle is one shingle; repeated rows are repeated in the result; null identifiers take part but are
-smaller than none (a component of null identifiers only has a null component); an empty table gives an empty result.
+smaller than none (a component of null identifiers only has a null component); an empty table gives an empty result;
+columns of any name pass through `keep_first` as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larchspan.llm.common import lower_words, rows, small_batches
-from larchspan.llm.exact_dedup import BROADCAST_ROWS, located
+from larchspan.llm.exact_dedup import BROADCAST_ROWS, located, without
 from larchspan.operators.graph import components
-from larchspan.session import checkpointed
+from larchspan.session import checkpointed, scratch
 
 FANOUT = 16
+LEAST_FREE = 20
 
 
 def fingerprint(words: list[bytes], size: int = 3) -> int:
@@ -69,8 +71,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got), *(batch.column(2 + i).slice(at, len(ids)) for i in range(len(carry)))], ["doc_id", "fp", *carry])
                 at += len(ids)
 
-    chosen = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *carry)
-    kinds = dict(chosen.dtypes)
+    docs = small_batches(docs)
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in carry])
+    kinds = dict(docs.dtypes)
     return chosen.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
@@ -101,6 +104,7 @@ class GrayIndex:
         for i in range(len(masks) - 1):  # a bit that is factored into an upper node is not compared again below it
             masks[i] = masks[i] & ~np.repeat(masks[i + 1], FANOUT)[: len(masks[i])]
         self.masks, self.patterns = masks, patterns
+        self.visited = self.pruned = 0  # nodes that a search has met, and those of them that it went no further from
 
     def search(self, queries: np.ndarray, most: int, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query numbers, numbers of indexed codes) within `most` bits; a block of queries that could meet `cells` codes at a time."""
@@ -111,15 +115,17 @@ class GrayIndex:
             node = np.tile(np.arange(len(self.masks[-1])), len(q))
             spent = np.bitwise_count((q[who] ^ self.patterns[-1][node]) & self.masks[-1][node])
             ok = spent <= most
-            who, node, spent = who[ok], node[ok], spent[ok].astype(np.int64)
+            self.visited, self.pruned = self.visited + len(ok), self.pruned + int((~ok).sum())
+            who, node, spent = who[ok].astype(np.int32), node[ok].astype(np.int32), spent[ok]
             for level in range(len(self.masks) - 2, -1, -1):
                 n = len(self.masks[level])
                 first = node * FANOUT
                 count = np.minimum(first + FANOUT, n) - first
                 who, spent = np.repeat(who, count), np.repeat(spent, count)
-                node = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                node = np.repeat(first - (np.cumsum(count, dtype=np.int32) - count), count) + np.arange(int(count.sum()), dtype=np.int32)
                 spent = spent + np.bitwise_count((q[who] ^ self.patterns[level][node]) & self.masks[level][node])
                 ok = spent <= most
+                self.visited, self.pruned = self.visited + len(ok), self.pruned + int((~ok).sum())
                 who, node, spent = who[ok], node[ok], spent[ok]
             yield who + at, self.order[node]
 
@@ -141,8 +147,9 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = Non
             root = up
 
 
-def bucket_links(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct codes: each code but its group's first, and that first."""
+def bucket_links(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, GrayIndex]:
+    """A spanning forest of the links among distinct codes: each code but its group's first, and that first; and the
+    index that found it."""
     index = GrayIndex(codes)
     root = np.arange(len(codes))
     for who, other in index.search(codes, most):
@@ -150,105 +157,139 @@ def bucket_links(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         if up.any():
             root = forest(len(codes), who[up], other[up], root)
     at = np.flatnonzero(root != np.arange(len(codes)))
-    return codes[at], codes[root[at]]
+    return codes[at], codes[root[at]], index
 
 
-def _parts(bits: int, low: int, pieces: int = 4) -> list[int]:
-    """Masks of the unions of two of four equal parts of `bits` bits from bit `low` up."""
-    w = bits // pieces
-    one = [((1 << w) - 1) << (low + i * w) for i in range(pieces)]
-    return [a | b for a, b in combinations(one, 2)]
+def _parts(bits: list[int]) -> list[list[int]]:
+    """Three parts of like size."""
+    k, over = divmod(len(bits), 3)
+    edges = [0, k + (over > 0), 2 * k + over, len(bits)]
+    return [bits[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _signed(x: int) -> int:
+def _mask(bits: list[int]) -> int:
+    """The mask of some bits, as a signed long."""
+    x = sum(1 << b for b in bits)
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, most: int = 2, hot: int = 4096, chunk: int = 64) -> DataFrame:
-    """(a, b): edges that join just the fingerprints (`fp`, distinct) within `most` <= 2 bits of each other."""
-    if most > 2:
-        raise ValueError("buckets of two quarters find differences of at most 2 bits")
-    masks = _parts(64, 0)
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("part", "key"))
-    sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = checkpointed(keyed.join(sizes, ["part", "key"]))
-    small = sized.where(F.col("n") <= hot).select("fp", "part", F.lit(-1).alias("sub"), "key", F.lit(0).cast("long").alias("key2"))
-    # of a hot bucket the other 32 bits are free: their quarters make 8-bit parts
-    free = [[i for i in range(4) if not masks[p] >> (16 * i) & 1] for p in range(6)]
-    seconds = []
-    for p in range(6):
-        eights = [0xFF << (16 * i + j) for i in free[p] for j in (0, 8)]
-        seconds.append([a | b for a, b in combinations(eights, 2)])
-    table = F.array(*[F.array(*[F.lit(_signed(m)) for m in row]) for row in seconds])
-    large = sized.where(F.col("n") > hot).select("fp", "part", "key", F.posexplode(table[F.col("part")]).alias("sub", "m")).select("fp", "part", "sub", "key", F.col("fp").bitwiseAND(F.col("m")).alias("key2"))
-    buckets = small.unionAll(large)
-
+def _dealt(df: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, mask, key): each fingerprint once for every mask."""
+    return df.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def buckets(nodes: DataFrame, fill: int = 4096, hot: int = 65_536) -> DataFrame:
+    """(fp, mask, key): distinct fingerprints in buckets such that any two within 2 bits share one."""
+    n = nodes.count()
+    if n <= fill:
+        return _dealt(nodes, [0])
+    parts = _parts(list(range(64)))
+    wide = min(min(map(len, parts)), (n // fill).bit_length())
+    now = _dealt(nodes, [_mask(p[:wide]) for p in parts])
+    # the bits on which a bucket's fingerprints may be taken to agree, and the masks that a hot one is dealt by next
+    level = {_mask(p[:wide]): [p] for p in parts}
+    out = None
+    while level:
+        sizes = checkpointed(now.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > hot) & F.col("mask").isin(*level)).select("mask", "key"))
+        n_hot = sizes.count()
+        if not n_hot:
+            break
+        sizes = F.broadcast(sizes) if n_hot <= BROADCAST_ROWS else sizes
+        cool = now.join(sizes, ["mask", "key"], "left_anti").select("fp", "mask", "key")
+        out = cool if out is None else out.unionByName(cool)
+        held, following, again = now.join(sizes, ["mask", "key"], "left_semi"), {}, []
+        for mask, choices in level.items():
+            for agreed in choices:
+                free = [b for b in range(64) if b not in agreed]
+                following[_mask(agreed)] = [agreed + p for p in _parts(free)] if len(free) > LEAST_FREE else []
+            again.append(_dealt(held.where(F.col("mask") == mask).select("fp"), [_mask(c) for c in choices]))
+        now = again[0]
+        for x in again[1:]:
+            now = now.unionByName(x)
+        level = {m: c for m, c in following.items() if c}
+    return now if out is None else out.unionByName(now)
+
+
+_FOUND = "a long, b long"
+_REPORT = "mask long, key long, n long, visited long, pruned long"
+
+
+def _searched(dealt: DataFrame, most: int, report: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket may span batches."""
         held: list[np.ndarray] = []
         last = None
-        out_a, out_b = [], []
+        out: list[tuple] = []
 
         def close() -> None:
             if held:
-                codes = np.concatenate(held)
-                if len(codes) > 1:
-                    a, b = bucket_links(np.unique(codes), most)
-                    out_a.append(a)
-                    out_b.append(b)
+                codes = np.unique(np.concatenate(held))
                 held.clear()
+                if len(codes) > 1:
+                    a, b, index = bucket_links(codes, most)
+                    out.append(tuple(np.array([x], np.int64) for x in (*last, len(codes), index.visited, index.pruned)) if report else (a.view(np.int64), b.view(np.int64)))
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in (_REPORT if report else _FOUND).split(", ")])
 
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+            fp, mask, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(fp):
                 continue
             edge = np.ones(len(fp), bool)
-            edge[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edge[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
             begins = np.flatnonzero(edge).tolist()
             for a, b in zip(begins, [*begins[1:], len(fp)], strict=True):
-                key = tuple(int(k[a]) for k in keys)
-                if key != last:
+                if (int(mask[a]), int(key[a])) != last:
                     close()
-                    last = key
-                held.append(fp[a:b])
-            if sum(map(len, out_a)) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], ["a", "b"])
-                out_a, out_b = [], []
+                    last = (int(mask[a]), int(key[a]))
+                held.append(fp[a:b].view(np.uint64))
+            if sum(len(x[0]) for x in out) > 50_000:
+                yield flush()
         close()
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (out_a, out_b)], ["a", "b"])
+        if out:
+            yield flush()
+
+    return dealt.select("fp", "mask", "key").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, _REPORT if report else _FOUND)
+
+
+def links(nodes: DataFrame, most: int = 2, fill: int = 4096, hot: int = 65_536) -> DataFrame:
+    """(a, b): edges that join just the fingerprints (`fp`, distinct) within `most` <= 2 bits of each other."""
+    if most > 2:
+        raise ValueError("buckets of a third of the bits find differences of at most 2 bits")
+    return _searched(buckets(nodes, fill, hot), most, False)
+
 
-    keys = ["part", "sub", "key", "key2"]
-    return buckets.select("fp", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+def search_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, fill: int = 4096, hot: int = 65_536) -> DataFrame:
+    """mask, key, n, visited, pruned: per bucket its fingerprints, the nodes that its search met, and those it pruned."""
+    return _searched(buckets(checkpointed(fingerprints(docs, id_col, text_col, shingle).select("fp").distinct()), fill, hot), most, True)
 
 
-def _roots(prints: DataFrame, most: int, hot: int) -> DataFrame:
+def _roots(prints: DataFrame, most: int, fill: int, hot: int) -> DataFrame:
     """fp, least (smallest doc_id), n, root (the fingerprint that stands for the component)."""
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(nodes.select("fp"), most, hot))
+    roots = components(links(nodes.select("fp"), most, fill, hot))
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, hot: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, fill: int = 4096, hot: int = 65_536) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, component_size of every row of `docs`."""
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    placed = _roots(prints, most, hot)
+    placed = _roots(prints, most, fill, hot)
     heads = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     classes = placed.join(heads, "root").select("fp", "component_id", "component_size")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, hot: int = 4096) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2, fill: int = 4096, hot: int = 65_536) -> DataFrame:
     """One row of each component, with all columns of `docs`: that of the smallest identifier (a null one is larger
     than any; of rows that repeat it, the first in its file)."""
-    placed = located(docs)
-    prints = checkpointed(fingerprints(placed, id_col, text_col, shingle, ("_file", "_row")))
-    with_root = prints.join(_roots(prints, most, hot).select("fp", "root"), "fp")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
+    placed, file, row = located(docs, text_col)
+    prints = checkpointed(fingerprints(placed, id_col, text_col, shingle, (file, row)).toDF("doc_id", "fp", "file", "row"))
+    with_root = prints.join(_roots(prints, most, fill, hot).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     heads = with_root.groupBy("root").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = with_root.join(heads, "root").where((F.col("_file") != F.col("head._file")) | (F.col("_row") != F.col("head._row")))
-    gone = checkpointed(several.select(F.col("_file").alias("_gone_file"), F.col("_row").alias("_gone_row")))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return placed.join(gone, (F.col("_file") == F.col("_gone_file")) & (F.col("_row") == F.col("_gone_row")), "left_anti").select(*docs.columns)
+    several = with_root.join(heads, "root").where((F.col("file") != F.col("head.file")) | (F.col("row") != F.col("head.row")))
+    return without(placed, file, row, several.select("file", "row"), scratch(docs.sparkSession, "near-gone")).select(*[placed[c] for c in docs.columns])

@@ -304,6 +304,88 @@ def test_collisions_are_parted_by_their_bytes(documents):
     assert a == b
 
 
+EXACT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
+def rows_of(df, columns=EXACT):
+    return sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("bits", [256, 8])
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_batches_equal_one_run(spark, documents, tmp_path, bits, on_disk):
+    """Three batches on one state, one of them twice, against one run over all; rows with and without a file of their own."""
+    parts = [documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k) for k in range(3)]
+    parts[1] = parts[1].unionByName(documents.limit(0).unionByName(spark.createDataFrame([(900_001, "a b", "en", "x", 3), (900_002, "c", "en", "x", 1)], SCHEMA)))
+    parts[2] = parts[2].unionByName(spark.createDataFrame([(900_003, "ab", "en", "x", 2), (900_004, "d", "en", "x", 1), (900_005, "c  ", "en", "x", 3)], SCHEMA))
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if on_disk:
+        for k in range(3):
+            parts[k].write.parquet(str(tmp_path / f"p{k}"))
+            parts[k] = spark.read.parquet(str(tmp_path / f"p{k}"))
+    state = str(tmp_path / "state")
+    for k, p in enumerate(parts):
+        got = exact_dedup.dedup(p, state_dir=state, bits=bits)
+        if k == 1:  # a repeated batch changes nothing
+            assert rows_of(got) == rows_of(exact_dedup.dedup(p, state_dir=state, bits=bits))
+    assert rows_of(got) == rows_of(exact_dedup.dedup(whole))
+    kept = {r.doc_id: r for r in got.where("doc_id > 900000").collect()}
+    assert (kept[900_003].keep_id, kept[900_003].group_size, kept[900_005].kept, kept[900_002].kept) == (900_001, 2, True, False)
+
+
+def test_a_named_batch_is_taken_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x"), (2, "x ")], "doc_id long, text string")
+    for _ in range(2):
+        got = exact_dedup.dedup(docs, state_dir=str(tmp_path / "s"), batch="monday")
+        assert rows_of(got, ["doc_id", "keep_id", "group_size"]) == [("1", "2", "2"), ("2", "2", "2")]
+
+
+def test_groups_beyond_the_broadcast_limit(documents, monkeypatch):
+    want = rows_of(exact_dedup.dedup(documents))
+    hot = max(r.group_size for r in exact_dedup.dedup(documents).collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 3)
+    for least in (hot, 10**6, 1):
+        monkeypatch.setattr(exact_dedup, "HOT_ROWS", least)
+        assert rows_of(exact_dedup.dedup(documents)) == want
+
+
+def test_texts_that_no_file_holds_are_written_first(spark, tmp_path):
+    """A derived text is verified as it was derived, not as its file has it."""
+    spark.createDataFrame([(1, "a1"), (2, "a2"), (3, "b1")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).withColumn("text", F.substring("text", 1, 1))
+    got = exact_dedup.dedup(docs, state_dir=str(tmp_path / "s"), bits=8)
+    assert rows_of(got, ["doc_id", "keep_id", "group_size"]) == [("1", "1", "2"), ("2", "1", "2"), ("3", "3", "1")]
+
+
+CLASH = ["_file", "_row", "_metadata", "_gone_file", "_gone_row", "_mix_source", "_mix_pieces", "_mix_cdf", "mix_rate", "mix_copies", "mix_copy", "mix_key", "file", "row", "best", "n", "norm", "digest", "root", "least", "fp", "mask", "a", "b", "_DOC_ID"]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_columns_of_any_name_pass_through(spark, tmp_path, stored):
+    docs = spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    if stored:
+        docs.write.parquet(str(tmp_path / "d"))
+        docs = spark.read.schema(docs.schema).parquet(str(tmp_path / "d"))
+    plain = spark.createDataFrame(ODD, SCHEMA)
+    for f in (exact_dedup.keep_best, simhash_gray.keep_first, quality_cascade.keep, lambda d: mixing.mix(d).select(*docs.columns if "_file" in d.columns else d.columns)):
+        got = f(docs)
+        assert got.columns == docs.columns
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASH)
+        assert rows_of(got, plain.columns) == rows_of(f(plain), plain.columns)
+    assert rows_of(exact_dedup.dedup(docs)) == rows_of(exact_dedup.dedup(plain))
+    for f in (lm_bloom.score, pii_crf.find, quality_cascade.judge, secret_scan.scan, simhash_gray.near_duplicates, language_id.predict):
+        assert f(docs).count() == len(ODD)
+    assert packing.pack(docs).count() >= len(ODD)
+
+
+def test_session_settings_stay(spark, documents):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, held = spark.conf.get(name), {k: spark.conf.get(k, None) for k in exact_dedup._STATE}
+    quality_cascade.judge(documents).count()
+    exact_dedup.dedup(documents).count()
+    assert spark.conf.get(name) == before and {k: spark.conf.get(k, None) for k in exact_dedup._STATE} == held
+
+
 def test_exact_odd_rows(spark, odd, none):
     got = exact_dedup.dedup(odd).collect()
     assert len(got) == len(ODD)
@@ -333,9 +415,26 @@ def test_large_rates_are_summed_from_pieces(spark):
 
 
 def test_mixing_odd_rows(odd, none):
-    m = mixing.mix(odd.drop("mix_key"))
-    assert m.count() >= 0 and m.where("mix_copies <> mix_copies").count() == 0
-    assert mixing.mix(none).count() == 0
+    m = mixing.mix(odd)
+    assert m.columns == [*odd.columns, "mix_rate", "mix_copies", "mix_copy", "mix_key_"] and mixing.mix(none).count() == 0
+    got = m.collect()
+    assert got and all(0 <= r.mix_copy < r.mix_copies and r.mix_key == 1 and len(r.mix_key_) == 32 for r in got)
+    plain = mixing.mix(odd.drop("mix_key")).collect()
+    assert Counter((r.doc_id, r.mix_copy, r.mix_key_) for r in got) == Counter((r.doc_id, r.mix_copy, r.mix_key) for r in plain)
+
+
+def test_copies_follow_the_inverse_distribution(documents):
+    """Each document's copies by hand: the md5 number against the Poisson distribution function."""
+    rate = {r.source: r.rate for r in mixing.rates(documents).collect()}
+    copies = Counter(r.doc_id for r in mixing.mix(documents, shuffle=False).collect())
+    for r in documents.select("doc_id", "source").collect():
+        u, k, p = int(hashlib.md5(f"{mixing.SEED}|{r.doc_id}|0".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate[r.source])
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate[r.source] / k
+            c += p
+        assert copies[r.doc_id] == k and rate[r.source] <= 8
 
 
 # 8 near duplicates
@@ -352,8 +451,8 @@ def fingerprint_by_hand(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_components_by_brute_force(documents, texts, hot):
+@pytest.mark.parametrize(("fill", "hot"), [(4096, 65_536), (16, 65_536), (16, 3), (1, 1)])
+def test_components_by_brute_force(documents, texts, fill, hot):
     ids = sorted(texts)
     f = np.array([fingerprint_by_hand(texts[i]) for i in ids], np.uint64)
     near, comp = np.bitwise_count(f[:, None] ^ f[None, :]) <= 2, np.array(ids)
@@ -362,7 +461,7 @@ def test_components_by_brute_force(documents, texts, hot):
         if (new == comp).all():
             break
         comp = new
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_gray.near_duplicates(documents, hot=hot).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_gray.near_duplicates(documents, fill=fill, hot=hot).collect()}
     assert got == {i: (f"{int(x):016x}", int(c)) for i, x, c in zip(ids, f, comp, strict=True)}
 
 
@@ -377,10 +476,32 @@ def test_index_finds_all_within_two_bits():
 
 def test_a_full_cube_is_one_group():
     codes = np.unique(np.random.default_rng(2).integers(0, 1 << 13, 30_000).astype(np.uint64))
-    a, b = simhash_gray.bucket_links(codes, 2)
+    a, b, _ = simhash_gray.bucket_links(codes, 2)
     assert len(a) == len(codes) - 1 and (b == codes[0]).all()
 
 
+@pytest.mark.parametrize(("fill", "hot"), [(512, 65_536), (64, 20), (100_000, 65_536)])
+def test_links_of_random_codes_by_brute_force(spark, fill, hot):
+    """Recall 1 on codes of which many differ in one to four bits, whatever the buckets; the hierarchy prunes."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 63, 1500, dtype=np.uint64) << np.uint64(1)
+    codes = [base]
+    for _ in range(3):
+        flips = [np.uint64(1) << r.integers(0, 64, len(base)).astype(np.uint64) for _ in range(4)]
+        codes += [codes[-1] ^ flips[0], base ^ flips[1] ^ flips[2], codes[-1] ^ flips[2] ^ flips[3] ^ flips[0]]
+    codes = np.unique(np.concatenate([*codes, r.integers(0, 1 << 12, 600).astype(np.uint64)]))
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
+    want, _ = np.arange(len(codes)), None
+    while (new := np.array([want[near[k]].min() for k in range(len(codes))])).tolist() != want.tolist():
+        want = new
+    nodes = spark.createDataFrame([(int(x),) for x in codes.view(np.int64)], "fp long")
+    got = simhash_gray.links(nodes, fill=fill, hot=hot).toPandas()
+    a, b = (np.searchsorted(codes, got[c].to_numpy().view(np.uint64)) for c in "ab")
+    assert simhash_gray.forest(len(codes), a, b).tolist() == want.tolist()
+    n, visited, pruned = simhash_gray._searched(simhash_gray.buckets(nodes, fill, hot), 2, True).agg(F.sum(F.col("n") * F.col("n")), F.sum("visited"), F.sum("pruned")).first()
+    assert pruned > visited / 2 > 0 and (fill < 512 or visited < n / 2)
+
+
 def test_near_odd_rows(odd, none):
     got = simhash_gray.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.fingerprint == "0" * 16} == {1}
