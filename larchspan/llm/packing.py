@@ -1,10 +1,14 @@
 """Packing: sum-of-squares online placement of documents into windows of 2048 tokens, tracked in a level array.
 
 Each partition packs its own documents in their order.  Full windows are cut off a long document; its rest, of size s,
-goes to the fill level h that minimises the sum over levels of the squared number of windows at that level: the change
-is computed for all levels at once from the level array (windows closed by an exact fit leave it).  Windows still open
-at the end of a partition are re-cut into full ones, and the last remainder into lengths that are powers of two, which
-need no padding.  No shuffle; memory holds one partition's piece table and at most 2048 open windows' contents.
+goes whole to the fill level h that minimises the sum over levels of the squared number of windows at that level: the
+change is computed for all levels at once from the level array (windows closed by an exact fit leave it).  A new window
+is one of the choices while the open ones are at most `spare` of those closed so far (`least_open` at least).  At that
+bound a rest without room is cut where it fills a window, whose level is again the one that minimises the sum of
+squares, and what is left of it opens the window that is now allowed.  So what is still open at the end of a partition
+is a small share of it; that is re-cut into full windows, and the last remainder into lengths that are powers of two,
+which need no padding (`recut` marks these pieces).  No shuffle; memory holds one partition's open windows: at most
+`least_open` of them, or `spare` of the windows that it has closed.
 
 Tokens come from a public tokenizer whose file is a parameter.  Its pieces never cross ASCII white space, so ids of
 each distinct word are computed once and looked up (`most_known` bounds the table); tests hold this against encoding
@@ -32,7 +36,7 @@ from larchspan.llm.common import id_and_text, rows
 WINDOW = 2048
 #: ASCII characters that are neither letters, digits nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, recut boolean"
 
 
 class _Words(dict):
@@ -144,32 +148,60 @@ class WordTokens:
 class Packer:
     """Places rests of 1 to window-1 tokens; `levels[h]` is the number of open windows filled to h."""
 
-    def __init__(self, window: int = WINDOW) -> None:
-        self.window = window
+    def __init__(self, window: int = WINDOW, spare: float = 1 / 16, least_open: int = 8) -> None:
+        self.window, self.spare, self.least_open = window, spare, least_open
         self.levels = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
+        self.n_open = self.n_closed = 0
 
-    def place(self, piece: tuple, size: int) -> list | None:
-        """Adds a piece; returns the window's pieces if it is now full."""
-        b, n = self.window, self.levels
+    def closed(self, n: int = 1) -> None:
+        """Counts full windows, so that more may be open."""
+        self.n_closed += n
+
+    def choose(self, size: int) -> tuple[int, int]:
+        """(level, part): part of a rest of this size goes to a window at the level; level 0 is a new window."""
+        b, n, none = self.window, self.levels, np.iinfo(np.int64).max
         top = b - size
-        old = n[1 : top + 1]  # windows at level h would move to h + size
-        change = 2 * (n[1 + size : top + size + 1] - old) + 2  # (N[h]-1)^2 - N[h]^2 + (N[h+s]+1)^2 - N[h+s]^2
         if top >= 1:
+            old = n[1 : top + 1]  # windows at level h would move to h + size
+            change = 2 * (n[1 + size : top + size + 1] - old) + 2  # (N[h]-1)^2 - N[h]^2 + (N[h+s]+1)^2 - N[h+s]^2
             change[-1] = 1 - 2 * n[top]  # filled up: it leaves the array
-            change = np.where(old > 0, change, np.iinfo(np.int64).max)
-        new = 2 * int(n[size]) + 1  # a new window at level `size`
-        h = int(change.argmin()) + 1 if top >= 1 else 0
-        if not h or old[h - 1] == 0 or new < change[h - 1]:
-            self.levels[size] += 1
-            self.open[size].append([piece])
-            return None
-        held = self.open[h].pop()
-        self.levels[h] -= 1
+            change = np.where(old > 0, change, none)
+            h = int(change.argmin()) + 1
+            least = int(change[h - 1])
+        else:
+            h, least = 0, none
+        may_open = self.n_open < max(self.least_open, self.spare * self.n_closed)
+        if least < none and (not may_open or least <= 2 * int(n[size]) + 1):
+            return h, size
+        if may_open:
+            return 0, size
+        old = n[top + 1 : b]  # filled up by b - h tokens, while size - (b - h) open a window
+        h = top + 1 + int(np.where(old > 0, 2 * (n[1:size] - old) + 2, none).argmin())
+        return h, b - h
+
+    def place(self, piece: tuple, size: int) -> list | None:
+        """Adds a piece (document, start, ids, total); returns the window's pieces if one is now full."""
+        h, part = self.choose(size)
+        if part < size:
+            doc, start, ids, total = piece
+            full = self._put(h, (doc, start, ids[:part], total), part)
+            self._put(0, (doc, start + part, ids[part:], total), size - part)
+            return full
+        return self._put(h, piece, size)
+
+    def _put(self, h: int, piece: tuple, size: int) -> list | None:
+        held = []
+        if h:
+            held = self.open[h].pop()
+            self.levels[h] -= 1
+            self.n_open -= 1
         held.append(piece)
-        if h + size == b:
+        if h + size == self.window:
+            self.n_closed += 1
             return held
         self.levels[h + size] += 1
+        self.n_open += 1
         self.open[h + size].append(held)
         return None
 
@@ -183,8 +215,8 @@ def _tokens(path: str, end_id: int, most_known: int) -> WordTokens:
     return WordTokens(path, end_id, most_known)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 1, most_known: int = 300_000) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = 1, most_known: int = 300_000, spare: float = 1 / 16, least_open: int = 8) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, recut."""
     if tokenizer is None:
         import public_tokenizers
 
@@ -192,23 +224,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, packer = _tokens(tokenizer, end_id, most_known), Packer(window)
+        tok, packer = _tokens(tokenizer, end_id, most_known), Packer(window, spare, least_open)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         number = part << 33
         out: list[tuple] = []
 
-        def emit(pieces: list) -> None:
+        def emit(pieces: list, recut: bool = False) -> None:
             nonlocal number
             at = 0
             for doc, start, ids, total in pieces:
-                out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, number, at))
+                out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, number, at, recut))
                 at += len(ids)
             number += 1
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if name == "recut" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
 
         for ids, texts in rows(batches, 2 << 20):
             for doc, got in zip(ids, tok.encode(texts), strict=True):
@@ -216,6 +248,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 full = total - total % window
                 for at in range(0, full, window):
                     emit([(doc, at, got[at : at + window], total)])
+                packer.closed(full // window)
                 if full < total and (done := packer.place((doc, full, got[full:].copy(), total), total - full)):
                     emit(done)
             if len(out) > 20_000:
@@ -228,7 +261,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     held.append((doc, start, ids[:k], total))
                     start, ids, size = start + k, ids[k:], size + k
                     if size == window:
-                        emit(held)
+                        emit(held, True)
                         held, size = [], 0
         while size:
             want, take, got = 1 << (size.bit_length() - 1), [], 0
@@ -239,7 +272,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 if k < len(ids):
                     held.insert(0, (doc, start + k, ids[k:], total))
                 got += k
-            emit(take)
+            emit(take, True)
             size -= want
         yield flush()
 

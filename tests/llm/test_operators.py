@@ -484,12 +484,12 @@ def test_a_full_cube_is_one_group():
 def test_links_of_random_codes_by_brute_force(spark, fill, hot):
     """Recall 1 on codes of which many differ in one to four bits, whatever the buckets; the hierarchy prunes."""
     r = np.random.default_rng(7)
-    base = r.integers(0, 1 << 63, 1500, dtype=np.uint64) << np.uint64(1)
+    base = r.integers(0, 1 << 63, 250, dtype=np.uint64) << np.uint64(1)
     codes = [base]
     for _ in range(3):
         flips = [np.uint64(1) << r.integers(0, 64, len(base)).astype(np.uint64) for _ in range(4)]
         codes += [codes[-1] ^ flips[0], base ^ flips[1] ^ flips[2], codes[-1] ^ flips[2] ^ flips[3] ^ flips[0]]
-    codes = np.unique(np.concatenate([*codes, r.integers(0, 1 << 12, 600).astype(np.uint64)]))
+    codes = np.unique(np.concatenate([*codes, r.integers(0, 1 << 10, 200).astype(np.uint64)]))
     near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
     want, _ = np.arange(len(codes)), None
     while (new := np.array([want[near[k]].min() for k in range(len(codes))])).tolist() != want.tolist():
@@ -584,16 +584,35 @@ def test_word_table_equals_whole_texts():
         assert [g.tolist() for g in got] == [w.tok.encode(h, add_special_tokens=False).ids for h in hard]
 
 
-def test_placement_minimises_the_sum_of_squares():
-    r = np.random.default_rng(4)
-    p, mirror = packing.Packer(32), Counter()
-    for size in r.integers(1, 32, 400).tolist():
-        best = min([(2 * mirror[size] + 1, 99, 0)] + [((1 - 2 * mirror[h]) if h + size == 32 else 2 * (mirror[h + size] - mirror[h]) + 2, 0, h) for h in mirror if mirror[h] and h + size <= 32])
+@pytest.mark.parametrize(("spare", "least"), [(1 / 16, 8), (0.0, 3), (1.0, 10**6)])
+def test_placement_minimises_the_sum_of_squares(spare, least):
+    """Each choice against all choices that the bound allows; a cut only where nothing has room and nothing may open."""
+    r, b = np.random.default_rng(4), 32
+    p, mirror, n_closed = packing.Packer(b, spare, least), Counter(), 0
+    for size in r.integers(1, b, 600).tolist():
+        n_open = sum(mirror.values())
+        whole = {h: 1 - 2 * mirror[h] if h + size == b else 2 * (mirror[h + size] - mirror[h]) + 2 for h in mirror if mirror[h] and h + size <= b}
+        cut = {h: 2 * (mirror[h + size - b] - mirror[h]) + 2 for h in mirror if mirror[h] and h + size > b}
+        if n_open < max(least, spare * n_closed):
+            whole[0] = 2 * mirror[size] + 1
+        best = min((whole or cut).values())
         before = sum(v * v for v in mirror.values())
-        p.place(("x",), size)
-        after = Counter({h: int(n) for h, n in enumerate(p.levels) if n and h < 32})
-        assert sum(v * v for v in after.values()) == before + best[0]
-        mirror = after
+        full = p.place((0, 0, np.zeros(size, np.uint32), size), size)
+        assert full is None or sum(len(x[2]) for x in full) == b
+        n_closed += full is not None
+        mirror = Counter({h: int(n) for h, n in enumerate(p.levels) if n and h < b})
+        assert sum(v * v for v in mirror.values()) == before + best
+        assert p.n_open == sum(mirror.values()) == len(p.rest()) and p.n_open <= max(least, spare * n_closed + 1, n_open)
+        assert all(sum(len(x[2]) for x in w) == h for h in range(1, b) for w in p.open[h])
+
+
+@pytest.mark.parametrize(("parts", "most"), [(1, 0.06), (8, 0.08), (32, 0.1)])
+def test_little_is_cut_again(spark, parts, most):
+    """The share of tokens that the sum of squares did not place; nothing is padded."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(parts)
+    got = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("recut").alias("recut"))
+    all_tokens, again, padded = got.agg(F.sum("n"), F.sum(F.when(F.col("recut"), F.col("n")).otherwise(0)), F.count_if((F.col("n") != 2048) & (F.col("n").bitwiseAND(F.col("n") - 1) != 0))).first()
+    assert again / all_tokens <= most and padded == 0
 
 
 def test_packing_odd_rows(odd, none):
