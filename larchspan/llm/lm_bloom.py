@@ -3,14 +3,17 @@
 Learning (documents whose crc32(doc_id) mod 10 is not 0): words and word pairs of whole texts are counted per block of
 text first, then summed by hash bucket.  A count c is quantised to 1 + floor(log_base c) levels, and the n-gram goes
 into the filter once with each level up to its own, so reading a count back is a run of membership probes that ends at
-the first miss.  The filter is built bucket by bucket as segments of `bits` bits an entry; a bucket is one task's work
-and neither counts nor segments are pruned.
+the first miss.  The filter is built bucket by bucket as segments; a bucket is one task's work.
 
-Scoring: the segments are broadcast while they are at most `broadcast_bytes` together; beyond that the distinct n-grams
-of each block go to the segments by a shuffle and come back with their levels, with the same results.  The levels at all
-places are kept, a byte each, compressed.  The model interpolates pairs with words, P(w|v) = l * c(vw)/c(v) + (1-l) * P(w); the
-weight l depends on the level of c(v) and is fitted by leave-one-out expectation maximisation over every place of every
-training row: it needs no more than how often each (level of v, level of w, level of vw) occurs, which is a small table.
+The model is absolute discounting by 1 (leave one out) of the quantised counts q: a pair keeps k(vw) = q(vw) - 1, and
+P(w|v) = (k(vw) + r(v) P(w)) / (K(v) + r(v)), P(w) = (q(w) + 0.1) / (sum of all + 0.1), with K(v) the sum of k(vw) over
+all w and r(v) = max(q(v) - K(v), 1).  K(v) and the sum of all are taken from the counts as the finished filter reads
+them back, so the probabilities of all words after a word sum to 1 but for false reads of pairs that never occurred;
+the number of hash functions follows from the corpus' size such that these add at most about `slack`.  A pair that
+occurs once keeps nothing, so it need not be in the filter, and where K(v) is 0 no pair is probed.
+
+Scoring: segments and K are broadcast while they are at most `broadcast_bytes` together; beyond that the distinct
+n-grams of each block go to the segments by a shuffle and come back with their levels, with the same results.
 
 The exact base score needs the exact count of every token, over a vocabulary that grows with the corpus: each block
 sends its distinct tokens to the tokens' buckets, which send back their totals; where they occur stays with the block.
@@ -36,6 +39,8 @@ from larchspan.session import checkpointed
 
 END = b"\n"  # no word holds a line feed
 KEY_BITS = 45
+#: Bits of a pair's key that name its first and its second word (words that share them count as one).
+FIRST_BITS, SECOND_BITS = 30, 34
 U64 = np.uint64
 
 
@@ -46,18 +51,27 @@ def token_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(t, 7) for t in tokens]), ">u8").astype(U64)
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """KEY_BITS-bit keys of token pairs from the tokens' hashes."""
-    return mix64(first * U64(0x9E3779B97F4A7C15) + (second ^ U64(0x2545F4914F6CDD1D))) >> U64(64 - KEY_BITS)
-
-
 def word_keys(h: np.ndarray) -> np.ndarray:
     return mix64(h ^ U64(0x5851F42D4C957F2D)) >> U64(64 - KEY_BITS)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of keys, so sorted keys lie bucket by bucket."""
-    return (keys * U64(buckets)) >> U64(KEY_BITS)
+def first_keys(h: np.ndarray) -> np.ndarray:
+    """What names a word as the first of a pair: the upper bits of its key."""
+    return word_keys(h) >> U64(KEY_BITS - FIRST_BITS)
+
+
+def second_keys(h: np.ndarray) -> np.ndarray:
+    return mix64(h ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - SECOND_BITS)
+
+
+def _range(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets as ranges of first_keys, so sorted keys lie bucket by bucket."""
+    return ((keys * U64(buckets)) >> U64(FIRST_BITS)).astype(np.int64)
+
+
+def bucket_of(order: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Of words (order 0) the range; of pairs (1) a hash of the whole key, so the pairs of a frequent word are spread."""
+    return _range(keys >> U64(KEY_BITS - FIRST_BITS), buckets) if order == 0 else _range(mix64(keys) >> U64(64 - FIRST_BITS), buckets)
 
 
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -74,69 +88,84 @@ def expected(base: float, most: int = 128) -> np.ndarray:
     return np.array(out)
 
 
-def _positions(keys: np.ndarray, level: int, size: int, hashes: int) -> Iterator[np.ndarray]:
-    h = mix64(keys + U64((1 + level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-    a, b = h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
-    for i in range(hashes):
-        yield ((a + U64(i) * b) % U64(size)).astype(np.int64)
+def _spread(keys: np.ndarray, level: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the hash functions i to i + 15 at a level."""
+    h = mix64(keys + U64((1 + level * 0x9E3779B97F4A7C15 + (i >> 4) * 0xBF58476D1CE4E5B9) & (2**64 - 1)))
+    return h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
+
+
+def pair_hashes(words: float, slack: float) -> int:
+    """Hash functions of a pair's first level such that of `words` absent pairs about `slack` are read at all."""
+    return max(8, math.ceil(math.log2(max(words, 1.0) / slack)))
+
+
+@dataclass(frozen=True)
+class Depth:
+    """Levels from `first` up, with `entry` hash functions at that and `more` at each further one."""
+
+    first: int
+    entry: int
+    more: int
 
+    def at(self, level: int) -> int:
+        return self.entry if level == self.first else self.more
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, base: float, bits: float, hashes: int) -> bytes:
-    """The filter of one bucket: every key with each of its levels."""
+
+def build_segment(keys: np.ndarray, counts: np.ndarray, base: float, depth: Depth) -> bytes:
+    """The filter of one bucket: every key with each of its levels from the first up; half of its bits are set."""
+    q = levels(counts, base)
+    keys, q = keys[q >= depth.first], q[q >= depth.first]
     if not len(keys):
         return b""
-    q = levels(counts, base)
-    size = int(-(-math.ceil(q.sum() * bits) // 8) * 8)
+    probes = len(keys) * depth.entry + int((q - depth.first).sum()) * depth.more
+    size = int(-(-math.ceil(probes / math.log(2)) // 8) * 8)
     flags = np.zeros(size, bool)
-    level = 1
+    level = depth.first
     while len(keys):
-        for p in _positions(keys, level, size, hashes):
-            flags[p] = True
+        for i in range(depth.at(level)):
+            if i % 16 == 0:
+                a, b = _spread(keys, level, i)
+            flags[((a + U64(i % 16) * b) % U64(size)).astype(np.int64)] = True
         level += 1
         go = q >= level
         keys, q = keys[go], q[go]
     return np.packbits(flags).tobytes()
 
 
-@dataclass
-class LogFrequencyFilter:
-    """Segments of words (0) and pairs (1), one after another in `data`."""
-
-    data: np.ndarray  # uint8
-    starts: list[np.ndarray]  # per order: first byte of each bucket's segment
-    sizes: list[np.ndarray]  # per order: bits of each bucket's segment
-    hashes: int
-    base: float
-
-    def read(self, order: int, keys: np.ndarray, most: int = 127) -> np.ndarray:
-        """Levels of the keys, 0 for absent ones, by probing level after level until the first miss."""
-        return probe(self.data, self.starts[order], self.sizes[order], keys, self.hashes, most)
-
-
-def probe(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, hashes: int, most: int = 127) -> np.ndarray:
+def probe(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, keys: np.ndarray, depth: Depth, most: int = 127) -> np.ndarray:
+    """Levels of the keys, 0 for absent ones, by probing level after level until the first miss.  `starts`: first byte
+    of each bucket's segment; `sizes`: its bits."""
     out = np.zeros(len(keys), np.uint8)
     if not len(starts):
         return out
-    bucket = bucket_of(keys, len(starts)).astype(np.int64)
     start, size = starts[bucket] * 8, sizes[bucket]
     live = np.flatnonzero(size > 0)
-    for level in range(1, most + 1):
-        k, s, z = keys[live], start[live], np.maximum(size[live], 1)
-        h = mix64(k + U64((1 + level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        a, b, z = h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1), z.astype(U64)
-        at = np.arange(len(live))
-        for i in range(hashes):
-            p = ((a[at] + U64(i) * b[at]) % z[at]).astype(np.int64) + s[at]
-            at = at[(data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1]
-            if not len(at):
-                break
-        if not len(at):
+    for level in range(depth.first, most + 1):
+        if not len(live):
             break
-        live = live[at]
+        k, s, z = keys[live], start[live], size[live].astype(U64)
+        at = None
+        for i in range(depth.at(level)):
+            if i % 16 == 0:
+                a, b = _spread(k, level, i)
+            p = ((a + U64(i % 16) * b) % z).astype(np.int64) + s
+            ok = (data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+            if not ok.all():
+                at = np.flatnonzero(ok) if at is None else at[ok]
+                k, s, z, a, b = k[ok], s[ok], z[ok], a[ok], b[ok]
+            if not len(k):
+                break
+        live = live if at is None else live[at]
         out[live] = level
     return out
 
 
+def read_back(segment: bytes, keys: np.ndarray, depth: Depth) -> np.ndarray:
+    """Levels of keys as one segment reads them."""
+    data = np.frombuffer(segment, np.uint8)
+    return probe(data, np.zeros(1, np.int64), np.array([8 * len(data)]), np.zeros(len(keys), np.int64), keys, depth)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys of one bucket as differences, with counts: lengths, then the two streams, as compressed bytes."""
     import zstandard
@@ -144,14 +173,13 @@ def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     if not len(keys):
         return b""
     gaps = np.diff(keys, prepend=U64(0))
-    wide = np.zeros((len(gaps), 8), np.uint8)
-    wide[:] = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    wide = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
     small = np.minimum(counts, 255).astype(np.uint8)
     large = counts[counts >= 255].astype("<u4")
-    width = max(1, int(np.flatnonzero(wide.any(0)).max(initial=0)) + 1)
-    body = wide[:, :width].T.copy().tobytes()  # plane by plane; only planes that repeat are worth compressing
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    planes = wide[:, :width].T.copy()  # plane by plane; only the last repeats enough to be worth compressing
     head = np.array([len(keys), len(large), width], "<u4").tobytes()
-    return head + body + zstandard.ZstdCompressor(level=1).compress(small.tobytes() + large.tobytes())
+    return head + planes[:-1].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[-1].tobytes() + small.tobytes() + large.tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +188,12 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not blob:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     n, n_large, width = (int(x) for x in np.frombuffer(blob, "<u4", 3))
+    rest = zstandard.ZstdDecompressor().decompress(blob[12 + n * (width - 1) :])
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, 12).reshape(width, n).T
-    rest = zstandard.ZstdDecompressor().decompress(blob[12 + n * width :])
-    counts = np.frombuffer(rest, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(rest, "<u4", n_large, n)
+    wide[:, : width - 1] = np.frombuffer(blob, np.uint8, n * (width - 1), 12).reshape(width - 1, n).T
+    wide[:, width - 1] = np.frombuffer(rest, np.uint8, n)
+    counts = np.frombuffer(rest, np.uint8, n, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(rest, "<u4", n_large, 2 * n)
     return np.cumsum(wide.reshape(-1).view("<u8")).astype(U64), counts
 
 
@@ -205,14 +234,16 @@ class _Block:
         self.tokens = list(self.number)
         self.hashes = token_hashes(self.tokens)
 
+    def before(self) -> np.ndarray:
+        """Number of the token before each place; a text's first token follows its start, written as END."""
+        out = np.empty_like(self.ids)
+        out[1:] = self.ids[:-1]
+        out[self.first] = self.number[END]
+        return out
+
     def pairs(self) -> np.ndarray:
-        """Keys of (token before, token) at every place; a text's first token follows its start, written as END."""
-        start = token_hashes([END])[0]
-        h = self.hashes[self.ids]
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[self.first] = start
-        return pair_keys(before, h)
+        """Keys of (token before, token) at every place."""
+        return (first_keys(self.hashes)[self.before()] << U64(SECOND_BITS)) | second_keys(self.hashes)[self.ids]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Block]:
@@ -239,17 +270,30 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Block]:
 @dataclass(frozen=True)
 class Settings:
     base: float = 1.5
-    bits: float = 6.5
-    hashes: int = 4
+    word_hashes: int = 10
+    more_hashes: int = 4
+    slack: float = 1e-3
     block_bytes: int = 6 << 20
-    score_bytes: int = 2 << 20
+    score_bytes: int = 4 << 20
     bucket_tokens: int = 800_000
     broadcast_bytes: int = 192 << 20
 
+    def depths(self, words: float) -> tuple[Depth, Depth]:
+        """Of words and of pairs in a corpus of `words` words."""
+        return Depth(1, self.word_hashes, self.more_hashes), Depth(2, pair_hashes(words, self.slack), self.more_hashes)
+
 
 _COUNTED = "kind int, bucket int, block string, body binary"
 
 
+def _by_bucket(order: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has any of the sorted keys, and the places of its keys in their order."""
+    bucket = bucket_of(order, keys, buckets)
+    by = np.argsort(bucket.astype(np.uint16) if buckets <= 65_536 else bucket, kind="stable")
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    return ((k, by[a:b]) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b)
+
+
 def _count(settings: Settings, buckets: int):  # noqa: ANN202
     """Per block its rows and where its words occur in them (kind 2, sent along in any bucket); per bucket its distinct
     words (kind 0) and pairs (kind 1) with their training counts.  A word sends one entry a block, however often it
@@ -263,7 +307,7 @@ def _count(settings: Settings, buckets: int):  # noqa: ANN202
             train = train_row[b.row]
             out: list[tuple] = []
             # words by bucket, then token number; their places (row, times) in this order stay with the block's own rows
-            bucket = bucket_of(word_keys(b.hashes), buckets).astype(np.int64)
+            bucket = bucket_of(0, word_keys(b.hashes), buckets)
             place, times = np.unique(b.ids * np.int64(len(b.keys)) + b.row, return_counts=True)
             word, row = np.divmod(place, len(b.keys))
             total = np.bincount(b.ids[train], minlength=len(b.tokens))
@@ -276,8 +320,7 @@ def _count(settings: Settings, buckets: int):  # noqa: ANN202
                 own = by[edges[k] : edges[k + 1]]
                 out.append((0, k, name, _zip(np.frombuffer(b" ".join([b.tokens[i] for i in own.tolist()]), np.uint8), total[own].astype("<u4"))))
             keys, counts = np.unique(b.pairs()[train], return_counts=True)
-            edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1).astype(U64))
-            out += [(1, k, name, _pack(keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]])) for k in range(buckets) if edges[k] < edges[k + 1]]
+            out += [(1, k, name, _pack(keys[own], counts[own])) for k, own in _by_bucket(1, keys, buckets)]
             n_tokens = np.diff(b.starts)
             doc = np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8")
             null = np.array([k[0] is None for k in b.keys], np.uint8)
@@ -287,30 +330,37 @@ def _count(settings: Settings, buckets: int):  # noqa: ANN202
     return run
 
 
-_REDUCED = "kind int, bucket int, block string, body binary, n_train long, n_distinct long"
+_REDUCED = "kind int, bucket int, block string, body binary, n_train long, n_distinct long, mass double"
 
 
-def _reduce(settings: Settings):  # noqa: ANN202
+def _reduce(settings: Settings, words: float):  # noqa: ANN202
     """Of a words' bucket: each block's words' totals (kind 0) and the words' segment (kind 10).  Of a pairs' bucket: the
-    pairs' segment (kind 11).  Blocks' rows pass through."""
+    pairs' segment (kind 11) and what the pairs of each first word keep in it (kind 12).  Blocks' rows pass through."""
+    for_words, for_pairs = settings.depths(words)
+    mean = expected(settings.base)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
         bodies = table.column("body")
         out: list[tuple] = []
         if kind == 2:
-            out = [(2, bucket, name, body.as_py(), 0, 0) for name, body in zip(table.column("block").to_pylist(), bodies, strict=True)]
+            out = [(2, bucket, name, body.as_py(), 0, 0, 0.0) for name, body in zip(table.column("block").to_pylist(), bodies, strict=True)]
         elif kind == 1:
-            keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
             got = [_unpack(b.as_py()) for b in bodies]
-            if got:
-                keys = np.concatenate([g[0] for g in got])
-                order = np.argsort(keys, kind="stable")
-                counts = np.concatenate([g[1] for g in got])[order]
-                keys = keys[order]
-                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                keys, counts = keys[edge], np.add.reduceat(counts, edge)
-            out.append((11, bucket, "", build_segment(keys, counts, settings.base, settings.bits, settings.hashes), 0, 0))
+            keys = np.concatenate([g[0] for g in got])
+            order = np.argsort(keys, kind="stable")
+            counts = np.concatenate([g[1] for g in got])[order]
+            keys = keys[order]
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, counts = keys[edge], np.add.reduceat(counts, edge)
+            keys, counts = keys[counts > 1], counts[counts > 1]
+            segment = build_segment(keys, counts, settings.base, for_pairs)
+            out.append((11, bucket, "", segment, 0, 0, 0.0))
+            if len(keys):
+                keep = kept(read_back(segment, keys, for_pairs), mean)
+                first = keys >> U64(SECOND_BITS)
+                edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+                out.append((12, bucket, "", _zip(first[edge].astype("<u8"), np.add.reduceat(keep, edge)), 0, 0, 0.0))
         else:
             number, totals, held = Numbering(), np.zeros(0, np.int64), []
             for name, body in zip(table.column("block").to_pylist(), bodies, strict=True):
@@ -321,16 +371,40 @@ def _reduce(settings: Settings):  # noqa: ANN202
                 totals[ids] += total
                 held.append((name, ids))
             totals = totals[: len(number)]
-            out += [(0, bucket, name, _zip(totals[ids].astype("<i8")), 0, 0) for name, ids in held]
+            out += [(0, bucket, name, _zip(totals[ids].astype("<i8")), 0, 0, 0.0) for name, ids in held]
             met = totals > 0
             keys = word_keys(token_hashes(list(number))[met])
-            order = np.argsort(keys, kind="stable")
-            out.append((10, bucket, "", build_segment(keys[order], totals[met][order], settings.base, settings.bits, settings.hashes), int(totals.sum()), int(met.sum())))
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "bucket", "block", "body", "n_train", "n_distinct"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
+            segment = build_segment(keys, totals[met], settings.base, for_words)
+            mass = float((mean[read_back(segment, keys, for_words)] + 0.1).sum())
+            out.append((10, bucket, "", segment, int(totals.sum()), int(met.sum()), mass))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "bucket", "block", "body", "n_train", "n_distinct", "mass"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     return run
 
 
+def kept(level: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """What a pair's count keeps of itself after the discount."""
+    return np.maximum(mean[level] - 1.0, 0.0)
+
+
+def _firsts(reduced: DataFrame, buckets: int) -> DataFrame:
+    """kind (12), bucket, body: per bucket of words the sorted first_keys of pairs with all that these pairs keep."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                first, keep = _unzip(body.as_py(), "<u8", "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array(_range(first, buckets).astype(np.int32)), pa.array(first.astype(np.int64)), pa.array(keep)], ["bucket", "first", "keep"])
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        first, inverse = np.unique(table.column("first").to_numpy(), return_inverse=True)
+        body = _zip(first.astype("<u8"), np.bincount(inverse, weights=table.column("keep").to_numpy()))
+        return pa.table({"kind": pa.array([12], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([body], pa.binary())})
+
+    rows_ = reduced.where("kind = 12").select("body").mapInArrow(opened, "bucket int, first long, keep double")
+    return rows_.groupBy("bucket").applyInArrow(summed, "kind int, bucket int, body binary")
+
+
 _BASE = "doc_id long, fingerprint long, held_out boolean, n_tokens long, n_known long, log_sum double"
 
 
@@ -352,128 +426,98 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
 
 @dataclass
 class Model:
-    """What scoring needs besides the filter."""
-
-    n_train: int
-    n_distinct: int
-    start_count: float
-    weights: np.ndarray  # by level of c(v)
-    base: float
-
-    def word_probability(self, levels_: np.ndarray) -> np.ndarray:
-        return (expected(self.base)[levels_] + 0.1) / (self.n_train + 0.1 * (self.n_distinct + 1))
-
-    def probability(self, context: np.ndarray, word: np.ndarray, pair: np.ndarray, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(pair part, word part) before the weights, from the levels; `less` leaves out the place itself."""
-        e = expected(self.base)
-        c = np.maximum(e[context] - less, 0)
-        share = np.where(c > 0, np.minimum(np.maximum(e[pair] - less, 0), c) / np.maximum(c, 1e-9), 0.0)
-        return share, np.maximum(self.word_probability(word), 1e-300)
-
-
-def fit_weights(model: Model, context: np.ndarray, word: np.ndarray, pair: np.ndarray, times: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Leave-one-out expectation maximisation of the weight of each context level, over levels that occur `times` times."""
-    a, b = model.probability(context, word, pair, 1.0)
-    w = np.full(128, 0.3)
-    w[0] = 0.0
-    n = np.bincount(context, weights=times, minlength=128)
-    for _ in range(rounds):
-        p = w[context] * a
-        got = np.bincount(context, weights=times * p / (p + (1 - w[context]) * b), minlength=128)
-        w = np.where(n > 0, (got + 0.3) / (n + 1), 0.3)
-        w[0] = 0.0
-    return np.clip(w, 0.0, 0.999)
+    """The whole filter (`data`, with first byte and bits of each bucket's segment, per order) and K by first_key."""
 
+    data: np.ndarray  # uint8
+    starts: list[np.ndarray]
+    sizes: list[np.ndarray]
+    first: np.ndarray  # sorted
+    keep: np.ndarray
+    mass: float
+    settings: Settings
+    words: float
 
-def contexts(starts: np.ndarray, model: Model, word: np.ndarray) -> np.ndarray:
-    """Level of the token before each place; before a text's first token stands the start of a training text."""
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[starts] = int(levels(np.array([model.start_count]), model.base)[0]) if model.start_count else 0
-    return context
-
-
-_LEVELLED = "body binary"
-
-
-def _levelled(doc: np.ndarray, null: np.ndarray, mark: np.ndarray, held: np.ndarray, n: np.ndarray, word: np.ndarray, pair: np.ndarray) -> bytes:
-    """Rows of a block with the levels of the token and of the pair at each of their places."""
-    return _zip(doc, null, mark, held, n.astype("<u4"), word, pair)
-
+    def levels(self, order: int, keys: np.ndarray) -> np.ndarray:
+        return probe(self.data, self.starts[order], self.sizes[order], bucket_of(order, keys, len(self.starts[order])), keys, self.settings.depths(self.words)[order])
 
-def _opened(body: bytes) -> list[np.ndarray]:
-    doc, null, mark, held, n, word, pair = _unzip(body, "<i8", "u1", "<i8", "u1", "<u4", "u1", "u1")
-    n = n.astype(np.int64)
-    return [doc, null, mark, held, n, np.cumsum(n) - n, word, pair]  # every text has a token at least
+    def kept_after(self, first: np.ndarray) -> np.ndarray:
+        return look_up(self.first, self.keep, first)
 
 
-def _rows_of(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, null, fingerprint, held_out of a block's rows."""
-    return np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8"), np.array([k[0] is None for k in b.keys], np.uint8), np.array([k[1] for k in b.keys], "<i8"), np.array([bool(k[2]) for k in b.keys], np.uint8)
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of sorted keys, 0 where a key is absent."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def _leveller(held, settings: Settings):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: LogFrequencyFilter = held.value
-        for b in blocks(batches, settings.score_bytes):
-            keys, inverse = np.unique(b.pairs(), return_inverse=True)
-            word, pair = found.read(0, word_keys(b.hashes))[b.ids], found.read(1, keys)[inverse]
-            yield pa.RecordBatch.from_arrays([pa.array([_levelled(*_rows_of(b), np.diff(b.starts), word, pair)], pa.binary())], ["body"])
+def assemble(segments: list, total: int, buckets: int, mass: float, settings: Settings, words: float) -> Model:
+    """The model from its parts (kind, bucket, body), `total` bytes of segments; takes the list apart as it goes."""
+    starts, sizes = [np.zeros(buckets, np.int64) for _ in range(2)], [np.zeros(buckets, np.int64) for _ in range(2)]
+    data, at, tables = np.zeros(total, np.uint8), 0, []
+    while segments:
+        kind, bucket, body = segments.pop()
+        if kind == 12:
+            tables.append((bucket, _unzip(body, "<u8", "<f8")))
+            continue
+        data[at : at + len(body)] = np.frombuffer(body, np.uint8)
+        starts[kind - 10][bucket], sizes[kind - 10][bucket] = at, 8 * len(body)
+        at += len(body)
+    tables.sort(key=lambda x: x[0])
+    first, keep = (np.concatenate([np.zeros(0, kind), *(t[i] for _, t in tables)]) for i, kind in enumerate(("<u8", "<f8")))
+    return Model(data, starts, sizes, first, keep, mass, settings, words)
 
-    return run
 
+def probabilities(word: np.ndarray, before: np.ndarray, ids: np.ndarray, after: np.ndarray, keep: np.ndarray, mass: float, mean: np.ndarray) -> np.ndarray:
+    """P(token | token before) at places: `word` levels and `after` K of each token, `keep` of the pair at each place."""
+    single = (mean[word] + 0.1) / (mass + 0.1)
+    rest = np.maximum(mean[word] - after, 1.0)
+    after, rest = after[before], rest[before]
+    return (np.minimum(keep, after) + rest * single[ids]) / (after + rest)
 
-def _triples(model: Model):  # noqa: ANN202
-    """How often each (context level, word level, pair level) occurs in the training rows of a partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 21, np.int64)
-        for batch in batches:
-            for body in batch.column(0):
-                *_, held, n, starts, word, pair = _opened(body.as_py())
-                code = (contexts(starts, model, word).astype(np.int64) << 14) | (word.astype(np.int64) << 7) | pair
-                total += np.bincount(code[np.repeat(held == 0, n)], minlength=1 << 21)
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
+def _summed(b: _Block, word: np.ndarray, after: np.ndarray, keep: np.ndarray, mass: float, mean: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of a block."""
+    return np.add.reduceat(np.log10(probabilities(word, b.before(), b.ids, after, keep, mass, mean)), b.starts[:-1])
 
-    return run
 
+_SCORED = "fingerprint long, doc_id long, score double"
 
-def _fitted(levelled: DataFrame, model: Model) -> np.ndarray:
-    """The weights from all training rows; the table is bounded by the levels, whatever the number of rows."""
-    got = sorted((r[0], r[1]) for r in levelled.mapInArrow(_triples(model), "code long, n long").groupBy("code").agg(F.sum("n")).collect())
-    if not got:
-        return np.zeros(128)
-    code, times = np.array(got, np.int64).T
-    return fit_weights(model, code >> 14, (code >> 7) & 127, code & 127, times.astype(np.float64))
 
+def _rows_of(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, null, fingerprint of a block's rows."""
+    return np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8"), np.array([k[0] is None for k in b.keys], np.uint8), np.array([k[1] for k in b.keys], "<i8")
 
-_SCORED = "fingerprint long, doc_id long, score double"
 
+def _out(doc: np.ndarray, null: np.ndarray, mark: np.ndarray, got: np.ndarray) -> dict:
+    return {"fingerprint": pa.array(mark, pa.int64()), "doc_id": pa.array(doc, pa.int64(), mask=null.astype(bool)), "score": pa.array(got)}
 
-def _scorer(model: Model):  # noqa: ANN202
-    """log10 probability of each text, from the levels at its places."""
 
+def _scorer(held):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column(0):
-                doc, null, mark, _, _, starts, word, pair = _opened(body.as_py())
-                context = contexts(starts, model, word)
-                share, single = model.probability(context, word, pair)
-                w = model.weights[context]
-                got = np.add.reduceat(np.log10(w * share + (1 - w) * single), starts)
-                yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(got)], ["fingerprint", "doc_id", "score"])
+        model: Model = held.value
+        mean = expected(model.settings.base)
+        for b in blocks(batches, model.settings.score_bytes):
+            word = model.levels(0, word_keys(b.hashes))
+            after = model.kept_after(first_keys(b.hashes))
+            keep = np.zeros(len(b.ids))
+            at = np.flatnonzero((after > 0)[b.before()] & (word > 0)[b.ids])
+            keys, inverse = np.unique(b.pairs()[at], return_inverse=True)
+            keep[at] = kept(model.levels(1, keys), mean)[inverse]
+            yield pa.RecordBatch.from_pydict(_out(*_rows_of(b), _summed(b, word, after, keep, model.mass, mean)))
 
     return run
 
 
 def _requests(b: _Block, name: str, buckets: int) -> list[tuple]:
-    """(kind, bucket, block, sorted distinct keys) of a block's words (kind 10) and pairs (kind 11)."""
+    """(kind, bucket, block, sorted distinct keys) of what a block asks: words (10), pairs (11), first words (12)."""
     out = []
     for kind, keys in ((10, np.unique(word_keys(b.hashes))), (11, np.unique(b.pairs()))):
-        edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1).astype(U64))
-        out += [(kind, k, name, _pack(keys[x:y], np.ones(y - x, np.int64))) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if x < y]
-    return out
+        out += [(kind, k, name, _pack(keys[own], np.ones(len(own), np.int64))) for k, own in _by_bucket(kind - 10, keys, buckets)]
+    first = np.unique(first_keys(b.hashes))
+    bucket = _range(first, buckets)
+    return out + [(12, k, name, _zip(first[bucket == k].astype("<u8"))) for k in np.unique(bucket).tolist()]
 
 
 def _asked(settings: Settings, buckets: int):  # noqa: ANN202
@@ -483,8 +527,7 @@ def _asked(settings: Settings, buckets: int):  # noqa: ANN202
         part = TaskContext.get().partitionId()
         for serial, b in enumerate(blocks(batches, settings.block_bytes)):
             name = f"{part}.{serial}"
-            kept = b.ids[b.ids != b.number[END]]
-            text = np.frombuffer(b" ".join([b.tokens[i] for i in kept.tolist()]), np.uint8)
+            text = np.frombuffer(b" ".join([b.tokens[i] for i in b.ids[b.ids != b.number[END]].tolist()]), np.uint8)
             body = _zip(*_rows_of(b), np.diff(b.starts).astype("<u4"), text)
             out = [*_requests(b, name, buckets), (3, 0, name, body)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["kind", "bucket", "block", "body"])
@@ -492,86 +535,108 @@ def _asked(settings: Settings, buckets: int):  # noqa: ANN202
     return run
 
 
-def _answers(requests: DataFrame, segments: DataFrame, hashes: int) -> DataFrame:
-    """kind, bucket, block, body: the levels of the keys asked for, in their order."""
+def _answers(requests: DataFrame, parts: DataFrame, depths: tuple[Depth, Depth]) -> DataFrame:
+    """kind, bucket, block, body: levels, or K, of the keys asked for, in their order."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        segment = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in left.column("body")] or [np.zeros(0, np.uint8)])
-        starts, sizes = np.zeros(1, np.int64), np.array([8 * len(segment)])
-        got = [probe(segment, starts, sizes, _unpack(x.as_py())[0], hashes).tobytes() for x in right.column("body")]
+        if not right.num_rows:
+            return right.select(["kind", "bucket", "block", "body"])
+        kind = right.column("kind")[0].as_py()
+        if kind == 12:
+            first, keep = _unzip(left.column("body")[0].as_py(), "<u8", "<f8") if left.num_rows else (np.zeros(0, "<u8"), np.zeros(0))
+            got = [look_up(first, keep, _unzip(x.as_py(), "<u8")[0]).tobytes() for x in right.column("body")]
+        else:
+            segment = left.column("body")[0].as_py() if left.num_rows else b""
+            got = [read_back(segment, _unpack(x.as_py())[0], depths[kind - 10]).tobytes() for x in right.column("body")]
         return pa.table({"kind": right.column("kind"), "bucket": right.column("bucket"), "block": right.column("block"), "body": pa.array(got, pa.binary())})
 
-    return segments.select("kind", "bucket", "body").groupBy("kind", "bucket").cogroup(requests.groupBy("kind", "bucket")).applyInArrow(run, _COUNTED)
+    return parts.select("kind", "bucket", "body").groupBy("kind", "bucket").cogroup(requests.groupBy("kind", "bucket")).applyInArrow(run, _COUNTED)
 
 
-def _levels_of(b: _Block, answers: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of the block's tokens and of the pair at each place, from (kind, bucket, levels)."""
-    out = []
-    for kind, keys in ((10, word_keys(b.hashes)), (11, b.pairs())):
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        got = np.frombuffer(b"".join(x for k, _, x in sorted(answers, key=lambda a: a[:2]) if k == kind), np.uint8)
-        out.append((got if len(got) else np.zeros(len(distinct), np.uint8))[inverse])
-    return out[0], out[1]
-
-
-def _levelled_by_shuffle(all_rows: DataFrame, segments: DataFrame, settings: Settings, buckets: int) -> DataFrame:
-    """The levels without a broadcast: blocks ask the segments for them by a shuffle, then meet their answers."""
+def _scored_by_shuffle(all_rows: DataFrame, parts: DataFrame, settings: Settings, buckets: int, mass: float, words: float) -> DataFrame:
+    """The scores without a broadcast: blocks ask the segments for levels by a shuffle, then meet their answers."""
     asked = checkpointed(all_rows.mapInArrow(_asked(settings, buckets), _COUNTED))
+    mean = expected(settings.base)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        answers, own = [], None
+        answers: dict[int, list] = {10: [], 11: [], 12: []}
+        own = None
         for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body"), strict=True):
             if kind == 3:
-                own = _unzip(body.as_py(), "<i8", "u1", "<i8", "u1", "<u4", "u1")
+                own = _unzip(body.as_py(), "<i8", "u1", "<i8", "<u4", "u1")
             else:
-                answers.append((kind, bucket, body.as_py()))
+                answers[kind].append((bucket, body.as_py()))
+        joined = {k: b"".join(x for _, x in sorted(v, key=lambda a: a[0])) for k, v in answers.items()}
         *row, n, text = own
         tokens, at, texts = text.tobytes().split(), 0, []
         for k in (n.astype(np.int64) - 1).tolist():
             texts.append(b" ".join(tokens[at : at + k]))
             at += k
-        block = _Block([(None,)] * len(n), texts)
-        word, pair = _levels_of(block, answers)
-        return pa.table({"body": pa.array([_levelled(*row, n, word[block.ids], pair)], pa.binary())})
+        b = _Block([(None,)] * len(n), texts)
 
-    answered = _answers(asked.where("kind <> 3"), segments, settings.hashes)
-    return asked.where("kind = 3").unionByName(answered).groupBy("block").applyInArrow(run, _LEVELLED)
+        def place(kind: int, keys: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+            """Answers for the keys of a block: they came for the distinct keys, sorted, bucket by bucket."""
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            got = np.frombuffer(joined[kind], "<f8" if kind == 12 else np.uint8)
+            if kind == 11:
+                order = np.argsort(bucket_of(1, distinct, buckets), kind="stable")
+                got, sorted_got = np.empty(len(distinct), np.uint8), got
+                got[order] = sorted_got
+            return got[inverse]
 
+        word, after = place(10, word_keys(b.hashes)), place(12, first_keys(b.hashes))
+        keep = np.where((after > 0)[b.before()] & (word > 0)[b.ids], kept(place(11, b.pairs()), mean), 0.0)
+        return pa.table(_out(*row, _summed(b, word, after, keep, mass, mean)))
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
-    spark = docs.sparkSession
-    all_rows = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    answered = _answers(asked.where("kind <> 3"), parts, settings.depths(words))
+    return asked.where("kind = 3").unionByName(answered).groupBy("block").applyInArrow(run, _SCORED)
+
+
+@dataclass
+class _Learned:
+    rows: DataFrame
+    reduced: DataFrame
+    parts: DataFrame  # kind 10 to 12, bucket, body
+    n_train: int
+    n_distinct: int
+    mass: float
+    n_bytes: int
+    n_segments: int
+    buckets: int
+    words: float
+
+    def model(self, settings: Settings) -> Model:
+        """The whole model on the driver; n_bytes says how large it is."""
+        return assemble(self.parts.collect(), self.n_segments, self.buckets, self.mass, settings, self.words)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> _Learned:  # noqa: B008
+    """Counts, filter and K of the training rows, left in the shared folder."""
+    docs = small_batches(docs)
+    all_rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     all_rows = all_rows.withColumn("fingerprint", F.xxhash64("doc_id", "text")).withColumn("held_out", crc_of_id() % 10 == 0)
-    n_rows, n_bytes, n_starts = all_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    buckets = max(1, math.ceil((n_bytes / 6 + n_rows) / settings.bucket_tokens))
+    n_rows, n_bytes = all_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    words = n_bytes / 6 + n_rows  # a corpus has fewer distinct words than that
+    buckets = max(1, math.ceil(words / settings.bucket_tokens))
     counted = all_rows.mapInArrow(_count(settings, buckets), _COUNTED)
-    reduced = checkpointed(counted.groupBy("kind", "bucket").applyInArrow(_reduce(settings), _REDUCED))
-    n_train, n_distinct, filter_bytes = reduced.where("kind >= 10").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
-    base = reduced.where("kind in (0, 2)").select("kind", "bucket", "block", "body").groupBy("block").applyInArrow(_gather, _BASE)
-    model = Model(int(n_train), int(n_distinct), float(n_starts), np.zeros(128), settings.base)
-    if filter_bytes <= settings.broadcast_bytes:
-        found = assemble(reduced.where("kind >= 10").select("kind", "bucket", "body").collect(), int(filter_bytes), buckets, settings)
-        held = spark.sparkContext.broadcast(found)
-        levelled = all_rows.mapInArrow(_leveller(held, settings), _LEVELLED)
+    reduced = checkpointed(counted.groupBy("kind", "bucket").applyInArrow(_reduce(settings, words), _REDUCED))
+    parts = reduced.where("kind in (10, 11)").select("kind", "bucket", "body").unionByName(checkpointed(_firsts(reduced, buckets)))
+    none = F.lit(0)
+    n_train, n_distinct, mass = reduced.where("kind = 10").agg(F.coalesce(F.sum("n_train"), none), F.coalesce(F.sum("n_distinct"), none), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+    size, n_segments = parts.agg(F.coalesce(F.sum(F.octet_length("body")), none), F.coalesce(F.sum(F.when(F.col("kind") < 12, F.octet_length("body"))), none)).first()
+    return _Learned(all_rows, reduced, parts, int(n_train), int(n_distinct), float(mass), int(size), int(n_segments), buckets, words)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
+    got = learn(docs, id_col, text_col, settings)
+    base = got.reduced.where("kind in (0, 2)").select("kind", "bucket", "block", "body").groupBy("block").applyInArrow(_gather, _BASE)
+    if got.n_bytes <= settings.broadcast_bytes:
+        held = got.rows.sparkSession.sparkContext.broadcast(got.model(settings))
+        scored = got.rows.select("doc_id", "text", "fingerprint", "held_out").mapInArrow(_scorer(held), _SCORED)
     else:
-        levelled = _levelled_by_shuffle(all_rows, reduced.where("kind >= 10"), settings, buckets)
-    levelled = checkpointed(levelled)
-    model.weights = _fitted(levelled, model)
-    scored = levelled.mapInArrow(_scorer(model), _SCORED)
+        scored = _scored_by_shuffle(got.rows, got.parts, settings, got.buckets, got.mass, got.words)
     scored = scored.groupBy("fingerprint", "doc_id").agg(F.max("score").alias("score"))  # repeated rows have one score
-    norm = math.log10(model.n_train + 0.1 * (model.n_distinct + 1))
+    norm = math.log10(got.n_train + 0.1 * (got.n_distinct + 1))
     joined = base.join(scored.withColumnRenamed("doc_id", "_doc").withColumnRenamed("fingerprint", "_mark"), (F.col("fingerprint") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_train).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
-
-
-def assemble(segments: list, total: int, buckets: int, settings: Settings) -> LogFrequencyFilter:
-    """The filter of `total` bytes from its segments (kind 10 or 11, bucket, body); takes the list apart as it goes."""
-    starts, sizes = [np.zeros(buckets, np.int64) for _ in range(2)], [np.zeros(buckets, np.int64) for _ in range(2)]
-    data, at = np.zeros(total, np.uint8), 0
-    while segments:
-        kind, bucket, body = segments.pop()
-        data[at : at + len(body)] = np.frombuffer(body, np.uint8)
-        starts[kind - 10][bucket], sizes[kind - 10][bucket] = at, 8 * len(body)
-        at += len(body)
-    return LogFrequencyFilter(data, starts, sizes, settings.hashes, settings.base)
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(got.n_train).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")

@@ -119,15 +119,14 @@ def test_scores_without_broadcast_are_the_same(documents):
 
 def test_filter_reads_counts_back():
     r = np.random.default_rng(1)
-    keys = np.unique(r.integers(0, 1 << 45, 20_000).astype(np.uint64))
-    counts = r.geometric(0.05, len(keys))
-    body = lm_bloom.build_segment(keys, counts, 1.5, 8.0, 5)
-    data, one, size = np.frombuffer(body, np.uint8), np.zeros(1, np.int64), np.array([8 * len(body)])
-    got = lm_bloom.probe(data, one, size, keys, 5)
-    want = lm_bloom.levels(counts, 1.5)
-    assert (got >= want).all() and (got == want).mean() > 0.9  # a filter has no false negatives
-    absent = np.setdiff1d(r.integers(0, 1 << 45, 20_000).astype(np.uint64), keys)
-    assert (lm_bloom.probe(data, one, size, absent, 5) > 0).mean() < 0.1
+    keys = np.unique(r.integers(0, 1 << 60, 20_000).astype(np.uint64))
+    counts, depth = r.geometric(0.05, len(keys)), lm_bloom.Depth(1, 20, 6)
+    body = lm_bloom.build_segment(keys, counts, 1.5, depth)
+    got, want = lm_bloom.read_back(body, keys, depth), lm_bloom.levels(counts, 1.5)
+    assert (got >= want).all() and (got == want).mean() > 0.97  # a filter has no false negatives
+    absent = np.setdiff1d(r.integers(0, 1 << 60, 200_000).astype(np.uint64), keys)
+    assert (lm_bloom.read_back(body, absent, depth) > 0).sum() <= 2
+    assert 0.45 < np.unpackbits(np.frombuffer(body, np.uint8)).mean() < 0.55
 
 
 def test_packed_counts_round_trip():
@@ -145,28 +144,54 @@ def test_scoring_odd_rows(odd, none):
     assert lm_bloom.score(none).count() == 0
 
 
-def test_weights_come_from_all_training_rows(spark):
-    """Scores from exact counts and expectation maximisation over every place; the rows that matter are many and long."""
-    r = np.random.default_rng(4)
-    some = [" ".join(f"w{i}" for i in r.integers(0, 60, 12)) for _ in range(1500)]
-    some += ["x y " * 300 + "a b c d e f g h " * 3000] * 2
-    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
-    end, texts = "\n", [[*t.split(), "\n"] for t in some]
-    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
-    one = Counter(w for t in train for w in t)
-    two = Counter(p for t in train for p in zip([end, *t], t, strict=False))
-    q = lambda c: int(lm_bloom.levels(np.array([c]), 1.5)[0]) if c else 0
-    level = lambda t: [(q(len(train)) if i == 0 else q(one[t[i - 1]]), q(one[w]), q(two[t[i - 1] if i else end, w])) for i, w in enumerate(t)]
-    m = lm_bloom.Model(sum(one.values()), len(one), float(len(train)), np.zeros(128), 1.5)
-    c, w, p = np.array([x for t in train for x in level(t)]).T
-    m.weights = lm_bloom.fit_weights(m, c, w, p, np.ones(len(c)))
-    settings = replace(lm_bloom.Settings(), bits=60.0, hashes=6, block_bytes=50_000, score_bytes=40_000)
-    for most in (settings.broadcast_bytes, 0):
-        got = {x.doc_id: x.score for x in lm_bloom.score(docs, settings=replace(settings, broadcast_bytes=most)).collect()}
-        for i, t in enumerate(texts):
-            share, single = m.probability(*np.array(level(t)).T)
-            k = m.weights[np.array(level(t))[:, 0]]
-            assert abs(got[i] - np.log10(k * share + (1 - k) * single).sum()) < 1e-6 * len(t)
+def exact_model(texts, base=1.5):
+    """By hand: quantised counts, what pairs keep, and the probability function, with dictionaries and no filter."""
+    one = Counter(w for t in texts for w in t)
+    two = Counter(p for t in texts for p in zip([b"\n", *t], t, strict=False))
+    mean = lm_bloom.expected(base)
+    q = lambda c: mean[int(lm_bloom.levels(np.array([c]), base)[0])] if c else 0.0
+    keep = defaultdict(float)
+    for (v, _), c in two.items():
+        keep[v] += max(q(c) - 1, 0)
+    mass = sum(q(c) + 0.1 for c in one.values())
+
+    def p(v, w):
+        rest = max(q(one[v]) - keep[v], 1.0)
+        return (max(q(two[v, w]) - 1, 0) + rest * (q(one[w]) + 0.1) / (mass + 0.1)) / (keep[v] + rest)
+
+    return p, one
+
+
+def test_scores_by_brute_force(documents, texts):
+    """The score of every document against the model by hand; a filter read too high may change a few."""
+    train = [tokens(texts[i]) for i in texts if zlib.crc32(str(i).encode()) % 10]
+    p, _ = exact_model(train)
+    for settings in (replace(lm_bloom.Settings(), word_hashes=40, more_hashes=24), replace(lm_bloom.Settings(), word_hashes=40, more_hashes=24, broadcast_bytes=0, block_bytes=50_000, bucket_tokens=10_000)):
+        got = {r.doc_id: r.score for r in lm_bloom.score(documents, settings=settings).collect()}
+        for i, t in texts.items():
+            w = tokens(t)
+            assert abs(got[i] - sum(math.log10(p(v, x)) for v, x in zip([b"\n", *w], w, strict=False))) < 1e-6 * len(w)
+
+
+def test_probabilities_sum_to_one(documents, texts):
+    """With the settings of production, over the whole vocabulary, after frequent, rare and unknown words."""
+    train = [tokens(texts[i]) for i in texts if zlib.crc32(str(i).encode()) % 10]
+    _, one = exact_model(train)
+    got = lm_bloom.learn(documents)
+    model, settings = got.model(lm_bloom.Settings()), lm_bloom.Settings()
+    mean, vocabulary = lm_bloom.expected(settings.base), sorted(one)
+    hashes = lm_bloom.token_hashes([*vocabulary, b"never met"])
+    word = model.levels(0, lm_bloom.word_keys(hashes))
+    word[-1] = 0  # the one event that stands for all words that were never met
+    after, ids, worst = model.kept_after(lm_bloom.first_keys(hashes)), np.arange(len(hashes)), 0.0
+    ranked = [w for w, _ in one.most_common()]
+    for v in [*ranked[:40], *ranked[40:: max(1, len(ranked) // 300)]]:
+        k = vocabulary.index(v)
+        pairs = (lm_bloom.first_keys(hashes[[k]]) << np.uint64(lm_bloom.SECOND_BITS)) | lm_bloom.second_keys(hashes)
+        keep = lm_bloom.kept(model.levels(1, pairs), mean) if after[k] > 0 else np.zeros(len(hashes))
+        total = lm_bloom.probabilities(word, np.full(len(hashes), k), ids, after, keep, model.mass, mean).sum()
+        worst = max(worst, abs(total - 1))
+    assert worst < 1e-3
 
 
 # 3 personal data
