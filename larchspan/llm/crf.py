@@ -15,6 +15,52 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _table(sequences: list[list[list[int]]], labels: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and numbers of the active features, labels and mask, of the sequences as one table."""
+    n, width = len(sequences), max(map(len, sequences))
+    mask, gold = np.zeros((n, width), bool), np.zeros((n, width), np.int64)
+    where, feats = [], []
+    for i, (s, y) in enumerate(zip(sequences, labels, strict=True)):
+        mask[i, : len(s)] = True
+        gold[i, : len(s)] = y
+        for t, f in enumerate(s):
+            where += [i * width + t] * len(f)
+            feats += f
+    return np.array(where, np.int64), np.array(feats, np.int64), gold, mask
+
+
+def _gradient(w: np.ndarray, move: np.ndarray, first: np.ndarray, where: np.ndarray, feats: np.ndarray, gold: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By forward and backward sums over the table of sequences."""
+    (n, width), n_labels = mask.shape, len(first)
+    last, one = mask.sum(1) - 1, np.eye(n_labels)
+    emit = np.zeros((n * width, n_labels))
+    for k in range(n_labels):
+        emit[:, k] = np.bincount(where, weights=w[feats, k], minlength=n * width)
+    emit = emit.reshape(n, width, n_labels)
+    alpha = np.zeros_like(emit)
+    alpha[:, 0] = emit[:, 0] + first
+    for t in range(1, width):
+        alpha[:, t] = _logsumexp(alpha[:, t - 1, :, None] + move, 1) + emit[:, t]
+    beta = np.zeros_like(emit)
+    for t in range(width - 2, -1, -1):
+        back = _logsumexp(move + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where((t < last)[:, None], back, 0.0)
+    z = _logsumexp(alpha[np.arange(n), last], 1)
+    p = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * mask[:, :, None]
+    d_emit = (p - one[gold] * mask[:, :, None]).reshape(-1, n_labels)
+    gw = np.stack([np.bincount(feats, weights=d_emit[where, k], minlength=len(w)) for k in range(n_labels)], 1)
+    gm = np.zeros_like(move)
+    for t in range(1, width):
+        live = mask[:, t]
+        if not live.any():
+            break
+        q = alpha[live, t - 1, :, None] + move + (emit[live, t] + beta[live, t])[:, None, :] - z[live, None, None]
+        gm += np.exp(np.minimum(q, 0)).sum(0)
+        np.add.at(gm, (gold[live, t - 1], gold[live, t]), -1)
+    gb = d_emit.reshape(n, width, n_labels)[:, 0].sum(0)
+    return gw / n, gm / n, gb / n
+
+
 @dataclass
 class ChainCRF:
     """weights (features, labels); moves (labels, labels), from row to column; first (labels,)."""
@@ -28,62 +74,29 @@ class ChainCRF:
         """Full-batch Adam on the mean negative log-likelihood; deterministic.  `forbidden` moves never happen."""
         keep = [i for i, s in enumerate(sequences) if s]
         sequences, labels = [sequences[i] for i in keep], [labels[i] for i in keep]
-        n, width = len(sequences), max(map(len, sequences))
-        mask = np.zeros((n, width), bool)
-        gold = np.zeros((n, width), np.int64)
-        where, feats = [], []
-        for i, (s, y) in enumerate(zip(sequences, labels, strict=True)):
-            mask[i, : len(s)] = True
-            gold[i, : len(s)] = y
-            for t, f in enumerate(s):
-                where += [i * width + t] * len(f)
-                feats += f
-        where, feats = np.array(where), np.array(feats)
-        w, m, b = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
-        ban, ban_first = np.zeros_like(m), np.zeros_like(b)
+        where, feats, gold, mask = _table(sequences, labels)
+        ban, ban_first = np.zeros((n_labels, n_labels)), np.zeros(n_labels)
         for i, j in forbidden:
             ban[i, j] = -1e4
         ban_first[list(not_first)] = -1e4
-        params = [w, m, b]
+        params = [np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
         mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        last = mask.sum(1) - 1
-        one = np.eye(n_labels)
         for step in range(1, epochs + 1):
-            emit = np.zeros((n * width, n_labels))
-            for k in range(n_labels):
-                emit[:, k] = np.bincount(where, weights=w[feats, k], minlength=n * width)
-            emit = emit.reshape(n, width, n_labels)
-            move = m + ban
-            alpha = np.zeros_like(emit)
-            alpha[:, 0] = emit[:, 0] + b + ban_first
-            for t in range(1, width):
-                alpha[:, t] = _logsumexp(alpha[:, t - 1, :, None] + move, 1) + emit[:, t]
-            beta = np.zeros_like(emit)
-            for t in range(width - 2, -1, -1):
-                back = _logsumexp(move + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where((t < last)[:, None], back, 0.0)
-            z = _logsumexp(alpha[np.arange(n), last], 1)
-            p = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * mask[:, :, None]
-            d_emit = (p - one[gold] * mask[:, :, None]).reshape(-1, n_labels)
-            gw = np.stack([np.bincount(feats, weights=d_emit[where, k], minlength=n_features) for k in range(n_labels)], 1)
-            gm = np.zeros_like(m)
-            for t in range(1, width):
-                live = mask[:, t]
-                if not live.any():
-                    break
-                q = alpha[live, t - 1, :, None] + move + (emit[live, t] + beta[live, t])[:, None, :] - z[live, None, None]
-                gm += np.exp(np.minimum(q, 0)).sum(0)
-                np.add.at(gm, (gold[live, t - 1], gold[live, t]), -1)
-            gb = d_emit.reshape(n, width, n_labels)[:, 0].sum(0)
-            for p_, g, a, s in zip(params, (gw, gm, gb), mean, square, strict=True):
-                g = g / n + l2 * p_
+            w, m, b = params
+            for p_, g, a, s in zip(params, _gradient(w, m + ban, b + ban_first, where, feats, gold, mask), mean, square, strict=True):
+                g = g + l2 * p_
                 a *= 0.9
                 a += 0.1 * g
                 s *= 0.99
                 s += 0.01 * g * g
                 p_ -= rate * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        w, m, b = params
         return cls(w, m + ban, b + ban_first)
 
+    def gradient(self, sequences: list[list[list[int]]], labels: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the mean negative log-likelihood of (non-empty) labelled sequences, by weights, moves and first."""
+        return _gradient(self.weights, self.moves, self.first, *_table(sequences, labels))
+
     def emissions(self, sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of all positions one after another, and the sequences' lengths."""
         lengths = np.array([len(s) for s in sequences], np.int64)

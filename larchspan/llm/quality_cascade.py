@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-A document is kept if no rule rejects it.  Each rule's cost (seconds a document) and rejection rate is estimated on a
-bounded sample (`sample_rows`, a documented parameter; it decides only the order), and the rules then run in order of
-rejections per second: a rule sees only the documents that no earlier rule has rejected.  The verdict is the
-conjunction of all rules, so it does not depend on the order.
+A document is kept if no rule rejects it.  Each rule's cost (seconds a document) and which documents it rejects are
+measured on a bounded sample (`sample_rows`, a documented parameter; it decides only the order).  The next rule is then
+always the one with the most rejections per second among the documents that the rules before it leave; splitting a
+text into words is charged to the first rule that needs it.  A rule sees only the documents that no earlier rule has
+rejected.  The verdict is the conjunction of all rules, so it does not depend on the order.  `judge` must return the
+base measures of every document, so there the base rules come first, for free.
 
 Defined cases: a null or empty text has no words, fails `too_few_words` and is not kept; repeated rows are judged
 alike; an empty table gives an empty result (the rules then keep their listed order).
@@ -12,7 +14,9 @@ alike; an empty table gives an empty result (the rules then keep their listed or
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +36,19 @@ class Texts:
 
     def __init__(self, texts: list[bytes | None]) -> None:
         self.texts = [t or b"" for t in texts]
-        self.words = [words(t) for t in self.texts]
-        self.n = np.array([len(w) for w in self.words], np.int64)
+
+    @cached_property
+    def words(self) -> list[list[bytes]]:
+        return [words(t) for t in self.texts]
+
+    @cached_property
+    def n(self) -> np.ndarray:
+        return np.array([len(w) for w in self.words], np.int64)
 
     def take(self, which: np.ndarray) -> Texts:
-        some = object.__new__(Texts)
-        some.texts = [self.texts[i] for i in which]
-        some.words = [self.words[i] for i in which]
-        some.n = self.n[which]
+        some = Texts([self.texts[i] for i in which])
+        if "words" in self.__dict__:
+            some.words, some.n = [self.words[i] for i in which], self.n[which]
         return some
 
     def symbols(self) -> np.ndarray:
@@ -115,6 +124,8 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "word_length": lambda t: (lambda c: (c < 2 * t.n) | (c > 20 * t.n))(t.word_chars()),
 }
 BASE = ("too_few_words", "repeated_windows")
+#: The rules that read no words.
+WORDLESS = ("capitals", "duplicate_lines")
 
 
 def cascade(texts: Texts, order: list[str], rejected: np.ndarray | None = None) -> np.ndarray:
@@ -128,8 +139,30 @@ def cascade(texts: Texts, order: list[str], rejected: np.ndarray | None = None)
     return out
 
 
+def ordered(seconds: dict[str, float], patterns: dict[int, float], splitting: float = 0.0) -> list[dict]:
+    """Rules with their cost and the share that each rejects of what is left to it, by the greedy rule.
+
+    `patterns` counts the sample's documents by the set of rules that reject them (bit i for the i-th rule).
+    """
+    names, left, split, out = list(RULES), dict(patterns), False, []
+    bit = {r: 1 << i for i, r in enumerate(names)}
+    while len(out) < len(names):
+        total = sum(left.values())
+        options = []
+        for r in names:
+            if not any(x["rule"] == r for x in out):
+                cost = seconds.get(r, 0.0) + (0.0 if split or r in WORDLESS else splitting)
+                share = sum(c for p, c in left.items() if p & bit[r]) / total if total else 0.0
+                options.append((-share / max(cost, 1e-9), cost, names.index(r), share))
+        _, cost, at, share = min(options)
+        out.append({"rule": names[at], "seconds": cost, "rejected": share})
+        split = split or names[at] not in WORDLESS
+        left = {p: c for p, c in left.items() if not p & bit[names[at]]}
+    return out
+
+
 def plan(docs: DataFrame, sample_rows: int = 2000, seed: int = 7) -> list[dict]:
-    """Every rule with its cost, its rejection rate and its rank, from at most about `sample_rows` rows of all of `docs`."""
+    """The rules in their order, with cost and rejected share, from at most about `sample_rows` rows of all of `docs`."""
     chosen = id_and_text(docs) if "text" in docs.columns else docs
     total = chosen.count()
     if not total:
@@ -137,20 +170,24 @@ def plan(docs: DataFrame, sample_rows: int = 2000, seed: int = 7) -> list[dict]:
     share = min(1.0, sample_rows / total)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, hits, n = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0), 0
+        spent, sets, n = {"": 0.0} | dict.fromkeys(RULES, 0.0), Counter(), 0
         for _, texts in rows(batches):
             batch = Texts(texts)
-            n += len(texts)
-            for name, rule in RULES.items():
+            began = time.perf_counter()
+            n += len(batch.n)
+            spent[""] += time.perf_counter() - began
+            code = np.zeros(len(texts), np.int64)
+            for i, (name, rule) in enumerate(RULES.items()):
                 began = time.perf_counter()
-                hits[name] += int(rule(batch).sum())
+                hit = rule(batch)
                 spent[name] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": list(RULES), "seconds": list(spent.values()), "rejected": [float(h) for h in hits.values()], "n": [float(n)] * len(RULES)})
+                code |= hit.astype(np.int64) << i
+            sets.update(code.tolist())
+        yield pa.RecordBatch.from_pydict({"rule": [*spent, *[None] * len(sets)], "code": [*[0] * len(spent), *sets], "value": [*spent.values(), *map(float, sets.values())], "n": [*[float(n)] * len(spent), *[0.0] * len(sets)]}, pa.schema([("rule", pa.string()), ("code", pa.int64()), ("value", pa.float64()), ("n", pa.float64())]))
 
-    got = chosen.sample(share, seed).mapInArrow(measure, "rule string, seconds double, rejected double, n double").groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("n")).collect()
-    found = {r: (s / max(n, 1), h / max(n, 1)) for r, s, h, n in got}
-    stats = [{"rule": r, "seconds": found.get(r, (0.0, 0.0))[0], "rejected": found.get(r, (0.0, 0.0))[1]} for r in RULES]
-    return sorted(stats, key=lambda x: (-x["rejected"] / max(x["seconds"], 1e-9), list(RULES).index(x["rule"])))
+    got = chosen.sample(share, seed).mapInArrow(measure, "rule string, code long, value double, n double").groupBy("rule", "code").agg(F.sum("value"), F.sum("n")).collect()
+    seconds = {r: v / max(n, 1) for r, _, v, n in got if r is not None}
+    return ordered(seconds, {c: v for r, c, v, _ in got if r is None}, seconds.get("", 0.0))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, order: list[str] | None = None) -> DataFrame:
