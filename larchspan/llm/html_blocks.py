@@ -37,7 +37,11 @@ for _g, _n in NAMES.items():
         _NAME_BIT[_w] = _NAME_BIT.get(_w, 0) | _GROUP_BIT[_g]
 _IN_ARTICLE_HEADER = 1 << (len(TAGS) + len(NAMES))
 _HIDDEN = _IN_ARTICLE_HEADER << 1
-MASK_BITS = len(TAGS) + len(NAMES) + 2
+#: Above the bits of all ancestors stand the groups of the innermost ancestor that has any.
+_INNERMOST = len(TAGS) + len(NAMES) + 2
+_GROUPS = ((1 << len(NAMES)) - 1) << len(TAGS)
+_BELOW = (1 << _INNERMOST) - 1
+MASK_BITS = _INNERMOST + len(NAMES)
 #: Tags of the block itself that count as features.
 OWN = "p h1 h2 h3 h4 h5 h6 li td th dt dd div a article section blockquote pre figcaption button label option span main body".split()
 _OWN = {t: i for i, t in enumerate(OWN)}
@@ -157,7 +161,10 @@ def blocks(page: str) -> list[tuple[str, int, str, int, int]]:
             if opened.get(other) and stack[-1][0] == other:
                 pop(other)
         mask = stack[-1][1]
-        stack.append((name, mask | _own_mask(name, attrs, mask)))
+        own = _own_mask(name, attrs, mask)
+        if groups := (own & _GROUPS) >> len(TAGS):
+            mask = (mask & _BELOW) | groups << _INNERMOST
+        stack.append((name, mask | own))
         opened[name] = opened.get(name, 0) + 1
     flush()
     return out

@@ -5,7 +5,8 @@ and its looks, with the best labelling of the whole page found by Viterbi.  It i
 labelled pages of `labelled_pages`, and sent to the workers as a broadcast of a few kilobytes.
 
 Defined cases: a null or empty page gives an empty text; so does a page without text or without main text.  Repeated
-rows give repeated rows.  A page is held by one task at a time, whatever its length; nothing is cut.
+rows give repeated rows.  White space is what Unicode calls so (a no-break space too becomes one space); the content of
+script, style, template, object, svg, canvas and the like is no text.  A page is held by one task at a time, whatever its length; nothing is cut.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def model(n_pages: int = 400, seed: int = 11) -> ChainCRF:
         found = html_blocks.blocks(html)
         sequences.append(html_blocks.features(found))
         labels.append([int(any(a <= begin < b for a, b in main)) for *_, begin in found])
-    return ChainCRF.train(sequences, labels, html_blocks.N_FEATURES, 2, epochs=80)
+    return ChainCRF.train(sequences, labels, html_blocks.N_FEATURES, 2, epochs=80, l2=1e-4)
 
 
 def main_blocks(crf: ChainCRF, pages: list[str]) -> list[tuple[int, list[str]]]:

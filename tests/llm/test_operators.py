@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from larchspan.llm.crf import ChainCRF
 from larchspan.llm import exact_dedup, html_blocks, html_extract, labelled_pages, language_id, lm_bloom, mixing, packing, pii_crf, quality_cascade, queries, secret_scan, simhash_gray
 from tests.comparing import duck, same
+from tests.llm.pages_elsewhere import PAGES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,6 +73,13 @@ def test_extraction_of_one_page():
     assert html_extract.main_blocks(html_extract.model(), [page])[0][1] == ["A & B", "First part of it.", "Second <part> goes on here."]
 
 
+@pytest.mark.parametrize("kind", sorted(PAGES))
+def test_extraction_of_pages_from_elsewhere(kind):
+    html, want = PAGES[kind]
+    got = html_extract.main_blocks(html_extract.model(), [html])[0][1]
+    assert got == want
+
+
 def test_extraction_equals_the_template(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}
