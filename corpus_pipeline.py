@@ -1,7 +1,8 @@
 """A training-data pipeline: each stage reads what its predecessor kept.
 
 A stage is a function of (spark, docs, sf_dir).  All but the last return the columns of `documents`; the last returns
-the packed pieces.  `run` writes each stage's rows as Parquet in the shared folder and reads them for the next one.
+the packed pieces.  `run` writes each stage's rows as Parquet in the shared folder, reads them for the next one, and
+removes them once that is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larchspan.llm import exact_dedup, mixing, packing, quality_cascade, simhash_gray
-from larchspan.session import scratch
+from larchspan.session import discard, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +45,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the rows of the stage before are written on and needed no more
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
