@@ -48,13 +48,18 @@ def extraterrestrial(doy: Column, latitude: Column) -> Column:
     return F.lit(24 * 60 / math.pi * SOLAR) * dr * (ws * F.sin(latitude) * F.sin(d) + F.cos(latitude) * F.cos(d) * F.sin(ws))
 
 
+def clear_sky(ra: Column, z: Column) -> Column:
+    """Radiation under a clear sky at z metres."""
+    return (F.lit(0.75) + F.lit(2e-5) * z) * ra
+
+
 def daylight_hours(doy: Column, latitude: Column) -> Column:
     return F.lit(24 / math.pi) * sun(doy, latitude)[2]
 
 
 def net_longwave(tmax: Column, tmin: Column, ea: Column, rs: Column, rso: Column) -> Column:
     k = (F.pow(tmax + 273.16, F.lit(4.0)) + F.pow(tmin + 273.16, F.lit(4.0))) / 2
-    return F.lit(BOLTZMANN) * k * (F.lit(0.34) - F.lit(0.14) * F.sqrt(ea)) * (F.lit(1.35) * F.least(rs / rso, F.lit(1.0)) - F.lit(0.35))
+    return F.lit(BOLTZMANN) * k * (F.lit(0.34) - F.lit(0.14) * F.sqrt(ea)) * (F.lit(1.35) * F.greatest(F.lit(0.0), F.least(rs / rso, F.lit(1.0))) - F.lit(0.35))
 
 
 def et0(tmax: Column, tmin: Column, tmean: Column, ea: Column, u2: Column, rn: Column, gamma: Column) -> Column:
@@ -64,8 +69,25 @@ def et0(tmax: Column, tmin: Column, tmean: Column, ea: Column, u2: Column, rn: C
     return (F.lit(0.408) * s * rn + gamma * F.lit(900.0) / (tmean + 273.0) * u2 * (es - ea)) / (s + gamma * (F.lit(1.0) + F.lit(0.34) * u2))
 
 
+#: Published coefficients (a + b t) of forest air from station temperature and of bark from forest air.
+FOREST_AIR = {"min": (1.44, 0.82), "mean": (0.50, 0.81), "max": (1.03, 0.86)}
+BARK = {"min": (0.56, 0.99), "mean": (-0.48, 1.03), "max": (0.03, 0.99)}
+#: Development thresholds and the coefficients of its decline above the optimum.
+LOWER, OPTIMUM, UPPER = 8.3, 30.4, 38.9
+ALPHA, BETA, GAMMA, LETHAL = 0.02876507, 3.5922336, 1.24657367, 40.9958913
+
+
+def forest_air(t: Column, kind: str) -> Column:
+    """Forest air temperature from the station's; kind is min, mean or max."""
+    return F.lit(FOREST_AIR[kind][0]) + F.lit(FOREST_AIR[kind][1]) * t
+
+
+def bark(t: Column, kind: str) -> Column:
+    """Bark temperature from forest air temperature."""
+    return F.lit(BARK[kind][0]) + F.lit(BARK[kind][1]) * t
+
+
 def effective_bark(t: Column) -> Column:
-    """Effective bark temperature: linear to 30.4, exponential below 38.9, 0 outside; missing stays missing."""
-    line = t - F.lit(8.3)
-    fall = F.greatest(F.lit(0.0), F.lit(22.1) * F.exp(-F.pow((t - F.lit(30.4)) / F.lit(4.0), F.lit(2.0))))
-    return F.when(t.isNull(), None).when(t < 8.3, 0.0).when(t <= 30.4, line).when(t < 38.9, fall).otherwise(0.0)
+    """Effective bark temperature: linear up to the optimum, declining up to the upper limit, 0 outside; missing stays missing."""
+    fall = F.lit(OPTIMUM - LOWER) * (F.exp(F.lit(ALPHA) * t) - F.exp(F.lit(ALPHA * LETHAL) - (F.lit(LETHAL) - t) / F.lit(BETA)) - F.lit(GAMMA))
+    return F.when(t.isNull(), None).when((t > LOWER) & (t <= OPTIMUM), t - F.lit(LOWER)).when((t > OPTIMUM) & (t < UPPER), fall).otherwise(0.0)

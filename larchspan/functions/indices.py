@@ -46,7 +46,7 @@ def continuum_ratio(nir: Column, low: Column, high: Column) -> Column:
 
 
 register_index("ndvi", ("b08", "b04"), -1, "greenness")(lambda b: normalised_difference(b["b08"], b["b04"]))
-register_index("ndre", ("b08", "b05"), -1, "red edge")(lambda b: normalised_difference(b["b08"], b["b05"]))
+register_index("ndre", ("b8a", "b05"), -1, "red edge")(lambda b: normalised_difference(b["b8a"], b["b05"]))
 register_index("ndmi", ("b8a", "b11"), -1, "moisture")(lambda b: normalised_difference(b["b8a"], b["b11"]))
 register_index("crswir", ("b8a", "b11", "b12"), 1, "short-wave continuum")(lambda b: continuum_ratio(b["b8a"], b["b11"], b["b12"]))
 

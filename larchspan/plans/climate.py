@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larchspan.functions import climate as cl
+from larchspan.operators import phenology
 from larchspan.plans.kit import WEATHER, query
 from larchspan.sources import domain
 
@@ -35,21 +36,21 @@ SAT = "CAST(0.6108 AS DOUBLE) * exp(CAST(17.27 AS DOUBLE) * {t} / ({t} + CAST(23
 
 
 @query(f"""
-WITH w AS (SELECT *, CAST(dayofyear(date) AS DOUBLE) AS j, radians(CAST(57 AS DOUBLE)) AS phi FROM weather),
+WITH w AS (SELECT *, CAST(dayofyear(date) AS DOUBLE) AS j, radians(CAST(57 AS DOUBLE)) AS phi, (tmax + tmin) / 2 AS mid FROM weather),
 a AS (SELECT *, 1 + CAST(0.033 AS DOUBLE) * cos(CAST(2 * 3.141592653589793 / 365 AS DOUBLE) * j) AS dr, CAST(0.409 AS DOUBLE) * sin(CAST(2 * 3.141592653589793 / 365 AS DOUBLE) * j - CAST(1.39 AS DOUBLE)) AS decl FROM w),
 b AS (SELECT *, acos(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), -tan(phi) * tan(decl)))) AS ws FROM a),
-c AS (SELECT *, CAST(24 * 60 / 3.141592653589793 * 0.0820 AS DOUBLE) * dr * (ws * sin(phi) * sin(decl) + cos(phi) * cos(decl) * sin(ws)) AS ra, {SAT.format(t='tmin')} AS ea, ({SAT.format(t='tmax')} + {SAT.format(t='tmin')}) / 2 AS es, 4098 * {SAT.format(t='tmean')} / ((tmean + CAST(237.3 AS DOUBLE)) * (tmean + CAST(237.3 AS DOUBLE))) AS s FROM b),
-d AS (SELECT *, CAST(0.5 AS DOUBLE) * ra AS rs, CAST(0.75 AS DOUBLE) * ra AS rso, CAST(0.000665 AS DOUBLE) * CAST(101.3 AS DOUBLE) * pow((CAST(293 AS DOUBLE) - CAST(0.0065 AS DOUBLE) * 50) / CAST(293 AS DOUBLE), CAST(5.26 AS DOUBLE)) AS gamma FROM c),
-e AS (SELECT *, CAST(0.77 AS DOUBLE) * rs - CAST(4.903e-9 AS DOUBLE) * (pow(tmax + CAST(273.16 AS DOUBLE), CAST(4 AS DOUBLE)) + pow(tmin + CAST(273.16 AS DOUBLE), CAST(4 AS DOUBLE))) / 2 * (CAST(0.34 AS DOUBLE) - CAST(0.14 AS DOUBLE) * sqrt(ea)) * (CAST(1.35 AS DOUBLE) * least(rs / rso, CAST(1 AS DOUBLE)) - CAST(0.35 AS DOUBLE)) AS rn FROM d)
-SELECT node, date, round(ra, 6) AS ra, round(CAST(24 / 3.141592653589793 AS DOUBLE) * ws, 6) AS daylight, round((CAST(0.408 AS DOUBLE) * s * rn + gamma * 900 / (tmean + 273) * 2 * (es - ea)) / (s + gamma * (1 + CAST(0.34 AS DOUBLE) * 2)), 6) AS et0 FROM e
+c AS (SELECT *, CAST(24 * 60 / 3.141592653589793 * 0.0820 AS DOUBLE) * dr * (ws * sin(phi) * sin(decl) + cos(phi) * cos(decl) * sin(ws)) AS ra, {SAT.format(t='tmin')} AS ea, ({SAT.format(t='tmax')} + {SAT.format(t='tmin')}) / 2 AS es, 4098 * {SAT.format(t='mid')} / ((mid + CAST(237.3 AS DOUBLE)) * (mid + CAST(237.3 AS DOUBLE))) AS s FROM b),
+d AS (SELECT *, CAST(0.17 AS DOUBLE) * sqrt(tmax - tmin) * ra AS rs, (CAST(0.75 AS DOUBLE) + CAST(2e-5 AS DOUBLE) * 50) * ra AS rso, CAST(0.000665 AS DOUBLE) * CAST(101.3 AS DOUBLE) * pow((CAST(293 AS DOUBLE) - CAST(0.0065 AS DOUBLE) * 50) / CAST(293 AS DOUBLE), CAST(5.26 AS DOUBLE)) AS gamma FROM c),
+e AS (SELECT *, CAST(0.77 AS DOUBLE) * rs - CAST(4.903e-9 AS DOUBLE) * (pow(tmax + CAST(273.16 AS DOUBLE), CAST(4 AS DOUBLE)) + pow(tmin + CAST(273.16 AS DOUBLE), CAST(4 AS DOUBLE))) / 2 * (CAST(0.34 AS DOUBLE) - CAST(0.14 AS DOUBLE) * sqrt(ea)) * (CAST(1.35 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), least(rs / rso, CAST(1 AS DOUBLE))) - CAST(0.35 AS DOUBLE)) AS rn FROM d)
+SELECT node, date, round(ra, 6) AS ra, round(CAST(24 / 3.141592653589793 AS DOUBLE) * ws, 6) AS daylight, round((CAST(0.408 AS DOUBLE) * s * rn + gamma * 900 / (mid + 273) * 2 * (es - ea)) / (s + gamma * (1 + CAST(0.34 AS DOUBLE) * 2)), 6) AS et0 FROM e
 """, WEATHER)
 def et0_fao56(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = domain.daily_weather(spark, sf_dir)
     j, phi = F.dayofyear("date").cast("double"), F.radians(F.lit(57.0))
     ra, ea = cl.extraterrestrial(j, phi), cl.saturation(F.col("tmin"))
-    rs, rso = F.lit(0.5) * ra, F.lit(0.75) * ra
+    rs, rso = F.lit(0.17) * F.sqrt(F.col("tmax") - F.col("tmin")) * ra, cl.clear_sky(ra, F.lit(50.0))  # radiation from the day's range
     rn = F.lit(1 - cl.ALBEDO) * rs - cl.net_longwave(F.col("tmax"), F.col("tmin"), ea, rs, rso)
-    out = cl.et0(F.col("tmax"), F.col("tmin"), F.col("tmean"), ea, F.lit(2.0), rn, cl.psychrometric(cl.pressure(F.lit(50.0))))
+    out = cl.et0(F.col("tmax"), F.col("tmin"), (F.col("tmax") + F.col("tmin")) / 2, ea, F.lit(2.0), rn, cl.psychrometric(cl.pressure(F.lit(50.0))))
     return w.select("node", "date", F.round(ra, 6).alias("ra"), F.round(cl.daylight_hours(j, phi), 6).alias("daylight"), F.round(out, 6).alias("et0"))
 
 
@@ -82,55 +83,76 @@ def _since_march(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.daily_weather(spark, sf_dir).where(F.date_format("date", "MM-dd") >= "03-07")
 
 
-PHENO = """p AS (SELECT *, greatest(tmax - CAST(8.3 AS DOUBLE), 0) AS heat, greatest(tmean - CAST(5.12 AS DOUBLE), 0) AS warm, sum(greatest(tmax - CAST(8.3 AS DOUBLE), 0)) OVER y AS sum_heat, sum(greatest(tmean - CAST(5.12 AS DOUBLE), 0)) OVER y AS sum_warm, sum(greatest(tmax - CAST(8.3 AS DOUBLE), 0)) OVER (PARTITION BY node, year) AS total_heat FROM weather WHERE strftime(date, '%m-%d') >= '03-07' WINDOW y AS (PARTITION BY node, year ORDER BY date)),
-on1 AS (SELECT node, year, min(date) FILTER (tmax > CAST(14.5 AS DOUBLE) AND sum_heat >= 140) AS infestation, min(date) FILTER (sum_warm >= 100 AND tmax >= CAST(16.11 AS DOUBLE)) AS swarming, any_value(total_heat) AS total FROM p GROUP BY 1, 2)"""
+def effective_sql(t: str) -> str:
+    d = lambda x: f"CAST({x!r} AS DOUBLE)"
+    return f"CASE WHEN {t} > {d(cl.LOWER)} AND {t} <= {d(cl.OPTIMUM)} THEN {t} - {d(cl.LOWER)} WHEN {t} > {d(cl.OPTIMUM)} AND {t} < {d(cl.UPPER)} THEN ({d(cl.OPTIMUM)} - {d(cl.LOWER)}) * (exp({d(cl.ALPHA)} * {t}) - exp({d(cl.ALPHA)} * {d(cl.LETHAL)} - ({d(cl.LETHAL)} - {t}) / {d(cl.BETA)}) - {d(cl.GAMMA)}) ELSE 0 END"
+
+
+def rity_sql(variants: str) -> str:
+    """CTE `rity`: the phenology of every (node, year) for the (scenario, corrected) rows in `variants`; broods by joins."""
+    line = lambda table, t: "CASE scenario " + " ".join(f"WHEN '{s}' THEN CAST({table[k][0]} AS DOUBLE) + CAST({table[k][1]} AS DOUBLE) * {t.format(k=k)}" for s, k in phenology.SCENARIOS.items()) + " END"
+    plain = "CASE scenario " + " ".join(f"WHEN '{s}' THEN t{k}" for s, k in phenology.SCENARIOS.items()) + " END"
+    keys = "node, year, scenario, corrected"
+    return f"""sc AS (SELECT * FROM (VALUES {variants}) t(scenario, corrected)),
+se AS (SELECT *, count(*) OVER y AS days, min(date) OVER y AS a, max(date) OVER y AS b FROM weather WHERE strftime(date, '%m-%d') BETWEEN '03-07' AND '10-31' WINDOW y AS (PARTITION BY node, year)),
+sg AS (SELECT *, a = make_date(CAST(year AS INTEGER), 3, 7) AND days = date_diff('day', a, b) + 1 AS gapless, b = make_date(CAST(year AS INTEGER), 10, 31) AS ended FROM se),
+sa AS (SELECT *, CASE WHEN corrected THEN {line(cl.FOREST_AIR, 't{k}')} ELSE {plain} END AS air FROM sg CROSS JOIN sc),
+sb AS (SELECT *, {line(cl.BARK, 'air')} AS bark FROM sa),
+sh AS (SELECT *, {effective_sql('bark')} AS e, sum(greatest(tmax - CAST(8.3 AS DOUBLE), 0)) OVER (PARTITION BY {keys} ORDER BY date) AS heat FROM sb),
+si AS (SELECT {keys}, any_value(days) AS days, any_value(gapless) AS gapless, any_value(gapless AND ended) AS complete, min(date) FILTER (heat >= 53 AND tmax > CAST(14.5 AS DOUBLE)) AS swarming, min(date) FILTER (heat >= CAST(155.6 AS DOUBLE) AND tmax > CAST(14.5 AS DOUBLE)) AS infestation FROM sh GROUP BY ALL),
+sf AS (SELECT sh.*, sum(sh.e) OVER (PARTITION BY {keys} ORDER BY date) / 557 AS f1, tmax > CAST(14.5 AS DOUBLE) AND daylight_s / 3600 >= CAST(14.5 AS DOUBLE) AS fit FROM sh JOIN si USING ({keys}) WHERE date >= infestation),
+lv AS (SELECT 'F2' AS brood, CAST(1 AS DOUBLE) AS level UNION ALL SELECT 'F3', CAST(2 AS DOUBLE) UNION ALL SELECT 'S', j - CAST(0.5 AS DOUBLE) FROM range(1, 12) r(j)),
+sl AS (SELECT {keys}, brood, level, min(date) AS start FROM sf JOIN lv ON f1 > level WHERE fit GROUP BY ALL),
+sm AS (SELECT {keys}, brood, level, start, sum(e) / 557 AS total FROM sl JOIN sf USING ({keys}) WHERE date >= start GROUP BY ALL),
+s1 AS (SELECT {keys}, max(f1) AS sum_f1, min(date) FILTER (f1 >= 1) AS f1_complete FROM sf GROUP BY ALL),
+rity AS (SELECT {keys}, days, complete, CASE WHEN gapless THEN swarming END AS swarming, CASE WHEN gapless THEN infestation END AS infestation, CASE WHEN gapless THEN sum_f1 END AS sum_f1, CASE WHEN gapless THEN f1_complete END AS f1_complete,
+  CASE WHEN gapless THEN f2.start END AS start_f2, CASE WHEN gapless THEN f2.total END AS sum_f2, CASE WHEN gapless THEN f3.start END AS start_f3, CASE WHEN gapless THEN f3.total END AS sum_f3,
+  CASE WHEN gapless THEN (CASE WHEN sum_f1 >= CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END) + (CASE WHEN f2.total >= CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END) + (CASE WHEN f3.total >= CAST(0.6 AS DOUBLE) THEN 1 ELSE 0 END) END AS n_filial,
+  CASE WHEN gapless THEN coalesce(ns, 0) END AS n_sister
+  FROM si LEFT JOIN s1 USING ({keys}) LEFT JOIN (SELECT * FROM sm WHERE brood = 'F2') f2 USING ({keys}) LEFT JOIN (SELECT * FROM sm WHERE brood = 'F3') f3 USING ({keys})
+  LEFT JOIN (SELECT {keys}, count(*) AS ns FROM sm WHERE brood = 'S' AND total >= CAST(0.6 AS DOUBLE) GROUP BY ALL) USING ({keys}))"""
 
 
-def onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running sums by day, and the first day that meets each threshold."""
-    y = W.partitionBy("node", "year").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    p = _since_march(spark, sf_dir).withColumns({"heat": F.greatest(F.col("tmax") - 8.3, F.lit(0.0)), "warm": F.greatest(F.col("tmean") - 5.12, F.lit(0.0))})
-    p = p.withColumns({"sum_heat": F.sum("heat").over(y), "sum_warm": F.sum("warm").over(y)})
-    return p.groupBy("node", "year").agg(
-        F.min(F.when((F.col("tmax") > 14.5) & (F.col("sum_heat") >= 140), F.col("date"))).alias("infestation"),
-        F.min(F.when((F.col("sum_warm") >= 100) & (F.col("tmax") >= 16.11), F.col("date"))).alias("swarming"), F.sum("heat").alias("total"),
-        F.min(F.when((F.col("tmax") > 14.5) & (F.col("sum_heat") >= 140), F.col("sum_heat") - F.col("heat"))).alias("before"),
-    )
-
-
-@query("SELECT node, year, infestation, swarming FROM on1", WEATHER, PHENO)
+@query("""
+WITH c AS (SELECT *, sum(greatest(tmean - CAST(5.12 AS DOUBLE), 0)) OVER (PARTITION BY node, year ORDER BY date) AS warm FROM weather WHERE strftime(date, '%m-%d') <= '10-31'),
+k AS (SELECT node, year, CASE WHEN strftime(min(date), '%m-%d') = '01-01' THEN min(date) FILTER (warm >= 100 AND tmax >= CAST(16.11 AS DOUBLE)) END AS swarming_check FROM c GROUP BY 1, 2)
+SELECT node, year, swarming, infestation, swarming_check FROM rity FULL JOIN k USING (node, year)
+""", WEATHER, rity_sql("('AVG', false)"))
 def swarming_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return onset(spark, sf_dir).select("node", "year", "infestation", "swarming")
+    """First days over the degree-day sums with weather for flight; the check counts from 1 January by another model."""
+    w = domain.daily_weather(spark, sf_dir)
+    got = phenology.rity(w, ["node"]).select("node", "year", "swarming", "infestation")
+    return got.join(phenology.swarming_check(w, ["node"]), ["node", "year"], "full").select("node", "year", "swarming", "infestation", "swarming_check")
 
 
 @query("""
-WITH r AS (SELECT o.node, o.year, o.infestation, (o.total - (p.sum_heat - p.heat)) / 557 AS f1 FROM on1 o LEFT JOIN p ON p.node = o.node AND p.year = o.year AND p.date = o.infestation)
-SELECT node, year, round(f1, 5) AS f1, CAST(greatest(0, floor(coalesce(f1, 0) + 0.5)) AS BIGINT) AS sisters, CASE WHEN f1 > 2 THEN 3 WHEN f1 > 1 THEN 2 WHEN f1 IS NOT NULL THEN 1 ELSE 0 END AS generations, coalesce(f1 - floor(f1) >= 0.6, false) AS overwinters FROM r
-""", WEATHER, PHENO)
+SELECT node, year, days, complete, infestation, round(sum_f1, 5) AS sum_f1, f1_complete, start_f2, round(sum_f2, 5) AS sum_f2, start_f3, round(sum_f3, 5) AS sum_f3, CAST(n_filial AS BIGINT) AS n_filial, CAST(n_sister AS BIGINT) AS n_sister FROM rity
+""", WEATHER, rity_sql("('AVG', false)"))
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temperature sums restart at the onset: the year's total less what had run up before it; sisters without a bound."""
-    f1 = (F.col("total") - F.col("before")) / 557
-    o = onset(spark, sf_dir).withColumn("f1", F.when(F.col("infestation").isNotNull(), f1))
-    gen = F.when(F.col("f1") > 2, 3).when(F.col("f1") > 1, 2).when(F.col("f1").isNotNull(), 1).otherwise(0)
-    return o.select("node", "year", F.round("f1", 5).alias("f1"), F.greatest(F.lit(0).cast("long"), F.floor(F.coalesce("f1", F.lit(0.0)) + 0.5)).alias("sisters"), gen.alias("generations"), F.coalesce(F.col("f1") - F.floor("f1") >= 0.6, F.lit(False)).alias("overwinters"))
+    """Filial generations and sister broods of each year, from effective bark temperatures."""
+    r = phenology.rity(domain.daily_weather(spark, sf_dir), ["node"])
+    return r.select("node", "year", "days", "complete", "infestation", *[F.round(c, 5).alias(c) for c in ("sum_f1", "sum_f2", "sum_f3")], "f1_complete", "start_f2", "start_f3", "n_filial", "n_sister")
 
 
-@query("""
-WITH b AS (SELECT node, date, CASE WHEN tmax < CAST(8.3 AS DOUBLE) THEN 0 WHEN tmax <= CAST(30.4 AS DOUBLE) THEN tmax - CAST(8.3 AS DOUBLE) WHEN tmax < CAST(38.9 AS DOUBLE) THEN greatest(0, CAST(22.1 AS DOUBLE) * exp(-pow((tmax - CAST(30.4 AS DOUBLE)) / CAST(4 AS DOUBLE), CAST(2 AS DOUBLE)))) ELSE 0 END AS e FROM weather)
-SELECT node, date, round(e, 6) AS effective FROM b
+@query(f"""
+SELECT node, date, round({effective_sql("tmax")}, 6) AS of_air, round({effective_sql("(CAST(0.03 AS DOUBLE) + CAST(0.99 AS DOUBLE) * tmax)")}, 6) AS of_bark, round({effective_sql("(CAST(-0.48 AS DOUBLE) + CAST(1.03 AS DOUBLE) * (CAST(0.5 AS DOUBLE) + CAST(0.81 AS DOUBLE) * tmean))")}, 6) AS of_forest FROM weather
 """, WEATHER)
 def bark_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.daily_weather(spark, sf_dir).select("node", "date", F.round(cl.effective_bark(F.col("tmax")), 6).alias("effective"))
+    """Effective temperatures of the daily maximum, of bark under it, and of bark under forest air of the daily mean."""
+    t = F.col("tmax")
+    out = {"of_air": t, "of_bark": cl.bark(t, "max"), "of_forest": cl.bark(cl.forest_air(F.col("tmean"), "mean"), "mean")}
+    return domain.daily_weather(spark, sf_dir).select("node", "date", *[F.round(cl.effective_bark(c), 6).alias(n) for n, c in out.items()])
 
 
 @query("""
-SELECT node, year, round(sum(precip) FILTER (month(date) < 5), 4) AS spring, round(sum(precip) FILTER (month(date) BETWEEN 5 AND 8), 4) AS summer, round(sum(precip) FILTER (month(date) > 8), 4) AS autumn FROM weather GROUP BY 1, 2
-""", WEATHER)
+SELECT node, year, round(max(sum_f1) FILTER (scenario = 'MIN'), 5) AS sum_min, round(max(sum_f1) FILTER (scenario = 'AVG'), 5) AS sum_avg, round(max(sum_f1) FILTER (scenario = 'MAX'), 5) AS sum_max,
+  CAST(max(n_filial) FILTER (scenario = 'MIN') AS BIGINT) AS n_min, CAST(max(n_filial) FILTER (scenario = 'AVG') AS BIGINT) AS n_avg, CAST(max(n_filial) FILTER (scenario = 'MAX') AS BIGINT) AS n_max FROM rity GROUP BY 1, 2
+""", WEATHER, rity_sql("('MIN', false), ('AVG', false), ('MAX', false)"))
 def scenario_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants side by side: one pivot instead of a join per variant."""
-    w = domain.daily_weather(spark, sf_dir).withColumn("s", F.when(F.month("date") < 5, "spring").when(F.month("date") <= 8, "summer").otherwise("autumn"))
-    p = w.groupBy("node", "year").pivot("s", ["spring", "summer", "autumn"]).agg(F.sum("precip"))
-    return p.select("node", "year", *[F.round(c, 4).alias(c) for c in ("spring", "summer", "autumn")])
+    """Scenarios side by side: one pivot instead of a join per scenario."""
+    r = phenology.rity(domain.daily_weather(spark, sf_dir), ["node"], ("MIN", "AVG", "MAX"))
+    p = r.groupBy("node", "year").pivot("scenario", ["MIN", "AVG", "MAX"]).agg(F.max("sum_f1").alias("sum"), F.max("n_filial").alias("n"))
+    return p.select("node", "year", *[F.round(f"{s}_sum", 5).alias(f"sum_{s.lower()}") for s in ("MIN", "AVG", "MAX")], *[F.col(f"{s}_n").alias(f"n_{s.lower()}") for s in ("MIN", "AVG", "MAX")])
 
 
 @query("""

@@ -211,11 +211,11 @@ def false_alarm_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c.px, size, strength, round(price * pow(10, strength * CAST(-3 AS DOUBLE) / 10), 6) AS injected FROM cells c, (SELECT unnest([CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)]) AS strength) WHERE px % 17 = 0
+SELECT c.px, size, strength, round(price * pow(10, strength * CAST(-3 AS DOUBLE) / 10), 6) AS injected FROM cells c, (SELECT unnest([CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)]) AS strength)
 """, CELLS)
 def synthetic_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites with their value changed by a strength in decibels; strengths are a column."""
-    c = cells(spark, sf_dir).where("px % 17 = 0").withColumn("strength", F.explode(F.array(F.lit(1.0), F.lit(2.0))))
+    c = cells(spark, sf_dir).withColumn("strength", F.explode(F.array(F.lit(1.0), F.lit(2.0))))
     return c.select("px", "size", "strength", F.round(F.col("price") * F.pow(F.lit(10.0), F.col("strength") * -3.0 / 10), 6).alias("injected"))
 
 

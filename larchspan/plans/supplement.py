@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larchspan.functions import indices as ix
-from larchspan.operators import raster, sampling, spatial
+from larchspan.operators import phenology, raster, sampling, spatial
+from larchspan.plans.climate import rity_sql
 from larchspan.plans.kit import GRID, IDX, OBJECTS, OBS, REFS, UNITS, WEATHER, query
 from larchspan.plans.masks import FOREST, forest_table
 from larchspan.plans.objects import CELLS, cells
@@ -97,15 +98,20 @@ def object_orbit_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT rid, rid % 100 + 1 AS px, cut_date FROM refs WHERE rid % 50 = 0)
-SELECT rid, o.ts, CASE WHEN CAST(o.ts AS DATE) < cut_date THEN 'pre' ELSE 'post' END AS phase, date_diff('day', CAST(o.ts AS DATE), cut_date) AS days_to_cut, round(median(o.ndvi), 6) AS ndvi FROM r JOIN idx o ON o.px = r.px WHERE o.valid GROUP BY ALL
+WITH r AS (SELECT rid, rid % 100 + 1 AS px, cut_date FROM refs)
+SELECT rid, o.ts, CASE WHEN CAST(o.ts AS DATE) < cut_date THEN 'pre' ELSE 'post' END AS phase, date_diff('day', CAST(o.ts AS DATE), cut_date) AS days_to_cut, round(median(o.ndvi), 6) AS ndvi FROM r JOIN idx o ON o.px = r.px WHERE o.valid AND abs(date_diff('day', CAST(o.ts AS DATE), cut_date)) <= 45 GROUP BY ALL
 """, REFS, OBS, IDX)
-def reference_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of each reference with its phase and the days to its date."""
-    r = domain.references(spark, sf_dir).where("rid % 50 = 0").select("rid", (F.col("rid") % 100 + 1).alias("px"), "cut_date")
-    o = ix.with_indices(domain.obs(spark, sf_dir).where("valid"), ["ndvi"]).select("px", "ts", "ndvi").join(r, "px")
-    d = F.to_date("ts")
-    return o.groupBy("rid", "ts", F.when(d < F.col("cut_date"), "pre").otherwise("post").alias("phase"), F.date_diff("cut_date", d).cast("long").alias("days_to_cut")).agg(F.round(F.median("ndvi"), 6).alias("ndvi"))
+def reference_series(spark: SparkSession, sf_dir: str, days: int = 45) -> DataFrame:
+    """Series of each reference around its date, with the phase and the days to the date.
+
+    Dates meet in buckets as long as the window, so a long series does not meet every reference of its cell."""
+    r = domain.references(spark, sf_dir).select("rid", (F.col("rid") % 100 + 1).alias("px"), "cut_date")
+    day = lambda c: F.unix_date(F.to_date(c))
+    near = r.withColumn("b", F.explode(F.sequence(F.floor((day("cut_date") - days) / days), F.floor((day("cut_date") + days) / days))))
+    o = ix.with_indices(domain.obs(spark, sf_dir).where("valid"), ["ndvi"]).select("px", "ts", "ndvi", F.floor(day("ts") / days).alias("b"))
+    d = F.date_diff("cut_date", F.to_date("ts"))
+    o = o.join(near, ["px", "b"]).where(F.abs(d) <= days)
+    return o.groupBy("rid", "ts", F.when(F.to_date("ts") < F.col("cut_date"), "pre").otherwise("post").alias("phase"), d.cast("long").alias("days_to_cut")).agg(F.round(F.median("ndvi"), 6).alias("ndvi"))
 
 
 @query("""
@@ -230,16 +236,16 @@ def representative_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT rid, try AS k, CAST('0x' || substr(md5('move|' || rid || '|' || try), 1, 8) AS BIGINT) % (SELECT count(*) FROM cells) + 1 AS px FROM refs, range(0, 20) r(try) WHERE rid % 20 = 0)
-SELECT rid, arg_min(t.px, k) AS px, min(k) AS tries FROM t JOIN cells c USING (px) WHERE c.cls <> 2 GROUP BY rid
+WITH c AS (SELECT count(*) AS total FROM cells), t AS (SELECT rid, try AS k, CAST('0x' || substr(md5('move|' || rid || '|' || try), 1, 8) AS BIGINT) % total + 1 AS px FROM refs, range(0, 200) r(try), c),
+f AS (SELECT rid, arg_min(t.px, k) AS px, min(k) AS tries FROM t JOIN cells c USING (px) WHERE c.cls <> 2 GROUP BY rid)
+SELECT refs.rid, coalesce(f.px, l.px) AS px, coalesce(f.tries, 199) AS tries FROM refs LEFT JOIN f USING (rid) LEFT JOIN (SELECT rid, px FROM t WHERE k = 199) l USING (rid)
 """, REFS, CELLS)
 def random_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-drawn places for each record, the first that is forest."""
-    c = cells(spark, sf_dir)
-    n = c.agg(F.count(F.lit(1)).alias("total"))
-    r = domain.references(spark, sf_dir).where("rid % 20 = 0").select("rid", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).crossJoin(F.broadcast(n))
-    t = r.select("rid", F.col("k").cast("long").alias("k"), (sampling.draw(F.col("total"), "move", F.col("rid"), F.col("k")) + 1).alias("px"))
-    return t.join(c.where("cls <> 2").select("px"), "px").groupBy("rid").agg(F.min_by("px", "k").alias("px"), F.min("k").alias("tries"))
+    """Hash-drawn places for each record: the first of 200 that is forest, else the last."""
+    c = cells(spark, sf_dir).select("px", (F.col("cls") != 2).alias("forest"))
+    r = domain.references(spark, sf_dir).select("rid")
+    got = sampling.relocated(r, "rid", c, "move", 200)
+    return got.select("rid", "px", "tries")
 
 
 @query(None)
@@ -304,15 +310,12 @@ def proxy_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT node, year, s AS scenario, k AS daylight_shift, sum(greatest(tmax + s - CAST(8.3 AS DOUBLE), 0)) FILTER (daylight_s + k * 60 >= 52200) AS heat FROM weather, (SELECT unnest([CAST(-1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)]) AS s), (SELECT unnest([-16, 0, 16]) AS k) WHERE s = 0 OR k = 0 GROUP BY ALL)
-SELECT node, year, scenario, daylight_shift, round(coalesce(heat, 0), 4) AS heat FROM v
-""", WEATHER)
+SELECT node, year, scenario, corrected, infestation, round(sum_f1, 5) AS sum_f1, CAST(n_filial AS BIGINT) AS n_filial, CAST(n_sister AS BIGINT) AS n_sister FROM rity
+""", WEATHER, rity_sql("('MIN', false), ('AVG', false), ('MAX', false), ('MIN', true), ('AVG', true), ('MAX', true)"))
 def phenology_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenarios and day-length variants as rows of one plan."""
-    variants = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("k")) for s in (-1.0, 0.0, 1.0) for k in (-16, 0, 16) if s == 0 or k == 0])
-    w = domain.daily_weather(spark, sf_dir).select("node", "year", "tmax", "daylight_s", F.explode(variants).alias("v"))
-    heat = F.sum(F.when(F.col("daylight_s") + F.col("v.k") * 60 >= 52200, F.greatest(F.col("tmax") + F.col("v.s") - 8.3, F.lit(0.0))))
-    return w.groupBy("node", "year", F.col("v.s").alias("scenario"), F.col("v.k").alias("daylight_shift")).agg(F.round(F.coalesce(heat, F.lit(0.0)), 4).alias("heat"))
+    """Temperature scenarios, with and without the forest-air correction, as rows of one plan."""
+    r = phenology.rity(domain.daily_weather(spark, sf_dir), ["node"], ("MIN", "AVG", "MAX"), (False, True))
+    return r.select("node", "year", "scenario", "corrected", "infestation", F.round("sum_f1", 5).alias("sum_f1"), "n_filial", "n_sister")
 
 
 @query("""
@@ -373,14 +376,14 @@ def layer_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT a.method, a.k, a.win, round(a.rate, 6) AS rate, round(b.fa, 6) AS base_fa, round(c.fa, 6) AS injected_fa FROM (SELECT p_partkey % 3 AS method, CAST(p_size % 5 AS BIGINT) AS k, p_partkey % 4 AS win, avg(CASE WHEN p_retailprice > 1200 THEN 1.0 ELSE 0.0 END) AS rate FROM part GROUP BY 1, 2, 3) a
-JOIN (SELECT p_partkey % 4 AS win, CAST(p_size % 5 AS BIGINT) AS k, avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END) AS fa FROM part GROUP BY 1, 2) b USING (win, k) JOIN (SELECT p_partkey % 4 AS win, CAST(p_size % 5 AS BIGINT) AS k, avg(CASE WHEN p_size > 30 THEN 1.0 ELSE 0.0 END) AS fa FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) c USING (win, k)
+JOIN (SELECT p_partkey % 4 AS win, CAST(p_size % 5 AS BIGINT) AS k, avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END) AS fa FROM part GROUP BY 1, 2) b USING (win, k) JOIN (SELECT p_partkey % 4 AS win, CAST(p_size % 5 AS BIGINT) AS k, avg(CASE WHEN p_size > 30 THEN 1.0 ELSE 0.0 END) AS fa FROM part GROUP BY 1, 2) c USING (win, k)
 """)
 def rate_alarm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates with two false-alarm tables on window and threshold."""
     p = domain.table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("method"), (F.col("p_size") % 5).cast("long").alias("k"), (F.col("p_partkey") % 4).alias("win"), "p_partkey", "p_size", "p_retailprice")
     a = p.groupBy("method", "k", "win").agg(F.avg((F.col("p_retailprice") > 1200).cast("double")).alias("rate"))
     b = p.groupBy("win", "k").agg(F.avg((F.col("p_size") > 40).cast("double")).alias("b"))
-    c = p.where("p_partkey % 2 = 0").groupBy("win", "k").agg(F.avg((F.col("p_size") > 30).cast("double")).alias("c"))
+    c = p.groupBy("win", "k").agg(F.avg((F.col("p_size") > 30).cast("double")).alias("c"))
     return a.join(b, ["win", "k"]).join(c, ["win", "k"]).select("method", "k", "win", F.round("rate", 6).alias("rate"), F.round("b", 6).alias("base_fa"), F.round("c", 6).alias("injected_fa"))
 
 

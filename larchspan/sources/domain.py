@@ -74,7 +74,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, x0, y0, x1, y1, cut_date, year, subtype, ha: dated register records with boxes."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 == 0)
+    o = table(spark, sf_dir, "orders")
     x, y = (F.col("o_custkey") % 50) * 100, F.floor(F.col("o_custkey") / 50) * 100
     side = F.col("o_orderkey") % 40 + 5
     return o.select(
@@ -92,10 +92,17 @@ def unit_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node, date, tmax, tmin, tmean, precip, et0, daylight_s: a seasonal course with the day's order noise."""
+    """node, date, year, tmax, tmin, tmean, precip, et0, daylight_s: a seasonal course with the day's order noise.
+
+    Nodes 0 to 2 have every day from the first order's year on; node 3 has the days with orders only, so it has gaps.
+    """
     o = table(spark, sf_dir, "orders")
     day = o.groupBy((F.col("o_custkey") % 4).alias("node"), F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
+    span = o.agg(F.trunc(F.min("o_orderdate"), "year").alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("date")).withColumn("node", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])))
+    day = days.join(day, ["node", "date"], "left").where((F.col("node") < 3) | F.col("n").isNotNull())
     season = F.cos((F.dayofyear("date") - 200).cast("double") * lit(0.0172142))
-    noise = (F.col("top") % 7).cast("double")
-    tmax = lit(12.0) + lit(11.0) * season + noise
-    return day.select("node", "date", F.year("date").cast("long").alias("year"), tmax.alias("tmax"), (tmax - lit(9.0)).alias("tmin"), (tmax - lit(4.5)).alias("tmean"), (F.col("n").cast("double") + F.col("top") % 3).alias("precip"), (lit(1.5) + lit(1.2) * season).alias("et0"), (lit(43200.0) + lit(19000.0) * season).alias("daylight_s"))
+    noise = F.coalesce((F.col("top") % 7).cast("double"), lit(3.0))
+    spread = lit(7.0) + F.coalesce((F.col("top") % 5).cast("double"), lit(2.0))
+    tmax = lit(14.0) + lit(13.0) * season + noise
+    return day.select("node", "date", F.year("date").cast("long").alias("year"), tmax.alias("tmax"), (tmax - spread).alias("tmin"), (tmax - spread / 2).alias("tmean"), (F.coalesce("n", F.lit(0)).cast("double") + F.coalesce(F.col("top") % 3, lit(0.0))).alias("precip"), (lit(1.5) + lit(1.2) * season).alias("et0"), (lit(43200.0) + lit(19000.0) * season).alias("daylight_s"))

@@ -31,13 +31,19 @@ def scene_items(df: DataFrame, body: str) -> DataFrame:
     )
 
 
+#: Tag, the value it must have (any if empty) and the kind of line that it tells, first match first.
+LINE_TAGS = (("highway", "", "road"), ("waterway", "", "waterway"), ("power", "line", "power_line"))
+
+
 def line_kinds(df: DataFrame, body: str) -> DataFrame:
     """Ways of a map service to (id, kind, subtype, n): at least two vertices; kind from the first tag that is known."""
     schema = "elements array<struct<id: long, type: string, tags: map<string,string>, geometry: array<struct<lat: double, lon: double>>>>"
     e = df.select(F.explode(F.from_json(body, schema)["elements"]).alias("e")).where((F.col("e.type") == "way") & (F.size("e.geometry") >= 2))
-    tags = F.col("e.tags")
-    kind = F.when(tags["highway"].isNotNull(), "road").when(tags["railway"].isNotNull(), "rail").when(tags["power"].isNotNull(), "power").when(tags["waterway"].isNotNull(), "water").otherwise("other")
-    return e.select(F.col("e.id").alias("id"), kind.alias("kind"), F.coalesce(tags["highway"], tags["railway"], tags["power"], tags["waterway"]).alias("subtype"), F.size("e.geometry").alias("n"))
+    tags, kind = F.col("e.tags"), None
+    for tag, value, name in LINE_TAGS:
+        has = tags[tag] == value if value else tags[tag].isNotNull()
+        kind = F.when(has, name) if kind is None else kind.when(has, name)
+    return e.select(F.col("e.id").alias("id"), kind.otherwise("other").alias("kind"), F.coalesce(*[F.nullif(tags[t], F.lit("")) for t, *_ in LINE_TAGS]).alias("subtype"), F.size("e.geometry").alias("n"))
 
 
 def either_date(text: Column) -> Column:
