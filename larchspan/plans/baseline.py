@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ SELECT px, bool_or(disturbed) AS disturbed, max(CASE WHEN disturbed THEN year EN
 def loyo_cleanliness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline years held against the years before them (the first against the others): is a year disturbed?"""
     df = indexed(spark, sf_dir, ["ndvi"]).where(in_baseline())
-    df = series.doy_window_baseline(df, ["ndvi"], in_baseline(), admit=lambda y: F.when(F.col("year") == 1998, y != 1998).otherwise(y < F.col("year")))
+    df = series.doy_window_baseline(df, ["ndvi"], in_baseline(), admit=lambda ref, own: np.where(own == 1998, ref != 1998, ref < own))
     z = series.z_score(F.col("ndvi"), F.col("ndvi_med"), F.col("ndvi_mad"), -1, 0.035)
     runs = series.persistent_runs(df.withColumn("z", z).where("z is not null"), F.col("z") >= 1.2, ["px", "year"])
     return runs.groupBy("px").agg(F.bool_or("hit").alias("disturbed"), F.max(F.when(F.col("hit"), F.col("year"))).alias("last_year"), F.count(F.lit(1)).alias("years"))
@@ -145,7 +146,7 @@ FROM lo WHERE z IS NOT NULL GROUP BY year, month(ts) HAVING count(*) >= 50
 """, OBS, IDX, _loyo_sql("r.year <> t.year"))
 def loyo_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seasonal bias: scores of each baseline year against all others, by month."""
-    df = series.doy_window_baseline(indexed(spark, sf_dir, ["ndvi"]).where(in_baseline()), ["ndvi"], in_baseline(), admit=lambda y: y != F.col("year"))
+    df = series.doy_window_baseline(indexed(spark, sf_dir, ["ndvi"]).where(in_baseline()), ["ndvi"], in_baseline(), admit=lambda ref, own: ref != own)
     df = df.withColumn("z", series.z_score(F.col("ndvi"), F.col("ndvi_med"), F.col("ndvi_mad"), -1, 0.035)).where("z is not null")
     p = F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     out = df.groupBy("year", F.month("ts").cast("long").alias("month")).agg(p.alias("p"), F.avg((F.col("z") >= 2.5).cast("double")).alias("s"), F.count(F.lit(1)).alias("n")).where("n >= 50")

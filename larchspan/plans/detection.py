@@ -62,8 +62,7 @@ FEATURES = """feat AS (SELECT a.px, any_value(r.hit OR r.pending) AS flag, any_v
 
 def feature_table(df: DataFrame) -> DataFrame:
     """Per location: flag, first, run_len, pending, medians over the anomalous rows from the first on, share of cuts."""
-    r = runs(df)
-    joined = df.join(r, "px", "left")
+    joined = series.with_runs(df, (F.col("year") == 2001) & F.col("has_z"), F.col("anomalous"), ["px"])
     late = (F.col("year") == 2001) & F.col("anomalous") & (F.col("ts") >= F.col("first"))
     return joined.groupBy("px").agg(
         F.first(F.col("hit") | F.col("pending")).alias("flag"), F.first("first").alias("first"), F.first("longest").alias("run_len"), F.first("pending").alias("pending"),

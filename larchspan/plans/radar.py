@@ -28,9 +28,9 @@ def linear_composite_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT uid, orbit, ts, round(lin / median(CASE WHEN uid % 3 = 0 THEN lin END) OVER (PARTITION BY orbit, CAST(ts AS DATE)), 6) AS normalised FROM units", UNITS)
 def scene_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each scene (orbit and day) divided by the median of its stable units."""
-    w = W.partitionBy("orbit", F.to_date("ts"))
-    u = domain.unit_series(spark, sf_dir)
-    return u.select("uid", "orbit", "ts", F.round(F.col("lin") / F.median(F.when(F.col("uid") % 3 == 0, F.col("lin"))).over(w), 6).alias("normalised"))
+    u = domain.unit_series(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    scenes = u.where("uid % 3 = 0").groupBy("orbit", "day").agg(F.median("lin").alias("med"))
+    return u.join(scenes, ["orbit", "day"], "left").select("uid", "orbit", "ts", F.round(F.col("lin") / F.col("med"), 6).alias("normalised"))
 
 
 COMPOSITES = """comp AS (SELECT uid, orbit, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'pre' ELSE 'post' END AS win, avg(lin) AS m, avg(lin * 0.5 + 1) AS m2, count(*) AS n FROM units GROUP BY 1, 2, 3),
@@ -69,10 +69,11 @@ zz AS (SELECT uid, cz.cls, CASE WHEN mad > 0 THEN (idx - med) / (CAST(1.4826 AS
 
 def class_scores(df: DataFrame, value: str = "idx", by: str = "cls", stable: str = "uid % 3 <> 0") -> DataFrame:
     """`df` with `z`: robust z with the statistics of the class's stable members; NULL without any or without spread."""
-    w = W.partitionBy(by)
-    df = df.withColumn("_v", F.when(F.expr(stable), F.col(value))).withColumn("_med", F.median("_v").over(w))
-    df = df.withColumn("_mad", F.median(F.abs(F.col("_v") - F.col("_med"))).over(w))
-    return df.withColumn("z", F.when(F.col("_mad") > 0, (F.col(value) - F.col("_med")) / (F.lit(1.4826) * F.col("_mad")))).drop("_v", "_med", "_mad")
+    members = df.where(stable).select(by, F.col(value).alias("_v"))
+    center = members.groupBy(by).agg(F.median("_v").alias("_med"))
+    spread = members.join(center, by).groupBy(by, "_med").agg(F.median(F.abs(F.col("_v") - F.col("_med"))).alias("_mad"))
+    df = df.join(spread, by, "left")  # a row a class, small enough for Spark to broadcast
+    return df.withColumn("z", F.when(F.col("_mad") > 0, (F.col(value) - F.col("_med")) / (F.lit(1.4826) * F.col("_mad")))).drop("_med", "_mad")
 
 
 @query("SELECT uid, cls, round(z, 6) AS z FROM zz", UNITS, COMPOSITES, CLASS_Z)
