@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from larchspan.operators.graph import components
 
@@ -61,12 +64,63 @@ def with_minimum(labelled: DataFrame, least: int, *by: str) -> DataFrame:
     return labelled.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n")
 
 
-def distance_to(cells: DataFrame, targets: DataFrame, radius: int) -> DataFrame:
-    """`cells` with `distance` (in cells, NULL beyond `radius`) and `nearest`, the smallest px among the closest."""
-    reach = kernel(targets.select(F.col("px").alias("target"), F.col("row").alias("_tr"), F.col("col").alias("_tc"), "row", "col"), disc(radius))
-    d2 = (F.col("row") - F.col("_tr")) * (F.col("row") - F.col("_tr")) + (F.col("col") - F.col("_tc")) * (F.col("col") - F.col("_tc"))
-    best = reach.groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "target")).alias("m"))
-    return cells.join(best, ["row", "col"], "left").withColumn("distance", F.sqrt(F.col("m.d2").cast("double"))).withColumn("nearest", F.col("m.target")).drop("m")
+def distance_to(grid: DataFrame, target: Column, most: float | None = None) -> DataFrame:
+    """`grid` (px, row, col) with `distance` in cells to the nearest cell where `target` holds, and `nearest`, the
+    smallest px among the closest; NULL beyond `most`, and everywhere if there is no target.
+
+    Exact, in two passes of grouped Arrow functions: along each row, the nearest target of its row for every column of
+    the grid (cells that a ragged grid lacks stand in for this pass); then down each column the best of the cells' own,
+    those one row away, two rows away ... until that many rows are further than any cell's best.
+    """
+    columns = grid.columns
+    bounds = grid.agg(F.min("col").alias("_c0"), F.max("col").alias("_c1"))  # one row
+
+    def along(table: pa.Table) -> pa.Table:
+        col, hit = table.column("col").to_numpy().astype(np.int64), table.column("_hit").to_numpy(zero_copy_only=False)
+        c0, c1 = table.column("_c0")[0].as_py(), table.column("_c1")[0].as_py()
+        out = table.select(columns)
+        if not hit.any():
+            return out.append_column("_d", pa.nulls(len(col), pa.int64())).append_column("_px", pa.nulls(len(col), pa.int64())).append_column("_real", pa.array(np.ones(len(col), bool)))
+        lacking = np.setdiff1d(np.arange(c0, c1 + 1), col)
+        if len(lacking):
+            fill = {c: pa.nulls(len(lacking), out.schema.field(c).type) for c in columns}
+            fill |= {"row": pa.array(np.full(len(lacking), table.column("row")[0].as_py()), out.schema.field("row").type), "col": pa.array(lacking, out.schema.field("col").type)}
+            out = pa.concat_tables([out, pa.table(fill, out.schema)])
+        every = np.concatenate([col, lacking])
+        order = np.lexsort((table.column("px").to_numpy()[hit], col[hit]))
+        tc, tp = col[hit][order], table.column("px").to_numpy()[hit][order]
+        right = np.minimum(np.searchsorted(tc, every), len(tc) - 1)
+        left = np.maximum(np.searchsorted(tc, every, "right") - 1, 0)
+        d_left, d_right = np.abs(every - tc[left]), np.abs(every - tc[right])
+        use = (d_left < d_right) | ((d_left == d_right) & (tp[left] < tp[right]))
+        out = out.append_column("_d", pa.array(np.where(use, d_left, d_right))).append_column("_px", pa.array(np.where(use, tp[left], tp[right]).astype(np.int64)))
+        return out.append_column("_real", pa.array(np.arange(len(every)) < len(col)))
+
+    def down(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        row = table.column("row").to_numpy().astype(np.int64)
+        h = int(row[-1] - row[0]) + 1
+        at, none = row - row[0], np.iinfo(np.int64).max
+        d2, px = np.full(h, none), np.full(h, none)  # of the row pass, by row; a row without a cell holds nothing
+        d = table.column("_d").fill_null(-1).to_numpy().astype(np.int64)
+        has = d >= 0
+        d2[at[has]], px[at[has]] = d[has] ** 2, table.column("_px").fill_null(-1).to_numpy()[has]
+        best, who = d2.copy(), px.copy()
+        for k in range(1, h):
+            if k * k > best[at].max():
+                break
+            for to, of in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+                new = np.where(d2[of] < none, d2[of] + k * k, none)
+                better = (new < best[to]) | ((new == best[to]) & (px[of] < who[to]))
+                best[to][better], who[to][better] = new[better], px[of][better]
+        gone = best[at] == none if most is None else best[at] > most * most
+        out = table.select(columns).append_column("distance", pa.array(np.sqrt(best[at].astype(np.float64)), mask=gone))
+        return out.append_column("nearest", pa.array(who[at], mask=gone)).filter(table.column("_real"))
+
+    schema = StructType([StructField(f.name, f.dataType) for f in grid.schema]).add("distance", "double").add("nearest", "long")
+    marked = grid.withColumn("_hit", F.coalesce(target, F.lit(False))).crossJoin(F.broadcast(bounds))
+    passed = StructType([StructField(f.name, f.dataType) for f in grid.schema]).add("_d", "long").add("_px", "long").add("_real", "boolean")
+    return marked.groupBy("row").applyInArrow(along, passed).groupBy("col").applyInArrow(down, schema)
 
 
 def box_mean(df: DataFrame, value: str, radius: int, keys: tuple[str, ...] = ()) -> DataFrame:

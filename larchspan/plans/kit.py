@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-GRID = """w AS (SELECT CAST(ceil(sqrt(max(s_suppkey))) AS BIGINT) AS width FROM supplier),
-grid AS (SELECT s_suppkey AS px, CAST(floor((s_suppkey - 1) / width) AS BIGINT) AS row, CAST((s_suppkey - 1) % width AS BIGINT) AS col, s_nationkey < 20 AS in_aoi,
+GRID = """w AS (SELECT CAST(ceil(sqrt(max(s_suppkey) + 1)) AS BIGINT) AS width FROM supplier),
+grid AS (SELECT s_suppkey AS px, CAST(floor(s_suppkey / width) AS BIGINT) AS row, CAST(s_suppkey % width AS BIGINT) AS col, s_nationkey < 20 AS in_aoi,
   CAST(s_nationkey AS BIGINT) AS region, s_acctbal AS level, width FROM supplier, w)"""
 OBS = """o0 AS (SELECT l_suppkey AS px, l_shipdate AS ts, max(l_tax) AS tax, max(l_discount) AS disc, min(l_discount) AS disc0,
   max(l_extendedprice / l_quantity) AS unit, max(l_linenumber) AS scl, max(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
@@ -24,8 +24,8 @@ IDX = """idx AS (SELECT px, ts, year, doy, valid, b02, scl,
   CASE WHEN b8a + (b12 - b8a) * CAST(1.610 - 0.865 AS DOUBLE) / CAST(2.190 - 0.865 AS DOUBLE) > 0
     THEN b11 / (b8a + (b12 - b8a) * CAST(1.610 - 0.865 AS DOUBLE) / CAST(2.190 - 0.865 AS DOUBLE)) END AS crswir FROM obs)"""
 OBJECTS = """objects AS (SELECT p_partkey AS id, CAST(p_partkey % 50 * 100 AS DOUBLE) AS x0, CAST(floor(p_partkey / 50) * 100 AS DOUBLE) AS y0,
-  CAST(p_partkey % 50 * 100 + p_size * 3 AS DOUBLE) AS x1, CAST(floor(p_partkey / 50) * 100 + p_size * 3 AS DOUBLE) AS y1,
-  CAST(p_size * 3 * p_size * 3 AS DOUBLE) / CAST(10000 AS DOUBLE) AS area_ha, CASE WHEN p_size % 3 = 0 THEN 'cut' ELSE 'stress' END AS type,
+  CAST(p_partkey % 50 * 100 + p_size * 3 AS DOUBLE) AS x1, CAST(floor(p_partkey / 50) * 100 AS DOUBLE) + CAST(p_size * 3 AS DOUBLE) / (p_partkey % 4 + 1) AS y1,
+  CAST(p_size * 3 AS DOUBLE) * (CAST(p_size * 3 AS DOUBLE) / (p_partkey % 4 + 1)) / CAST(10000 AS DOUBLE) AS area_ha, CASE WHEN p_size % 3 = 0 THEN 'cut' ELSE 'stress' END AS type,
   ['new','persistent','recovered'][p_partkey % 3 + 1] AS status, CAST(p_size AS DOUBLE) / CAST(50 AS DOUBLE) AS confidence,
   DATE '2001-05-01' + CAST(p_partkey * 7 % 140 AS INTEGER) AS first_detected FROM part)"""
 REFS = """refs AS (SELECT o_orderkey AS rid, CAST(o_custkey % 50 * 100 + 10 AS DOUBLE) AS x0, CAST(floor(o_custkey / 50) * 100 + 10 AS DOUBLE) AS y0,

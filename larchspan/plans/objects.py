@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,8 +12,8 @@ from larchspan.plans.kit import OBJECTS, query
 from larchspan.sources import domain
 
 #: Cells of the larger test grid: one per part, marked by size.
-CELLS = """cw AS (SELECT CAST(ceil(sqrt(max(p_partkey))) AS BIGINT) AS width FROM part),
-cells AS (SELECT p_partkey AS px, CAST(floor((p_partkey - 1) / width) AS BIGINT) AS row, CAST((p_partkey - 1) % width AS BIGINT) AS col, CAST(p_size AS BIGINT) AS size,
+CELLS = """cw AS (SELECT CAST(ceil(sqrt(max(p_partkey) + 1)) AS BIGINT) AS width FROM part),
+cells AS (SELECT p_partkey AS px, CAST(floor(p_partkey / width) AS BIGINT) AS row, CAST(p_partkey % width AS BIGINT) AS col, CAST(p_size AS BIGINT) AS size,
   CASE WHEN p_size >= 34 THEN 1 WHEN p_size <= 14 THEN 2 ELSE 0 END AS cls, p_retailprice AS price FROM part, cw)"""
 ADJ = "adj AS (SELECT a.px AS a, b.px AS b FROM cells a JOIN cells b ON a.cls = b.cls AND a.cls > 0 AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.row BETWEEN b.row - 1 AND b.row + 1)"
 REACH = "reach AS (SELECT px AS a, px AS b FROM cells WHERE cls > 0 UNION SELECT r.a, adj.b FROM reach r JOIN adj ON adj.a = r.b)"
@@ -26,9 +26,9 @@ def labelled_sql(body: str) -> str:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = domain.table(spark, sf_dir, "part")
-    width = p.agg(F.ceil(F.sqrt(F.max("p_partkey").cast("double"))).cast("long").alias("width"))
+    width = p.agg(F.ceil(F.sqrt((F.max("p_partkey") + 1).cast("double"))).cast("long").alias("width"))
     cls = F.when(F.col("p_size") >= 34, 1).when(F.col("p_size") <= 14, 2).otherwise(0)
-    return p.crossJoin(F.broadcast(width)).select(F.col("p_partkey").alias("px"), F.floor((F.col("p_partkey") - 1) / F.col("width")).alias("row"), ((F.col("p_partkey") - 1) % F.col("width")).alias("col"), F.col("p_size").cast("long").alias("size"), cls.alias("cls"), F.col("p_retailprice").alias("price"))
+    return p.crossJoin(F.broadcast(width)).select(F.col("p_partkey").alias("px"), F.floor(F.col("p_partkey") / F.col("width")).alias("row"), (F.col("p_partkey") % F.col("width")).alias("col"), F.col("p_size").cast("long").alias("size"), cls.alias("cls"), F.col("p_retailprice").alias("price"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,21 +63,25 @@ def object_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.count(F.lit(1)) * F.lit(0.01), 6).alias("area_ha"), F.min("size").alias("first_min"), F.round(F.median("size"), 6).alias("first_median"), F.round(F.median("price"), 6).alias("z_median"), F.when(F.avg((F.col("cls") == 2).cast("double")) >= 0.5, "cut").otherwise("stress").alias("type"), F.round(F.avg((F.col("size") % 5 == 0).cast("double")), 6).alias("pending_share"))
 
 
-STATUS = """per AS (SELECT o_custkey % 97 AS label, CAST(o_orderdate AS DATE) AS d, o_totalprice / 100000 AS z, o_orderkey % 3 <> 0 AS ok FROM orders WHERE year(o_orderdate) = 1996),
+STATUS = """per AS (SELECT o_custkey % 97 AS label, CAST(o_orderdate AS DATE) AS d, o_totalprice / 100000 AS z, o_orderkey % 3 <> 0 AS ok FROM orders),
 dates AS (SELECT label, d, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) >= 0.5 AS good, median(CASE WHEN ok THEN z END) AS med FROM per GROUP BY label, d),
-st AS (SELECT label, count(*) FILTER (good AND d > DATE '1996-08-01') AS n_after, median(med) FILTER (good AND d > DATE '1996-08-01') AS med, min(d) FILTER (good) AS first_valid FROM dates GROUP BY label)"""
+det AS (SELECT label, min(d) FILTER (good AND med >= CAST(2.8 AS DOUBLE)) AS first, min(d) FILTER (good) AS first_valid FROM dates GROUP BY label),
+st AS (SELECT det.label, any_value(first) AS first, any_value(first_valid) AS first_valid, count(*) FILTER (good AND d > first) AS n_after, median(med) FILTER (good AND d > first) AS med FROM det JOIN dates USING (label) GROUP BY det.label)"""
 
 
-@query("SELECT label, n_after, first_valid, CASE WHEN label % 4 = 0 THEN 'new' WHEN n_after < 3 THEN 'new' WHEN med >= 1.25 THEN 'persistent' ELSE 'recovered' END AS status, DATE '1996-01-05' <= first_valid AS onset_before FROM st", STATUS)
+@query("SELECT label, first AS first_detected, first_valid, n_after, CASE WHEN first IS NULL THEN NULL WHEN n_after < 3 THEN 'new' WHEN med >= 1.25 THEN 'persistent' ELSE 'recovered' END AS status, first <= first_valid AS onset_before FROM st", STATUS)
 def object_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A date counts if half of the object's cells are valid; status from the valid dates after the first detection."""
-    o = domain.table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1996)
+    """A date counts if half of the object's cells are valid; the first detection is the first such date over the level,
+    and the status comes from the valid dates after it."""
+    o = domain.table(spark, sf_dir, "orders")
     per = o.select((F.col("o_custkey") % 97).alias("label"), F.to_date("o_orderdate").alias("d"), (F.col("o_totalprice") / 100000).alias("z"), (F.col("o_orderkey") % 3 != 0).alias("ok"))
     dates = per.groupBy("label", "d").agg((F.avg(F.col("ok").cast("double")) >= 0.5).alias("good"), F.median(F.when(F.col("ok"), F.col("z"))).alias("med"))
-    after = F.col("good") & (F.col("d") > F.lit("1996-08-01").cast("date"))
-    st = dates.groupBy("label").agg(F.count_if(after).alias("n_after"), F.median(F.when(after, F.col("med"))).alias("med"), F.min(F.when(F.col("good"), F.col("d"))).alias("first_valid"))
-    status = F.when(F.col("label") % 4 == 0, "new").when(F.col("n_after") < 3, "new").when(F.col("med") >= 1.25, "persistent").otherwise("recovered")
-    return st.select("label", "n_after", "first_valid", status.alias("status"), (F.lit("1996-01-05").cast("date") <= F.col("first_valid")).alias("onset_before"))
+    first = F.min(F.when(F.col("good") & (F.col("med") >= 2.8), F.col("d"))).over(W.partitionBy("label"))
+    dates = dates.withColumn("first", first)
+    after = F.col("good") & (F.col("d") > F.col("first"))
+    st = dates.groupBy("label").agg(F.min("first").alias("first"), F.min(F.when(F.col("good"), F.col("d"))).alias("first_valid"), F.count_if(after).alias("n_after"), F.median(F.when(after, F.col("med"))).alias("med"))
+    status = F.when(F.col("first").isNull(), None).when(F.col("n_after") < 3, "new").when(F.col("med") >= 1.25, "persistent").otherwise("recovered")
+    return st.select("label", F.col("first").alias("first_detected"), "first_valid", "n_after", status.alias("status"), (F.col("first") <= F.col("first_valid")).alias("onset_before"))
 
 
 SCORE = "CAST(0.35 AS DOUBLE) * least(greatest(p_retailprice / 2500, 0), 1) + CAST(0.25 AS DOUBLE) * least(greatest(p_size % 4 / greatest(3, 1), 0), 1) + CAST(0.25 AS DOUBLE) * least(greatest(p_size / CAST(40 AS DOUBLE), 0), 1) + CAST(0.15 AS DOUBLE) * least(greatest(p_partkey % 30 / CAST(15 AS DOUBLE), 0), 1)"
@@ -93,26 +97,29 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT c.px, round(min(sqrt(CAST((c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col) AS DOUBLE))), 6) AS distance,
   arg_min(t.px, ((c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col)) * 1000000 + t.px) AS nearest
-FROM cells c LEFT JOIN cells t ON t.size >= 47 AND t.row BETWEEN c.row - 5 AND c.row + 5 AND (c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col) <= 25 GROUP BY c.px
+FROM cells c LEFT JOIN cells t ON t.size >= 47 GROUP BY c.px
 """, CELLS)
 def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the nearest open cell within 5 cells, and which it is."""
-    c = cells(spark, sf_dir)
-    return raster.distance_to(c, c.where("size >= 47"), 5).select("px", F.round("distance", 6).alias("distance"), "nearest")
+    """Distance to the nearest open cell, and which it is."""
+    d = raster.distance_to(cells(spark, sf_dir).select("px", "row", "col", "size"), F.col("size") >= 47)
+    return d.select("px", F.round("distance", 6).alias("distance"), "nearest")
 
 
-@query(labelled_sql("""
-, d AS (SELECT c.px, c.label, min(sqrt(CAST((c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col) AS DOUBLE))) AS dist FROM lab c LEFT JOIN lab t ON t.cls = 2 AND t.label <> c.label AND (c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col) <= 9 AND t.row BETWEEN c.row - 3 AND c.row + 3 WHERE c.cls = 1 GROUP BY c.px, c.label)
-SELECT label, round(min(dist), 6) AS edge_distance, round(avg(CASE WHEN dist <= 2 THEN 1.0 ELSE 0.0 END), 6) AS edge_share, count(*) - count(dist) AS n_far FROM d GROUP BY label"""))
+EDGE = """ed AS (SELECT c.px, c.label, min(sqrt(CAST((c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col) AS DOUBLE))) AS dist FROM lab c LEFT JOIN cells t ON t.cls = 2 AND (c.row - t.row) * (c.row - t.row) + (c.col - t.col) * (c.col - t.col) <= 10000 WHERE c.cls = 1 GROUP BY c.px, c.label)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """px, label, dist: cells of stress objects with the distance to open cells, NULL beyond 100 cells (1 km)."""
+    grid = cells(spark, sf_dir)
+    own = raster.label8(grid.where("cls = 1"), "cls").select("px", "label")
+    d = raster.distance_to(grid.select("px", "row", "col", "cls"), F.col("cls") == 2, 100.0)
+    return own.join(d.select("px", F.col("distance").alias("dist")), "px")
+
+
+@query(labelled_sql(f"\n, {EDGE} SELECT label, round(min(dist), 6) AS edge_distance, round(avg(CASE WHEN dist <= 2 THEN 1.0 ELSE 0.0 END), 6) AS edge_share, count(*) - count(dist) AS n_far FROM ed GROUP BY label"))
 def edge_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per stress object the distance of its cells to open cells outside it, NULL beyond the window."""
-    d = labelled(spark, sf_dir)
-    own = d.where("cls = 1").select("px", "label", "row", "col")
-    reach = raster.kernel(d.where("cls = 2").select(F.col("label").alias("_l"), F.col("row").alias("_r"), F.col("col").alias("_c"), "row", "col"), raster.disc(3))
-    near = own.join(reach, ["row", "col"], "left").where("_l is null or _l <> label")
-    dist = F.sqrt(((F.col("row") - F.col("_r")) * (F.col("row") - F.col("_r")) + (F.col("col") - F.col("_c")) * (F.col("col") - F.col("_c"))).cast("double"))
-    per = near.groupBy("px", "label").agg(F.min(dist).alias("dist"))
-    return per.groupBy("label").agg(F.round(F.min("dist"), 6).alias("edge_distance"), F.round(F.avg(F.coalesce((F.col("dist") <= 2).cast("double"), F.lit(0.0))), 6).alias("edge_share"), (F.count(F.lit(1)) - F.count("dist")).alias("n_far"))
+    """Per stress object the distance of its cells to open cells, NULL beyond the window."""
+    return edges(spark, sf_dir).groupBy("label").agg(F.round(F.min("dist"), 6).alias("edge_distance"), F.round(F.avg(F.coalesce((F.col("dist") <= 2).cast("double"), F.lit(0.0))), 6).alias("edge_share"), (F.count(F.lit(1)) - F.count("dist")).alias("n_far"))
 
 
 @query("""
@@ -140,13 +147,19 @@ def patch_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("label", "n_cells", "n_edges", F.round(F.col("n_edges") / (4 * F.sqrt(F.col("n_cells").cast("double"))), 6).alias("shape_index"))
 
 
-TARGETS = """tg AS (SELECT id, type, status, area_ha, confidence, x0, y0, CASE WHEN id % 11 = 0 AND type = 'stress' THEN 3 WHEN status = 'persistent' THEN 1 WHEN type = 'cut' THEN 4 ELSE 2 END AS priority,
+TARGETS = """tg AS (SELECT id, type, status, area_ha, confidence, x0, y0, CASE WHEN (x1 - x0) / (y1 - y0) >= 3 AND type = 'stress' THEN 3 WHEN status = 'persistent' THEN 1 WHEN type = 'cut' THEN 4 ELSE 2 END AS priority,
   CASE WHEN type = 'cut' THEN area_ha ELSE 1 + confidence END AS value FROM objects)"""
 
 
+def box_elongation() -> Column:
+    """Longer over shorter side of a box."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return F.greatest(w, h) / F.least(w, h)
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = domain.objects(spark, sf_dir)
-    priority = F.when((F.col("id") % 11 == 0) & (F.col("type") == "stress"), 3).when(F.col("status") == "persistent", 1).when(F.col("type") == "cut", 4).otherwise(2)
+    priority = F.when((box_elongation() >= 3) & (F.col("type") == "stress"), 3).when(F.col("status") == "persistent", 1).when(F.col("type") == "cut", 4).otherwise(2)
     return o.withColumn("priority", priority).withColumn("value", F.when(F.col("type") == "cut", F.col("area_ha")).otherwise(1 + F.col("confidence")))
 
 
@@ -190,7 +203,7 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT id, type = 'stress' AND (id % 11) / CAST(2 AS DOUBLE) >= 3 AS linear, type = 'stress' AND coalesce(d <= 30, false) AS near_road, round(d, 6) AS road_distance
+SELECT id, type = 'stress' AND (x1 - x0) / (y1 - y0) >= 3 AS linear, type = 'stress' AND coalesce(d <= 30, false) AS near_road, round(d, 6) AS road_distance
 FROM (SELECT o.*, min(greatest(0, greatest(o.x0 - r.x, r.x - o.x1))) AS d FROM objects o, (SELECT CAST(n_nationkey * 200 + 37 AS DOUBLE) AS x FROM nation) r GROUP BY ALL)
 """, OBJECTS)
 def linear_road_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +213,7 @@ def linear_road_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.array_min(F.transform("roads", lambda x: F.greatest(F.lit(0.0), F.col("x0") - x, x - F.col("x1"))))
     o = o.withColumn("d", d)
     stress = F.col("type") == "stress"
-    return o.select("id", (stress & ((F.col("id") % 11) / 2.0 >= 3)).alias("linear"), (stress & F.coalesce(F.col("d") <= 30, F.lit(False))).alias("near_road"), F.round("d", 6).alias("road_distance"))
+    return o.select("id", (stress & (box_elongation() >= 3)).alias("linear"), (stress & F.coalesce(F.col("d") <= 30, F.lit(False))).alias("near_road"), F.round("d", 6).alias("road_distance"))
 
 
 @query("SELECT o.id, c.px FROM objects o JOIN cells c ON c.col * 100 + 50 BETWEEN o.x0 AND o.x1 AND c.row * 100 + 50 BETWEEN o.y0 AND o.y1", OBJECTS, CELLS)

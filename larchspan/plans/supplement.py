@@ -13,7 +13,7 @@ from larchspan.operators import phenology, raster, sampling, spatial
 from larchspan.plans.climate import rity_sql
 from larchspan.plans.kit import GRID, IDX, OBJECTS, OBS, REFS, UNITS, WEATHER, query
 from larchspan.plans.masks import FOREST, forest_table
-from larchspan.plans.objects import CELLS, cells
+from larchspan.plans.objects import CELLS, EDGE, cells, edges, labelled_sql
 from larchspan.plans.statistics import average_rank
 from larchspan.sources import domain
 
@@ -114,16 +114,16 @@ def reference_series(spark: SparkSession, sf_dir: str, days: int = 45) -> DataFr
     return o.groupBy("rid", "ts", F.when(F.to_date("ts") < F.col("cut_date"), "pre").otherwise("post").alias("phase"), d.cast("long").alias("days_to_cut")).agg(F.round(F.median("ndvi"), 6).alias("ndvi"))
 
 
-@query("""
-WITH d AS (SELECT type, area_ha * 37 % 11 AS dist FROM objects), x AS (SELECT type, CASE WHEN dist < 9 THEN dist END AS dist FROM d)
-SELECT type AS grp, count(*) AS n, round(median(dist), 6) AS med, round(avg(CASE WHEN dist <= 2 THEN 1.0 ELSE 0.0 END), 6) AS near_share, count(*) - count(dist) AS n_far FROM x GROUP BY type UNION ALL
+@query(labelled_sql(f"""
+, {EDGE}, x AS (SELECT CASE WHEN count(*) >= 5 THEN 'large' ELSE 'small' END AS grp, min(dist) AS dist FROM ed GROUP BY label)
+SELECT grp, count(*) AS n, round(median(dist), 6) AS med, round(avg(CASE WHEN dist <= 2 THEN 1.0 ELSE 0.0 END), 6) AS near_share, count(*) - count(dist) AS n_far FROM x GROUP BY grp UNION ALL
 SELECT 'all', count(*), round(median(dist), 6), round(avg(CASE WHEN dist <= 2 THEN 1.0 ELSE 0.0 END), 6), count(*) - count(dist) FROM x
-""", OBJECTS)
+"""))
 def edge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per group and over all, by a rollup."""
-    x = domain.objects(spark, sf_dir).select("type", (F.col("area_ha") * 37 % 11).alias("d")).select("type", F.when(F.col("d") < 9, F.col("d")).alias("dist"))
-    g = x.rollup("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("dist"), 6).alias("med"), F.round(F.avg(F.coalesce((F.col("dist") <= 2).cast("double"), F.lit(0.0))), 6).alias("near_share"), (F.count(F.lit(1)) - F.count("dist")).alias("n_far"))
-    return g.select(F.coalesce("type", F.lit("all")).alias("grp"), "n", "med", "near_share", "n_far")
+    """Edge distances of stress objects, per size group and over all, by a rollup."""
+    x = edges(spark, sf_dir).groupBy("label").agg(F.when(F.count(F.lit(1)) >= 5, "large").otherwise("small").alias("g"), F.min("dist").alias("dist"))
+    g = x.rollup("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("dist"), 6).alias("med"), F.round(F.avg(F.coalesce((F.col("dist") <= 2).cast("double"), F.lit(0.0))), 6).alias("near_share"), (F.count(F.lit(1)) - F.count("dist")).alias("n_far"))
+    return g.select(F.coalesce("g", F.lit("all")).alias("grp"), "n", "med", "near_share", "n_far")
 
 
 @query("""
@@ -183,12 +183,15 @@ def index_check_pre_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CASE WHEN col * 100 % 700 < 100 THEN '0-100' WHEN col * 100 % 700 < 300 THEN '100-300' ELSE '300+' END AS band, count(*) AS n, round(count(*) FILTER (cls = 1) / nullif(count(*) FILTER (cls <> 2), 0), 6) AS class_share, round(count(*) / sum(count(*)) OVER (), 6) AS area_share FROM cells GROUP BY 1
+WITH d AS (SELECT c.px, any_value(cls) AS cls, min(abs(col * 100 + 50 - (n_nationkey * 200 + 37))) AS d FROM cells c, nation GROUP BY c.px)
+SELECT CASE WHEN d < 50 THEN '0-50' WHEN d < 100 THEN '50-100' ELSE '100+' END AS band, count(*) AS n, round(count(*) FILTER (cls = 1) / nullif(count(*) FILTER (cls <> 2), 0), 6) AS class_share, round(count(*) / sum(count(*)) OVER (), 6) AS area_share FROM d GROUP BY 1
 """, CELLS)
 def road_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class share by distance band."""
-    d = F.col("col") * 100 % 700
-    g = cells(spark, sf_dir).groupBy(F.when(d < 100, "0-100").when(d < 300, "100-300").otherwise("300+").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cls") == 1).alias("h"), F.count_if(F.col("cls") != 2).alias("f"))
+    """Class share by the cells' distance to the nearest road (a constant-size table, sent to all tasks)."""
+    roads = domain.table(spark, sf_dir, "nation").agg(F.collect_list(F.col("n_nationkey") * 200 + 37).alias("roads"))
+    d = F.array_min(F.transform("roads", lambda x: F.abs(F.col("col") * 100 + 50 - x)))
+    c = cells(spark, sf_dir).crossJoin(F.broadcast(roads)).withColumn("d", d)
+    g = c.groupBy(F.when(F.col("d") < 50, "0-50").when(F.col("d") < 100, "50-100").otherwise("100+").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cls") == 1).alias("h"), F.count_if(F.col("cls") != 2).alias("f"))
     total = g.agg(F.sum("n").alias("t"))
     return g.crossJoin(F.broadcast(total)).select("band", "n", F.round(F.try_divide("h", "f"), 6).alias("class_share"), F.round(F.col("n") / F.col("t"), 6).alias("area_share"))
 
@@ -236,7 +239,7 @@ def representative_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT count(*) AS total FROM cells), t AS (SELECT rid, try AS k, CAST('0x' || substr(md5('move|' || rid || '|' || try), 1, 8) AS BIGINT) % total + 1 AS px FROM refs, range(0, 200) r(try), c),
+WITH c AS (SELECT count(*) AS total FROM cells), t AS (SELECT rid, try AS k, CAST('0x' || substr(md5('move|' || rid || '|' || try), 1, 8) AS BIGINT) % total AS px FROM refs, range(0, 200) r(try), c),
 f AS (SELECT rid, arg_min(t.px, k) AS px, min(k) AS tries FROM t JOIN cells c USING (px) WHERE c.cls <> 2 GROUP BY rid)
 SELECT refs.rid, coalesce(f.px, l.px) AS px, coalesce(f.tries, 199) AS tries FROM refs LEFT JOIN f USING (rid) LEFT JOIN (SELECT rid, px FROM t WHERE k = 199) l USING (rid)
 """, REFS, CELLS)

@@ -25,11 +25,11 @@ def lit(x: float) -> Column:
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """px, row, col, in_aoi, width: one row per location, laid out row by row on a square."""
     s = table(spark, sf_dir, "supplier")
-    width = s.agg(F.ceil(F.sqrt(F.max("s_suppkey").cast("double"))).cast("long").alias("width"))
+    width = s.agg(F.ceil(F.sqrt((F.max("s_suppkey") + 1).cast("double"))).cast("long").alias("width"))
     return s.crossJoin(F.broadcast(width)).select(  # a one-row side
         F.col("s_suppkey").alias("px"),
-        F.floor((F.col("s_suppkey") - 1) / F.col("width")).cast("long").alias("row"),
-        ((F.col("s_suppkey") - 1) % F.col("width")).cast("long").alias("col"),
+        F.floor(F.col("s_suppkey") / F.col("width")).cast("long").alias("row"),
+        (F.col("s_suppkey") % F.col("width")).cast("long").alias("col"),
         (F.col("s_nationkey") < 20).alias("in_aoi"),
         F.col("s_nationkey").cast("long").alias("region"),
         F.col("s_acctbal").alias("level"),
@@ -62,9 +62,10 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     x, y = (F.col("p_partkey") % 50) * 100, F.floor(F.col("p_partkey") / 50) * 100
     side = F.col("p_size") * 3
+    high = side / (F.col("p_partkey") % 4 + 1)  # squares and ever longer strips
     return p.select(
-        F.col("p_partkey").alias("id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + side).cast("double").alias("x1"), (y + side).cast("double").alias("y1"),
-        ((side * side).cast("double") / lit(10000.0)).alias("area_ha"),
+        F.col("p_partkey").alias("id"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + side).cast("double").alias("x1"), (y + high).cast("double").alias("y1"),
+        (side * high / lit(10000.0)).alias("area_ha"),
         F.when(F.col("p_size") % 3 == 0, "cut").otherwise("stress").alias("type"),
         F.element_at(F.array(*[F.lit(s) for s in ("new", "persistent", "recovered")]), (F.col("p_partkey") % 3 + 1).cast("int")).alias("status"),
         (F.col("p_size").cast("double") / lit(50.0)).alias("confidence"),

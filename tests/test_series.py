@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import datetime as dt
 import random
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larchspan.functions import climate as cl
 from larchspan.functions import indices as ix
-from larchspan.operators import geometry, harmonic, raster, series, spatial
+from larchspan.operators import geometry, harmonic, phenology, raster, series, spatial
 
 
 def frame(spark, rows, schema):
@@ -134,10 +135,88 @@ def test_fao_examples(spark):
     assert abs(v.ra - 32.2) < 0.1 and abs(v.n - 11.7) < 0.05 and abs(v.es - 3.075) < 0.01 and abs(v.s - 0.1838) < 0.001 and abs(v.p - 81.8) < 0.1 and abs(v.u - 2.4) < 0.05
 
 
-def test_bark_temperature_edges(spark):
-    t = frame(spark, [(8.0,), (8.3,), (20.0,), (30.4,), (39.0,), (None,)], "t double")
+def test_effective_bark_temperature(spark):
+    """Edges of the branches, and values inside the decline worked out by hand."""
+    want = {8.0: 0, 8.3: 0, 20.0: 11.7, 30.4: 22.1, 30.4 + 1e-9: 21.68, 33.0: 21.77, 35.0: 19.42, 37.0: 12.88, 38.9 - 1e-6: 0.014, 38.9: 0, 45.0: 0, -5.0: 0}
+    t = frame(spark, [(float(k),) for k in want] + [(None,)], "t double")
     got = [x[0] for x in t.select(cl.effective_bark(F.col("t"))).collect()]
-    assert got[0] == 0 and got[1] == 0 and abs(got[2] - 11.7) < 1e-9 and abs(got[3] - 22.1) < 1e-9 and got[4] == 0 and got[5] is None
+    assert got[-1] is None and all(abs(g - w) < 0.06 for g, w in zip(got, want.values(), strict=False))
+    v = spark.range(1).select(cl.bark(F.lit(20.0), "mean"), cl.forest_air(F.lit(20.0), "max")).first()
+    assert abs(v[0] - (-0.48 + 1.03 * 20)) < 1e-9 and abs(v[1] - (1.03 + 0.86 * 20)) < 1e-9
+
+
+def weather_year(spark, tmax, tmin, tmean, hours=15.0, first="2023-01-01", last="2023-10-31", without=()):
+    days = [datetime.date.fromisoformat(first) + datetime.timedelta(k) for k in range((datetime.date.fromisoformat(last) - datetime.date.fromisoformat(first)).days + 1)]
+    at = lambda v, d: float(v(d)) if callable(v) else float(v)
+    return frame(spark, [(1, d, d.year, at(tmax, d), at(tmin, d), at(tmean, d), at(hours, d) * 3600) for d in days if d.isoformat() not in without], "node long, date date, year long, tmax double, tmin double, tmean double, daylight_s double")
+
+
+def test_onsets_by_hand(spark):
+    """18.3 degrees give 10 degree days a day: 53 on the sixth, 155.6 on the sixteenth; no flight up to 14.5 degrees."""
+    r = phenology.rity(weather_year(spark, 18.3, 8.0, 13.0), ["node"]).first()
+    assert r.complete and r.days == 239 and (str(r.swarming), str(r.infestation)) == ("2023-03-12", "2023-03-22")
+    r = phenology.rity(weather_year(spark, lambda d: 14.0 if d.month < 5 else 20.0, 8.0, 12.0), ["node"]).first()
+    assert str(r.swarming) == str(r.infestation) == "2023-05-01"
+    tmax = lambda d: 15.0 if d.month < 4 else 17.0
+    assert str(phenology.swarming_check(weather_year(spark, tmax, 5.0, 10.0), ["node"]).first().swarming_check) == "2023-04-01"
+    assert phenology.swarming_check(weather_year(spark, tmax, 5.0, 10.0, first="2023-01-02"), ["node"]).first().swarming_check is None
+
+
+def test_gaps_and_running_years(spark):
+    r = phenology.rity(weather_year(spark, 18.3, 8.0, 13.0, without=("2023-06-01",)), ["node"]).first()
+    assert not r.complete and r.swarming is None and r.n_filial is None
+    r = phenology.rity(weather_year(spark, 18.3, 8.0, 13.0, last="2023-10-23"), ["node"]).first()
+    assert not r.complete and str(r.swarming) == "2023-03-12"
+    r = phenology.rity(weather_year(spark, 5.0, 0.0, 2.0), ["node"]).first()
+    assert r.complete and r.infestation is None and (r.n_filial, r.n_sister) == (0, 0)
+
+
+@pytest.mark.parametrize(("mean", "short_from"), [(20.0, None), (20.0, "2023-08-01"), (14.0, None), (26.0, "2023-07-01")])
+def test_broods_by_hand(spark, mean, short_from):
+    """Generations and sister broods by a loop over the days."""
+    light = lambda d: 10.0 if short_from and d.isoformat() >= short_from else 15.0
+    r = phenology.rity(weather_year(spark, 25.0, 15.0, mean, light), ["node"]).first()
+    be = -0.48 + 1.03 * mean - 8.3
+    days = [datetime.date(2023, 3, 7) + datetime.timedelta(k) for k in range(239)]
+    heat = np.cumsum(np.full(239, 25.0 - 8.3))
+    i0 = int(np.flatnonzero(heat >= 155.6)[0])
+    e = np.where(np.arange(239) >= i0, be, 0.0)
+    f1, fit = np.cumsum(e) / 557, np.array([light(d) >= 14.5 for d in days])
+
+    def brood(level):
+        at = np.flatnonzero((f1 > level) & fit)
+        return (days[at[0]], e[at[0] :].sum() / 557) if len(at) else (None, None)
+
+    sums, j = [], 1
+    while brood(j - 0.5)[0]:
+        sums.append(brood(j - 0.5)[1])
+        j += 1
+    two, three = brood(1.0), brood(2.0)
+    assert abs(r.sum_f1 - f1[-1]) < 1e-9 and r.infestation == days[i0]
+    assert (r.start_f2, r.start_f3) == (two[0], three[0])
+    assert r.n_sister == sum(x >= 0.6 for x in sums)
+    assert r.n_filial == sum(x is not None and x >= 0.6 for x in (f1[-1], two[1], three[1]))
+    cool = phenology.rity(weather_year(spark, 25.0, 15.0, mean, light), ["node"], corrected=(True,)).first()
+    assert cool.sum_f1 < r.sum_f1 and cool.swarming == r.swarming
+
+
+def test_red_edge_index_uses_the_narrow_band(spark):
+    got = ix.with_indices(frame(spark, [(0.9, 0.4, 0.1)], "b08 double, b8a double, b05 double"), ["ndre"]).first()
+    assert abs(got.ndre - (0.4 - 0.1) / (0.4 + 0.1)) < 1e-12
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 60])
+def test_distances_by_brute_force(spark, n):
+    """Every cell of a grid against every target, ties to the smallest px; exact however far the targets are."""
+    r = np.random.default_rng(n)
+    h, w = 23, 31
+    px = r.permutation(h * w)
+    chosen = set(r.choice(h * w, n, replace=False).tolist())
+    rows = [(int(px[k]), k // w, k % w, k in chosen) for k in range(h * w) if n < 60 or k % 7]  # the last grid is ragged
+    got = {x.px: (x.distance, x.nearest) for x in raster.distance_to(frame(spark, rows, "px long, row long, col long, open boolean"), F.col("open")).collect()}
+    for p, a, b, _ in rows:
+        best = min((((a - c) ** 2 + (b - d) ** 2, q) for q, c, d, o in rows if o), default=None)
+        assert got[p] == ((None, None) if best is None else (best[0] ** 0.5, best[1]))
 
 
 def test_components_join_diagonals(spark):

@@ -36,6 +36,14 @@ def test_lines_need_two_vertices(spark):
     assert [(r.id, r.kind, r.subtype) for r in got] == [(1, "road", "track")]
 
 
+def test_kinds_of_lines_by_their_tags(spark):
+    """First of road, waterway and power line; a power tag of another value tells no kind but stays as subtype."""
+    tags = [{"highway": "path", "waterway": "ditch"}, {"power": "line", "waterway": "stream"}, {"power": "line"}, {"power": "minor_line"}, {"railway": "rail"}, {}]
+    body = {"elements": [{"id": i, "type": "way", "tags": t, "geometry": [{"lat": 1, "lon": 1}, {"lat": 2, "lon": 2}]} for i, t in enumerate(tags)]}
+    got = payload.line_kinds(spark.createDataFrame([(json.dumps(body),)], "body string"), "body").orderBy("id").collect()
+    assert [(r.kind, r.subtype) for r in got] == [("road", "path"), ("waterway", "stream"), ("power_line", "line"), ("other", "minor_line"), ("other", None), ("other", None)]
+
+
 def test_daily_payload_keeps_nulls_and_first_dates(spark):
     body = {"daily": {"time": ["2001-01-01", "2001-01-02", "2001-01-01"], "temperature_2m_max": [1.5, None, 9.0]}}
     got = payload.daily_weather(spark.createDataFrame([(1, json.dumps(body))], "node long, body string"), "body", ["node"]).orderBy("date").collect()

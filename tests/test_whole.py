@@ -16,8 +16,8 @@ SF = "/root/testdata/sf0.01"
 
 def test_chip_shift_covers_the_grid(spark):
     part = pq.read_table(f"{SF}/part.parquet", columns=["p_partkey", "p_retailprice"]).to_pydict()
-    width = math.ceil(math.sqrt(max(part["p_partkey"])))
-    price = {((k - 1) // width, (k - 1) % width if k else -1): p for k, p in zip(part["p_partkey"], part["p_retailprice"], strict=True)}
+    width = math.ceil(math.sqrt(max(part["p_partkey"]) + 1))
+    price = {(k // width, k % width): p for k, p in zip(part["p_partkey"], part["p_retailprice"], strict=True)}
     across, want = (width - 1) // 16 + 1, {}
     for i, j in {(r // 16, c // 16) for r, c in price}:
         own = {k for k in price if (k[0] // 16, k[1] // 16) == (i, j)}
