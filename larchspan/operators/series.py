@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: The factor that makes a median absolute deviation a standard deviation, and the default scale floors.
 MAD_SCALE = 1.4826
@@ -58,7 +58,7 @@ def doy_window_baseline(obs: DataFrame, names: list[str], reference: Column, rea
                 out = out.append_column(c, v)
         return out
 
-    schema = StructType(list(obs.schema))
+    schema = StructType([StructField(f.name, f.dataType) for f in obs.schema])
     for name in names:
         schema = schema.add(f"{name}_n", "long").add(f"{name}_med", "double").add(f"{name}_mad", "double")
     return obs.withColumn("_ref", reference).groupBy(key).applyInArrow(run, schema)

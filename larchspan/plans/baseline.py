@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larchspan.functions import indices as ix
 from larchspan.operators import harmonic, series
 from larchspan.plans.kit import IDX, OBS, query
+from larchspan.session import checkpointed
 from larchspan.sources import domain
 
 NAMES = ["ndvi", "ndre", "ndmi", "crswir"]
@@ -37,9 +38,14 @@ def indexed(spark: SparkSession, sf_dir: str, names: list[str] = NAMES) -> DataF
     return o.select("px", "ts", "year", "doy", *names)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """px, ts, year, doy, indices, `<i>_med`, `<i>_n` and `z_<i>` of all valid rows against the baseline years."""
-    df = series.doy_window_baseline(indexed(spark, sf_dir), NAMES, in_baseline())
+def scored(spark: SparkSession, sf_dir: str, method: str = "window", harmonics: int = 1) -> DataFrame:
+    """px, ts, year, doy, indices, `<i>_med`, `<i>_n` and `z_<i>` of all valid rows against the baseline years.
+
+    `method` is "window" (days of the year around the row's) or "harmonic" (a robust fit of the annual cycle)."""
+    if method not in ("window", "harmonic"):
+        raise ValueError(f"unknown baseline method {method!r}")
+    o = indexed(spark, sf_dir)
+    df = series.doy_window_baseline(o, NAMES, in_baseline()) if method == "window" else harmonic.baseline(o, NAMES, in_baseline(), harmonics)
     return df.withColumns({f"z_{n}": series.z_score(F.col(n), F.col(f"{n}_med"), F.col(f"{n}_mad"), ix.sign(n), FLOORS[n]) for n in NAMES})
 
 
@@ -64,7 +70,7 @@ def irls_sql(rounds: int) -> str:
         out.append(f"e{r} AS (SELECT h.* EXCLUDE (w), h.w, k.n, b0 + b1*c + b2*s AS expected, abs(x - (b0 + b1*c + b2*s)) AS r FROM {p} h LEFT JOIN k{r} k USING (px))")
         out.append(f"q{r} AS (SELECT px, CAST(1.4826 AS DOUBLE) * median(r) AS scale FROM e{r} GROUP BY px)")
         if r + 1 < rounds:
-            out.append(f"w{r + 1} AS (SELECT px, ts, year, doy, ndvi, x, c, s, CASE WHEN x IS NOT NULL THEN CASE WHEN r / greatest(scale * CAST(1.345 AS DOUBLE), 1e-9) <= 1 THEN CAST(1 AS DOUBLE) ELSE 1.0 / (r / greatest(scale * CAST(1.345 AS DOUBLE), 1e-9)) END END AS w FROM e{r} JOIN q{r} USING (px))")
+            out.append(f"w{r + 1} AS (SELECT px, ts, year, doy, ndvi, x, c, s, CASE WHEN x IS NOT NULL THEN CASE WHEN r / (greatest(scale, 1e-6) * CAST(1.345 AS DOUBLE)) <= 1 THEN CAST(1 AS DOUBLE) ELSE 1.0 / (r / (greatest(scale, 1e-6) * CAST(1.345 AS DOUBLE))) END END AS w FROM e{r} JOIN q{r} USING (px))")
     return "WITH " + ",\n".join(out) + f"\nSELECT px, ts, CAST(coalesce(n, 0) AS BIGINT) AS n, round(CASE WHEN n >= 5 THEN expected END, 6) AS expected, round(CASE WHEN n >= 5 THEN scale END, 6) AS scale FROM e{rounds - 1} JOIN q{rounds - 1} USING (px)"
 
 
@@ -83,34 +89,51 @@ def harmonic_irls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harmonic(spark, sf_dir, 5)
 
 
-OFFSETS = """off AS (SELECT o.ts, CASE WHEN count(o.ndvi - b.med) >= 3 THEN median(o.ndvi - b.med) ELSE 0 END AS offset_value, count(o.ndvi - b.med) AS n
-  FROM (SELECT * FROM idx WHERE valid) o LEFT JOIN b_ndvi b ON b.px = o.px AND b.ts = o.ts GROUP BY o.ts)"""
+@query(irls_sql(5).replace("round(CASE WHEN n >= 5 THEN expected END, 6) AS expected, round(CASE WHEN n >= 5 THEN scale END, 6) AS scale", "round(CASE WHEN n >= 5 THEN -(ndvi - expected) / greatest(scale, CAST(0.035 AS DOUBLE)) END, 5) AS z_ndvi"), OBS, IDX)
+def harmonic_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores against the harmonic baseline, the other method of the detection chain."""
+    df = scored(spark, sf_dir, "harmonic")
+    return df.select("px", "ts", F.col("ndvi_n").alias("n"), F.round("z_ndvi", 5).alias("z_ndvi"))
+
+
+def offsets_sql(source: str) -> str:
+    """Per index and date the offset of the rows of `source`."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, o.ts, CASE WHEN count(o.{n} - b.med) >= 3 THEN median(o.{n} - b.med) ELSE 0 END AS offset_value, count(o.{n} - b.med) AS n FROM ({source}) o LEFT JOIN b_{n} b ON b.px = o.px AND b.ts = o.ts GROUP BY o.ts" for n in NAMES)
+
+
+OFFSETS = f"off AS (SELECT * FROM ({offsets_sql('SELECT * FROM idx WHERE valid')}))"
 
 
-def offsets(df: DataFrame, least: int = 3) -> DataFrame:
-    """ts, offset_value, n: median over the region of each row's distance from its own expectation; 0 with few rows."""
-    d = F.col("ndvi") - F.col("ndvi_med")
-    return df.groupBy("ts").agg(F.count(d).alias("n"), F.median(d).alias("m")).select("ts", F.when(F.col("n") >= least, F.col("m")).otherwise(F.lit(0.0)).alias("offset_value"), "n")
+def offsets(df: DataFrame, names: list[str], least: int = 3) -> DataFrame:
+    """ts, then `<i>_n` and `<i>_offset` per index: median over the region of each row's distance from its own
+    expectation; 0 with few rows.  All indices in one aggregate."""
+    d = {n: F.col(n) - F.col(f"{n}_med") for n in names}
+    g = df.groupBy("ts").agg(*[x for n in names for x in (F.count(d[n]).alias(f"{n}_n"), F.median(d[n]).alias(f"{n}_m"))])
+    return g.select("ts", *[x for n in names for x in (F.col(f"{n}_n"), F.when(F.col(f"{n}_n") >= least, F.col(f"{n}_m")).otherwise(F.lit(0.0)).alias(f"{n}_offset"))])
 
 
-@query("SELECT ts, round(offset_value, 6) AS offset_value, n FROM off", OBS, IDX, window_sql("ndvi"), OFFSETS)
+def _long(o: DataFrame, names: list[str]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_offset").alias("offset_value"), F.col(f"{n}_n").alias("n")) for n in names])).alias("e")
+    return o.select("ts", each).select("e.name", "ts", F.round("e.offset_value", 6).alias("offset_value"), "e.n")
+
+
+@query("SELECT name, ts, round(offset_value, 6) AS offset_value, n FROM off", OBS, IDX, WINDOWS, OFFSETS)
 def regional_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = series.doy_window_baseline(indexed(spark, sf_dir, ["ndvi"]), ["ndvi"], in_baseline())
-    return offsets(df).select("ts", F.round("offset_value", 6).alias("offset_value"), "n")
+    df = series.doy_window_baseline(indexed(spark, sf_dir), NAMES, in_baseline())
+    return _long(offsets(df, NAMES), NAMES)
 
 
-@query("""
-WITH f AS (SELECT o.px, max(-(o.ndvi - off.offset_value - b.med) / greatest(CAST(1.4826 AS DOUBLE) * b.mad, CAST(0.035 AS DOUBLE))) AS top FROM (SELECT * FROM idx WHERE valid AND year = 2001) o JOIN off USING (ts) LEFT JOIN b_ndvi b ON b.px = o.px AND b.ts = o.ts GROUP BY o.px HAVING top >= 2.2)
-SELECT o.ts, count(o.ndvi - b.med) AS n, round(CASE WHEN count(o.ndvi - b.med) >= 3 THEN median(o.ndvi - b.med) ELSE 0 END, 6) AS offset_value
-FROM (SELECT * FROM idx WHERE valid AND px NOT IN (SELECT px FROM f)) o LEFT JOIN b_ndvi b ON b.px = o.px AND b.ts = o.ts GROUP BY o.ts
-""", OBS, IDX, window_sql("ndvi"), OFFSETS)
+@query(f"""
+WITH f AS (SELECT o.px, max(-(o.ndvi - off.offset_value - b.med) / greatest(CAST(1.4826 AS DOUBLE) * b.mad, CAST(0.035 AS DOUBLE))) AS top FROM (SELECT * FROM idx WHERE valid AND year = 2001) o JOIN (SELECT * FROM off WHERE name = 'ndvi') off USING (ts) LEFT JOIN b_ndvi b ON b.px = o.px AND b.ts = o.ts GROUP BY o.px HAVING top >= 2.2)
+SELECT name, ts, n, round(offset_value, 6) AS offset_value FROM ({offsets_sql('SELECT * FROM idx WHERE valid AND px NOT IN (SELECT px FROM f)')})
+""", OBS, IDX, WINDOWS, OFFSETS)
 def two_pass_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets, locations flagged under them, and offsets again without these locations."""
-    df = series.doy_window_baseline(indexed(spark, sf_dir, ["ndvi"]), ["ndvi"], in_baseline())
-    first = offsets(df).select("ts", "offset_value")
-    z = series.z_score(F.col("ndvi") - F.col("offset_value"), F.col("ndvi_med"), F.col("ndvi_mad"), -1, 0.035)
+    """Offsets of every index, locations flagged under them, and offsets again without these locations."""
+    df = checkpointed(series.doy_window_baseline(indexed(spark, sf_dir), NAMES, in_baseline()))
+    first = offsets(df, ["ndvi"]).select("ts", "ndvi_offset")
+    z = series.z_score(F.col("ndvi") - F.col("ndvi_offset"), F.col("ndvi_med"), F.col("ndvi_mad"), -1, 0.035)
     flagged = df.where("year = 2001").join(first, "ts").groupBy("px").agg(F.max(z).alias("top")).where("top >= 2.2").select("px")
-    return offsets(df.join(flagged, "px", "left_anti")).select("ts", "n", F.round("offset_value", 6).alias("offset_value"))
+    return _long(offsets(df.join(flagged, "px", "left_anti"), NAMES), NAMES)
 
 
 def _loyo_sql(match: str, targets: str = "valid AND year BETWEEN 1998 AND 2000") -> str:

@@ -259,3 +259,17 @@ def test_hull_and_elongation():
     assert len(geometry.hull(square)) == 4 and geometry.area(geometry.hull(square)) == 4
     assert abs(geometry.elongation(np.array([[0, 0], [6, 0], [6, 2], [0, 2]], float)) - 3) < 1e-9
     assert geometry.elongation(np.array([[0, 0], [1, 0]], float)) == float("inf")
+
+
+@pytest.mark.parametrize("harmonics", [1, 2, 3])
+def test_harmonics_recover_their_signal(spark, harmonics):
+    """A planted cycle with outliers is found; below p + 2 values there is nothing."""
+    r = np.random.default_rng(harmonics)
+    coef, rows = r.normal(size=1 + 2 * harmonics), []
+    signal = lambda d: coef[0] + sum(coef[2 * k - 1] * np.cos(k * 2 * np.pi * d / 365.25) + coef[2 * k] * np.sin(k * 2 * np.pi * d / 365.25) for k in range(1, harmonics + 1))
+    for d in range(1, 366, 6):
+        rows.append((1, d, 1999, float(signal(d) + r.normal() * 0.01 + (3.0 if d % 60 == 1 else 0.0))))
+    rows += [(2, d, 1999, 1.0) for d in range(1, 2 * harmonics + 3)]
+    got = harmonic.baseline(frame(spark, rows, "px long, doy long, year long, x double"), ["x"], F.col("year") == 1999, harmonics).collect()
+    assert all(abs(g.x_med - signal(g.doy)) < 0.05 and g.x_n == 61 for g in got if g.px == 1)
+    assert all(g.x_med is None and g.x_mad is None and g.x_n == 2 * harmonics + 2 for g in got if g.px == 2)
