@@ -25,7 +25,7 @@ training rows all counts are 0; an empty table gives an empty result; a null doc
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,7 +274,7 @@ class Settings:
     more_hashes: int = 4
     slack: float = 1e-3
     block_bytes: int = 6 << 20
-    score_bytes: int = 4 << 20
+    score_bytes: int = 2 << 20
     bucket_tokens: int = 800_000
     broadcast_bytes: int = 192 << 20
 
@@ -452,12 +452,11 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def assemble(segments: list, total: int, buckets: int, mass: float, settings: Settings, words: float) -> Model:
-    """The model from its parts (kind, bucket, body), `total` bytes of segments; takes the list apart as it goes."""
+def assemble(segments: Iterable, total: int, buckets: int, mass: float, settings: Settings, words: float) -> Model:
+    """The model from its parts (kind, bucket, body), `total` bytes of segments, each part gone before the next comes."""
     starts, sizes = [np.zeros(buckets, np.int64) for _ in range(2)], [np.zeros(buckets, np.int64) for _ in range(2)]
     data, at, tables = np.zeros(total, np.uint8), 0, []
-    while segments:
-        kind, bucket, body = segments.pop()
+    for kind, bucket, body in segments:
         if kind == 12:
             tables.append((bucket, _unzip(body, "<u8", "<f8")))
             continue
@@ -607,7 +606,7 @@ class _Learned:
 
     def model(self, settings: Settings) -> Model:
         """The whole model on the driver; n_bytes says how large it is."""
-        return assemble(self.parts.collect(), self.n_segments, self.buckets, self.mass, settings, self.words)
+        return assemble(self.parts.coalesce(8).toLocalIterator(), self.n_segments, self.buckets, self.mass, settings, self.words)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> _Learned:  # noqa: B008
