@@ -37,16 +37,20 @@ def confirm(spark: SparkSession, series: DataFrame, level: float = 15.0, n: int
     base = scratch(spark, "confirm")
     day = F.datediff("ts", F.lit("2024-01-01"))
     flat = series.groupBy("uid", "ts").agg(F.max("lin").alias("lin")).withColumn("part", F.floor(day / 10))
-    flat.repartitionByRange(4, "part", "ts").sortWithinPartitions("ts").write.partitionBy("part").parquet(f"{base}/in")
+    # arrivals ten days at a time, one after another: the file source reads in the order in which files were written, and
+    # a unit's rows of one arrival are in one file
+    for (part,) in sorted(flat.select("part").distinct().collect()):  # one row for ten days of the calendar
+        flat.where(F.col("part") == part).select("uid", "ts", "lin").repartition(4, "uid").write.parquet(f"{base}/in/{part + 100_000:06d}")
     stream = spark.readStream.schema("uid long, ts timestamp, lin double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
     out_schema = "uid long, status string, first_us long, length int"
     state_schema = "start long, last long, length int, best long"  # microseconds, -1 for none
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, last, length, best = state.get if state.exists else (-1, -1, 0, -1)
-        for row in pd.concat(list(parts)).sort_values("ts").itertuples():
-            t = row.ts.value // 1000
-            if row.lin >= 10 ** (level / 10):
+        rows = pd.concat(list(parts)).sort_values("ts")
+        micros = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        for t, over in zip(micros, (rows["lin"] >= 10 ** (level / 10)).tolist(), strict=True):
+            if over:
                 start, last, length = (t if length == 0 else start), t, length + 1
                 if best < 0 and length >= n and last - start >= min_days * 86_400_000_000:
                     best = start
