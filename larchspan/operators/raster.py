@@ -123,13 +123,32 @@ def distance_to(grid: DataFrame, target: Column, most: float | None = None) -> D
     return marked.groupBy("row").applyInArrow(along, passed).groupBy("col").applyInArrow(down, schema)
 
 
+def box_means(df: DataFrame, values: list[str], radius: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with `<value>_box` for each value: mean over the (2r+1) square of cells with a value, by two passes of range
+    windows for all values at once.
+
+    The second pass goes down a column, so a place that the grid lacks, next to cells of its row, has to carry their
+    sums: such places (at the ends of rows and in gaps) are added before the first pass and removed after the second.
+    """
+    if not radius:
+        return df.withColumns({f"{v}_box": F.col(v) for v in values})
+    order, col = W.partitionBy(*keys, "row").orderBy("col"), F.col("col")
+    df = df.withColumns({"_before": F.lag("col").over(order), "_after": F.lead("col").over(order)})
+    last = F.least(col + radius, F.coalesce(F.col("_after") - 1, col + radius))
+    first = F.greatest(col - radius, F.coalesce(F.col("_before") + radius + 1, col - radius))
+    places = F.array(F.array(col), F.when(last > col, F.sequence(col + 1, last)), F.when(first < col, F.sequence(first, col - 1)))
+    df = df.withColumn("_at", F.explode(F.flatten(F.array_compact(places)))).withColumn("_own", F.col("_at") == col)
+    df = df.withColumns({"col": F.col("_at"), **{f"_v_{v}": F.when(F.col("_own"), F.col(v)) for v in values}})
+    along, across = order.rangeBetween(-radius, radius), W.partitionBy(*keys, "col").orderBy("row").rangeBetween(-radius, radius)
+    df = df.withColumns({k: x for v in values for k, x in ((f"_s_{v}", F.sum(f"_v_{v}").over(along)), (f"_n_{v}", F.count(f"_v_{v}").over(along)))})
+    df = df.withColumns({k: x for v in values for k, x in ((f"_ss_{v}", F.sum(f"_s_{v}").over(across)), (f"_nn_{v}", F.sum(f"_n_{v}").over(across)))}).where("_own")
+    df = df.withColumns({f"{v}_box": F.when(F.col(v).isNotNull() & (F.col(f"_nn_{v}") > 0), F.col(f"_ss_{v}") / F.col(f"_nn_{v}")) for v in values})
+    return df.drop("_before", "_after", "_at", "_own", *[f"_{x}_{v}" for v in values for x in ("v", "s", "n", "ss", "nn")])
+
+
 def box_mean(df: DataFrame, value: str, radius: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """`df` with `<value>_box`: mean over the (2r+1) square of cells with a value, by two passes of range windows."""
-    along = W.partitionBy(*keys, "row").orderBy("col").rangeBetween(-radius, radius)
-    across = W.partitionBy(*keys, "col").orderBy("row").rangeBetween(-radius, radius)
-    df = df.withColumns({"_s": F.sum(value).over(along), "_n": F.count(value).over(along)})
-    df = df.withColumns({"_ss": F.sum("_s").over(across), "_nn": F.sum("_n").over(across)})
-    return df.withColumn(f"{value}_box", F.when(F.col(value).isNotNull() & (F.col("_nn") > 0), F.col("_ss") / F.col("_nn"))).drop("_s", "_n", "_ss", "_nn")
+    """`df` with `<value>_box`: see `box_means`."""
+    return box_means(df, [value], radius, keys)
 
 
 def disc_mean(df: DataFrame, value: str, n: int, least_share: float = 0.7) -> DataFrame:

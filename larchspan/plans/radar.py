@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larchspan.operators import raster
+from larchspan.operators import injection, raster
 from larchspan.plans.kit import UNITS, query
 from larchspan.plans.objects import CELLS, cells
 from larchspan.sources import domain
@@ -181,43 +181,105 @@ def variant_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("iou", F.round(F.try_divide("inter", "uni"), 6))
 
 
-RATES = """inj AS (SELECT p_partkey % 3 AS method, CAST(p_size % 5 AS BIGINT) AS k, p_partkey % 4 AS win, p_retailprice > 1200 AS hit, p_size > 40 AS fa FROM part),
-rate AS (SELECT method, k, win, count(*) AS n, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS rate, avg(CASE WHEN fa THEN 1.0 ELSE 0.0 END) AS fa FROM inj GROUP BY 1, 2, 3)"""
-
-
-def rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = domain.table(spark, sf_dir, "part")
-    return p.groupBy((F.col("p_partkey") % 3).alias("method"), (F.col("p_size") % 5).cast("long").alias("k"), (F.col("p_partkey") % 4).alias("win")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p_retailprice") > 1200).cast("double")).alias("rate"), F.avg((F.col("p_size") > 40).cast("double")).alias("fa"))
+#: The experiment on the test grid: blocks of 8 x 8 cells alternate between two classes.
+SETUP = injection.Setup(sizes=(4, 9), strengths=(0.5, 1.0), windows=(1, 3), ks=(1.5, 2.0, 2.5), wanted=6, purity=0.75, gap=1, batch_share=0.05, min_cells=2)
+
+
+def land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of the injection experiment: analysis and stable cells, linear layers before and after."""
+    c = cells(spark, sf_dir).withColumn("price", F.col("price").cast("double"))
+    cls = 1 + (F.floor(F.col("row") / 8) + F.floor(F.col("col") / 8)) % 2
+    layers = {"pre_vv": F.col("price"), "post_vv": F.col("price") * (1 + (F.col("size") - 25) / F.lit(400.0)), "pre_vh": F.col("price") / 4, "post_vh": F.col("price") / 4 * (1 + (F.col("size") * 7 % 50 - 25) / F.lit(400.0))}
+    return c.select("px", "row", "col", cls.alias("cls"), (F.col("size") > 2).alias("analysis"), (F.col("size") > 6).alias("stable"), *[v.alias(k) for k, v in layers.items()])
+
+
+def _experiment_sql(body: str, found: bool = True) -> str:
+    """The experiment's steps as SQL, in front of `body`: candidates by join, sites where no better one is in reach,
+    layers per run, means over offsets, medians, and components by recursion."""
+    values = lambda rows: ", ".join(str(r) for r in rows)
+    disc = values((n, i, *o) for i, n in enumerate(SETUP.sizes) for o in raster.disc_offsets(n))
+    square = values((w, i, j) for w in SETUP.windows for i in range(-(w // 2), w // 2 + 1) for j in range(-(w // 2), w // 2 + 1))
+    cross = values((w, *o) for w in SETUP.windows for o in raster.cross(w // 2))
+    far = values((n, injection.reach(n, SETUP.gap)) for n in SETUP.sizes)
+    n_st, wanted, d = len(SETUP.strengths), SETUP.wanted, "CAST(%s AS DOUBLE)"
+    head = f"""WITH RECURSIVE {CELLS},
+land AS (SELECT px, row, col, 1 + (row // 8 + col // 8) % 2 AS cls, size > 2 AS analysis, size > 6 AS stable, CAST(price AS DOUBLE) AS pre_vv, CAST(price AS DOUBLE) * (1 + (size - 25) / {d % 400}) AS post_vv,
+  CAST(price AS DOUBLE) / 4 AS pre_vh, CAST(price AS DOUBLE) / 4 * (1 + (size * 7 % 50 - 25) / {d % 400}) AS post_vh FROM cells),
+disc(size, i, dr, dc) AS (VALUES {disc}), square(win, dr, dc) AS (VALUES {square}), spill(win, dr, dc) AS (VALUES {cross}), far(size, reach) AS (VALUES {far}),
+ks AS (SELECT unnest([{", ".join(d % k for k in SETUP.ks)}]) AS k), st AS (SELECT unnest({list(range(n_st))}) AS j, unnest([{", ".join(d % x for x in SETUP.strengths)}]) AS strength),
+cand AS (SELECT o.size, o.i, c.px, c.row, c.col, c.cls, CAST('0x' || substr(md5('inject|' || o.size || '|' || c.px), 1, 8) AS BIGINT) % 2147483648 AS draw FROM land c JOIN disc o ON true JOIN land t ON t.row = c.row + o.dr AND t.col = c.col + o.dc
+  WHERE c.stable AND t.stable GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) = o.size AND count(*) FILTER (t.cls = c.cls) >= {d % SETUP.purity} * count(*)),
+best AS (SELECT a.* FROM cand a JOIN far f USING (size) WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.size = a.size AND abs(b.row - a.row) <= f.reach AND abs(b.col - a.col) <= f.reach AND (b.draw < a.draw OR (b.draw = a.draw AND b.px < a.px)))),
+site AS (SELECT *, row_number() OVER (PARTITION BY size, cls ORDER BY draw, px) AS site FROM best QUALIFY row_number() OVER (PARTITION BY size, cls ORDER BY draw, px) <= {wanted}),
+room AS (SELECT cls, count(*) AS n FROM land WHERE stable GROUP BY cls),
+inj AS (SELECT 1 + (s.i * {n_st} + j) * {wanted} + (s.site - 1) // greatest(1, CAST(ceil({d % SETUP.batch_share} * n / s.size) AS BIGINT) - 1) AS run, CAST(s.size AS BIGINT) AS size, strength, (s.site - 1) // greatest(1, CAST(ceil({d % SETUP.batch_share} * n / s.size) AS BIGINT) - 1) AS batch, s.cls, s.site,
+  o.dr = 0 AND o.dc = 0 AS center, s.row + o.dr AS row, s.col + o.dc AS col FROM site s JOIN room USING (cls) JOIN disc o USING (size) CROSS JOIN st)"""
+    if found:
+        factor = lambda p: f"post_{p} * pow({d % 10}, coalesce(strength, 0) * {d % SETUP.base_db[p]} / 10) AS post_{p}"
+        head += f""",
+runs AS (SELECT 0 AS run UNION SELECT DISTINCT run FROM inj),
+layers AS (SELECT r.run, l.px, l.row, l.col, l.cls, l.stable, pre_vv, pre_vh, {factor("vv")}, {factor("vh")}, i.run IS NOT NULL AS inside FROM runs r CROSS JOIN land l LEFT JOIN inj i ON i.run = r.run AND i.row = l.row AND i.col = l.col WHERE l.analysis),
+means AS (SELECT a.run, o.win, a.px, a.row, a.col, a.cls, a.stable, a.inside, 10 * log10(avg(b.post_vv)) - 10 * log10(avg(b.pre_vv)) + 10 * log10(avg(b.post_vh)) - 10 * log10(avg(b.pre_vh)) AS idx
+  FROM layers a JOIN square o ON true JOIN layers b ON b.run = a.run AND b.row = a.row + o.dr AND b.col = a.col + o.dc GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+spilt AS (SELECT DISTINCT run, win, row + dr AS row, col + dc AS col FROM inj CROSS JOIN spill),
+counted AS (SELECT m.run, m.win, m.cls, idx FROM means m LEFT JOIN spilt s ON s.run = m.run AND s.win = m.win AND s.row = m.row AND s.col = m.col WHERE m.stable AND s.run IS NULL),
+med AS (SELECT run, win, cls, median(idx) AS med FROM counted GROUP BY ALL), mad AS (SELECT run, win, cls, med, median(abs(idx - med)) AS mad FROM counted JOIN med USING (run, win, cls) GROUP BY ALL),
+score AS (SELECT m.run, m.win, px, row, col, inside, (idx - med) / ({d % 1.4826} * mad) AS z FROM means m JOIN mad USING (run, win, cls) WHERE mad > 0),
+high AS (SELECT run, win, k, px, row, col, inside FROM score, ks WHERE z >= k),
+touch AS (SELECT a.run, a.win, a.k, a.px AS a, b.px AS b FROM high a JOIN high b ON a.run = b.run AND a.win = b.win AND a.k = b.k AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+walk AS (SELECT run, win, k, px AS a, px AS b FROM high UNION SELECT w.run, w.win, w.k, w.a, t.b FROM walk w JOIN touch t ON t.run = w.run AND t.win = w.win AND t.k = w.k AND t.a = w.b),
+lab AS (SELECT h.*, l.label FROM high h JOIN (SELECT run, win, k, a, min(b) AS label FROM walk GROUP BY ALL) l ON l.run = h.run AND l.win = h.win AND l.k = h.k AND l.a = h.px QUALIFY count(*) OVER (PARTITION BY h.run, h.win, h.k, l.label) >= {SETUP.min_cells}),
+det AS (SELECT i.run, i.size, i.strength, i.batch, w.win, ks.k, i.cls, i.site, avg(CAST(l.px IS NOT NULL AS INTEGER)) AS share, bool_or(i.center AND l.px IS NOT NULL) AS center_in FROM inj i CROSS JOIN (SELECT DISTINCT win FROM square) w CROSS JOIN ks
+  LEFT JOIN lab l ON l.run = i.run AND l.win = w.win AND l.k = ks.k AND l.row = i.row AND l.col = i.col GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+rate AS (SELECT win, k, size, strength, count(*) AS n, count(*) FILTER (share >= {d % SETUP.hit_share} OR center_in) AS n_hit FROM det GROUP BY 1, 2, 3, 4),
+wrong AS (SELECT run, win, k, count(*) AS n_false FROM (SELECT run, win, k, label FROM lab GROUP BY ALL HAVING NOT bool_or(inside)) GROUP BY 1, 2, 3),
+alarm AS (SELECT a.run, a.win, ks.k, coalesce(n_false, 0) AS n_false, area_ha, coalesce(n_false, 0) * {d % 1000} / nullif(area_ha, 0) AS fa FROM (SELECT run, win, count(*) FILTER (NOT inside) * {d % SETUP.cell_ha} AS area_ha FROM score GROUP BY 1, 2) a CROSS JOIN ks LEFT JOIN wrong w ON w.run = a.run AND w.win = a.win AND w.k = ks.k),
+tab AS (SELECT r.win, r.k, n, n_hit / n AS rate, b.fa AS base_fa, c.fa AS injected_fa FROM rate r JOIN alarm b ON b.run = 0 AND b.win = r.win AND b.k = r.k JOIN (SELECT win, k, avg(fa) AS fa FROM alarm WHERE run > 0 GROUP BY 1, 2) c ON c.win = r.win AND c.k = r.k WHERE r.size = 9 AND r.strength = 1)"""
+    return head + "\n" + body.strip()
+
+
+@query(_experiment_sql("""
+SELECT i.run, i.size, strength, batch, i.cls, site, center, px, round(post_vv * pow(CAST(10 AS DOUBLE), strength * CAST(0.45 AS DOUBLE) / 10), 6) AS injected_vv, round(post_vh * pow(CAST(10 AS DOUBLE), strength * CAST(0.68 AS DOUBLE) / 10), 6) AS injected_vh
+FROM inj i JOIN land l ON l.row = i.row AND l.col = i.col
+""", found=False))
+def synthetic_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the drawn sites, run by run, with both layers changed by the strength in decibels."""
+    grid = land(spark, sf_dir)
+    i = injection.footprints(grid, SETUP).join(grid.select("row", "col", "px", "post_vv", "post_vh"), ["row", "col"])
+    changed = [F.round(F.col(f"post_{p}") * F.pow(F.lit(10.0), F.col("strength") * db / 10), 6).alias(f"injected_{p}") for p, db in SETUP.base_db.items()]
+    return i.select("run", "size", "strength", "batch", "cls", "site", "center", "px", *changed)
 
 
-@query("""
-SELECT lim, method, win, k, round(rate, 6) AS rate, round(fa, 6) AS fa FROM rate, (SELECT unnest([CAST(0.05 AS DOUBLE), CAST(0.15 AS DOUBLE), CAST(0.3 AS DOUBLE)]) AS lim) WHERE fa <= lim
-QUALIFY row_number() OVER (PARTITION BY lim ORDER BY rate DESC, fa, k, method, win) = 1
-""", RATES)
+@query(_experiment_sql("SELECT win, k, size, strength, n, n_hit, round(n_hit / n, 6) AS rate FROM rate"))
 def injection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best setting under each false-alarm limit."""
-    r = rate_table(spark, sf_dir).withColumn("lim", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.15, 0.3)]))).where("fa <= lim")
-    best = r.groupBy("lim").agg(F.min(F.struct(-F.col("rate"), "fa", "k", "method", "win", "rate")).alias("m"))
-    return best.select("lim", "m.method", "m.win", "m.k", F.round("m.rate", 6).alias("rate"), F.round("m.fa", 6).alias("fa"))
+    """Share of the injected sites that is found, per window, threshold, size and strength."""
+    return injection.rates(injection.experiment(land(spark, sf_dir), SETUP), "win", "k", "size", "strength").withColumn("rate", F.round("rate", 6))
 
 
-@query("""
-SELECT method, lim, min(k) AS k, arg_min(n, k) AS n_at_k FROM (SELECT method, k, sum(n) AS n, sum(fa * n) / sum(n) AS fa FROM rate GROUP BY 1, 2), (SELECT unnest([CAST(0.1 AS DOUBLE), CAST(0.25 AS DOUBLE)]) AS lim) WHERE fa <= lim GROUP BY 1, 2
-""".replace("sum(n) AS n,", "CAST(sum(n) AS BIGINT) AS n,"), RATES)
+@query(_experiment_sql("""
+SELECT run, win, k, n_false, round(area_ha, 6) AS area_ha, round(fa, 6) AS per_1000ha, fa <= 500 AND NOT coalesce(bool_or(fa <= 500) OVER (PARTITION BY run, win ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS chosen FROM alarm
+"""))
 def false_alarm_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smallest threshold whose false-alarm rate is within the limit."""
-    r = rate_table(spark, sf_dir).groupBy("method", "k").agg(F.sum("n").alias("n"), (F.sum(F.col("fa") * F.col("n")) / F.sum("n")).alias("fa"))
-    r = r.withColumn("lim", F.explode(F.array(F.lit(0.1), F.lit(0.25)))).where("fa <= lim")
-    return r.groupBy("method", "lim").agg(F.min("k").alias("k"), F.min_by("n", "k").alias("n_at_k"))
-
-
-@query("""
-SELECT c.px, size, strength, round(price * pow(10, strength * CAST(-3 AS DOUBLE) / 10), 6) AS injected FROM cells c, (SELECT unnest([CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)]) AS strength)
-""", CELLS)
-def synthetic_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites with their value changed by a strength in decibels; strengths are a column."""
-    c = cells(spark, sf_dir).withColumn("strength", F.explode(F.array(F.lit(1.0), F.lit(2.0))))
-    return c.select("px", "size", "strength", F.round(F.col("price") * F.pow(F.lit(10.0), F.col("strength") * -3.0 / 10), 6).alias("injected"))
+    """False alarms per run, window and threshold; `chosen` is the smallest threshold within the limit."""
+    a = injection.experiment(land(spark, sf_dir), SETUP).alarms
+    least = F.min(F.when(F.col("per_1000ha") <= 500, F.col("k"))).over(W.partitionBy("run", "win"))
+    return a.select("run", "win", "k", "n_false", F.round("area_ha", 6).alias("area_ha"), F.round("per_1000ha", 6).alias("per_1000ha"), F.coalesce(F.col("k") == least, F.lit(False)).alias("chosen"))
+
+
+@query(_experiment_sql("SELECT win, k, n, round(rate, 6) AS rate, round(base_fa, 6) AS base_fa, round(injected_fa, 6) AS injected_fa FROM tab"))
+def rate_alarm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of one size and strength with the false alarms of the data as they are and of the injected runs."""
+    t = injection.merged(injection.experiment(land(spark, sf_dir), SETUP), 9, 1.0)
+    return t.select("win", "k", "n", *[F.round(c, 6).alias(c) for c in ("rate", "base_fa", "injected_fa")])
+
+
+@query(_experiment_sql("""
+SELECT lim, win, k, round(rate, 6) AS rate, round(base_fa, 6) AS base_fa FROM tab, (SELECT unnest([CAST(100 AS DOUBLE), CAST(500 AS DOUBLE), CAST(20000 AS DOUBLE)]) AS lim) WHERE base_fa <= lim QUALIFY row_number() OVER (PARTITION BY lim ORDER BY rate DESC, base_fa, k, win) = 1
+"""))
+def injection_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setting that finds most under each false-alarm limit."""
+    t = injection.recommended(injection.merged(injection.experiment(land(spark, sf_dir), SETUP), 9, 1.0), (100.0, 500.0, 20000.0))
+    return t.select("lim", "win", "k", F.round("rate", 6).alias("rate"), F.round("base_fa", 6).alias("base_fa"))
 
 
 @query("""

@@ -377,19 +377,6 @@ def layer_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("s.name", "s.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-SELECT a.method, a.k, a.win, round(a.rate, 6) AS rate, round(b.fa, 6) AS base_fa, round(c.fa, 6) AS injected_fa FROM (SELECT p_partkey % 3 AS method, CAST(p_size % 5 AS BIGINT) AS k, p_partkey % 4 AS win, avg(CASE WHEN p_retailprice > 1200 THEN 1.0 ELSE 0.0 END) AS rate FROM part GROUP BY 1, 2, 3) a
-JOIN (SELECT p_partkey % 4 AS win, CAST(p_size % 5 AS BIGINT) AS k, avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END) AS fa FROM part GROUP BY 1, 2) b USING (win, k) JOIN (SELECT p_partkey % 4 AS win, CAST(p_size % 5 AS BIGINT) AS k, avg(CASE WHEN p_size > 30 THEN 1.0 ELSE 0.0 END) AS fa FROM part GROUP BY 1, 2) c USING (win, k)
-""")
-def rate_alarm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates with two false-alarm tables on window and threshold."""
-    p = domain.table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("method"), (F.col("p_size") % 5).cast("long").alias("k"), (F.col("p_partkey") % 4).alias("win"), "p_partkey", "p_size", "p_retailprice")
-    a = p.groupBy("method", "k", "win").agg(F.avg((F.col("p_retailprice") > 1200).cast("double")).alias("rate"))
-    b = p.groupBy("win", "k").agg(F.avg((F.col("p_size") > 40).cast("double")).alias("b"))
-    c = p.groupBy("win", "k").agg(F.avg((F.col("p_size") > 30).cast("double")).alias("c"))
-    return a.join(b, ["win", "k"]).join(c, ["win", "k"]).select("method", "k", "win", F.round("rate", 6).alias("rate"), F.round("b", 6).alias("base_fa"), F.round("c", 6).alias("injected_fa"))
-
-
 @query("""
 WITH v AS (SELECT uid % 3 AS grp, uid, orbit AS variable, avg(10 * log10(lin)) AS v FROM units GROUP BY 1, 2, 3), q AS (SELECT variable, quantile_cont(v, 0.95) AS p95 FROM v WHERE grp = 2 GROUP BY variable)
 SELECT variable, grp, count(*) AS n, round(avg(CASE WHEN v > 15 THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) FILTER (v > p95) AS above_placebo FROM v JOIN q USING (variable) GROUP BY 1, 2
