@@ -12,6 +12,9 @@ detections and no area; an empty grid gives no rows.
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -97,7 +100,7 @@ def _db(x: Column) -> Column:
 
 
 def scores(grid: DataFrame, placed: DataFrame, setup: Setup) -> DataFrame:
-    """run, win, px, row, col, site (whether injected), z of the analysed cells: class-wise robust z, whose statistics
+    """run, win, px, row, col, site (whether injected), idx, d_<layer>, z of the analysed cells: class-wise robust z, whose statistics
     leave out injected cells and those that smoothing carries them to."""
     layers, marked = list(setup.base_db), placed.select("run", "row", "col", "strength")
     # the runs are bounded by the parameters, whatever the grid
@@ -110,15 +113,16 @@ def scores(grid: DataFrame, placed: DataFrame, setup: Setup) -> DataFrame:
         radius = (win - 1) // 2
         spill = raster.kernel(marked.select("run", "row", "col"), raster.cross(radius)).distinct().withColumn("spilt", F.lit(True))
         df = raster.box_means(every.join(spill, ["run", "row", "col"], "left"), [f"{when}_{p}" for p in layers for when in ("pre", "post")], radius, ("run",))
-        index = sum((_db(F.col(f"post_{p}_box")) - _db(F.col(f"pre_{p}_box")) for p in layers[1:]), _db(F.col(f"post_{layers[0]}_box")) - _db(F.col(f"pre_{layers[0]}_box")))
-        df = df.where("analysis").select("run", F.lit(win).cast("long").alias("win"), "px", "row", "col", "cls", F.col("strength").isNotNull().alias("site"), (F.col("stable") & F.col("spilt").isNull()).alias("counts"), index.alias("idx"))
+        change = {f"d_{p}": _db(F.col(f"post_{p}_box")) - _db(F.col(f"pre_{p}_box")) for p in layers}
+        df = df.where("analysis").select("run", F.lit(win).cast("long").alias("win"), "px", "row", "col", "cls", F.col("strength").isNotNull().alias("site"), (F.col("stable") & F.col("spilt").isNull()).alias("counts"), *[v.alias(c) for c, v in change.items()])
+        df = df.withColumn("idx", functools.reduce(operator.add, [F.col(c) for c in change]))
         out = df if out is None else out.unionByName(df)
     df = checkpointed(out.where("idx is not null"))
     keys = ["run", "win", "cls"]
     center = df.where("counts").groupBy(*keys).agg(F.median("idx").alias("med"))
     spread = df.where("counts").join(center, keys).groupBy(*keys, "med").agg(F.median(F.abs(F.col("idx") - F.col("med"))).alias("mad"))
     z = (F.col("idx") - F.col("med")) / (F.lit(1.4826) * F.col("mad"))
-    return df.join(spread.where("mad > 0"), keys).select("run", "win", "px", "row", "col", "site", z.alias("z"))
+    return df.join(spread.where("mad > 0"), keys).select("run", "win", "px", "row", "col", "site", "idx", *[f"d_{p}" for p in layers], z.alias("z"))
 
 
 def experiment(grid: DataFrame, setup: Setup) -> Outcome:
@@ -142,6 +146,16 @@ def experiment(grid: DataFrame, setup: Setup) -> Outcome:
     return Outcome(placed, det, alarms.withColumn("per_1000ha", F.try_divide(F.col("n_false") * 1000.0, F.col("area_ha"))))
 
 
+def candidates(grid: DataFrame, setup: Setup, win: int, k: float) -> DataFrame:
+    """label, n_cells, area_ha, and the means of z, idx and d_<layer>: the objects of the data as they are at one window
+    and threshold, without those under `min_cells`."""
+    none = grid.sparkSession.createDataFrame([], "run long, row long, col long, strength double")
+    high = scores(grid, none, dataclasses.replace(setup, windows=(win,))).where(F.col("z") >= k)
+    found = raster.with_minimum(raster.label8(checkpointed(high)), setup.min_cells)
+    means = [F.avg(c).alias(c) for c in ("z", "idx", *(f"d_{p}" for p in setup.base_db))]
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("n_cells"), *means).withColumn("area_ha", F.col("n_cells") * setup.cell_ha)
+
+
 def rates(o: Outcome, *by: str) -> DataFrame:
     """n, n_hit and rate of the sites by `by`."""
     return o.detections.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hit")).withColumn("rate", F.col("n_hit") / F.col("n"))

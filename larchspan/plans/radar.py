@@ -219,12 +219,12 @@ inj AS (SELECT 1 + (s.i * {n_st} + j) * {wanted} + (s.site - 1) // greatest(1, C
         head += f""",
 runs AS (SELECT 0 AS run UNION SELECT DISTINCT run FROM inj),
 layers AS (SELECT r.run, l.px, l.row, l.col, l.cls, l.stable, pre_vv, pre_vh, {factor("vv")}, {factor("vh")}, i.run IS NOT NULL AS inside FROM runs r CROSS JOIN land l LEFT JOIN inj i ON i.run = r.run AND i.row = l.row AND i.col = l.col WHERE l.analysis),
-means AS (SELECT a.run, o.win, a.px, a.row, a.col, a.cls, a.stable, a.inside, 10 * log10(avg(b.post_vv)) - 10 * log10(avg(b.pre_vv)) + 10 * log10(avg(b.post_vh)) - 10 * log10(avg(b.pre_vh)) AS idx
-  FROM layers a JOIN square o ON true JOIN layers b ON b.run = a.run AND b.row = a.row + o.dr AND b.col = a.col + o.dc GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+means AS (SELECT *, d_vv + d_vh AS idx FROM (SELECT a.run, o.win, a.px, a.row, a.col, a.cls, a.stable, a.inside, 10 * log10(avg(b.post_vv)) - 10 * log10(avg(b.pre_vv)) AS d_vv, 10 * log10(avg(b.post_vh)) - 10 * log10(avg(b.pre_vh)) AS d_vh
+  FROM layers a JOIN square o ON true JOIN layers b ON b.run = a.run AND b.row = a.row + o.dr AND b.col = a.col + o.dc GROUP BY 1, 2, 3, 4, 5, 6, 7, 8)),
 spilt AS (SELECT DISTINCT run, win, row + dr AS row, col + dc AS col FROM inj CROSS JOIN spill),
 counted AS (SELECT m.run, m.win, m.cls, idx FROM means m LEFT JOIN spilt s ON s.run = m.run AND s.win = m.win AND s.row = m.row AND s.col = m.col WHERE m.stable AND s.run IS NULL),
 med AS (SELECT run, win, cls, median(idx) AS med FROM counted GROUP BY ALL), mad AS (SELECT run, win, cls, med, median(abs(idx - med)) AS mad FROM counted JOIN med USING (run, win, cls) GROUP BY ALL),
-score AS (SELECT m.run, m.win, px, row, col, inside, (idx - med) / ({d % 1.4826} * mad) AS z FROM means m JOIN mad USING (run, win, cls) WHERE mad > 0),
+score AS (SELECT m.run, m.win, px, row, col, inside, idx, d_vv, d_vh, (idx - med) / ({d % 1.4826} * mad) AS z FROM means m JOIN mad USING (run, win, cls) WHERE mad > 0),
 high AS (SELECT run, win, k, px, row, col, inside FROM score, ks WHERE z >= k),
 touch AS (SELECT a.run, a.win, a.k, a.px AS a, b.px AS b FROM high a JOIN high b ON a.run = b.run AND a.win = b.win AND a.k = b.k AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
 walk AS (SELECT run, win, k, px AS a, px AS b FROM high UNION SELECT w.run, w.win, w.k, w.a, t.b FROM walk w JOIN touch t ON t.run = w.run AND t.win = w.win AND t.k = w.k AND t.a = w.b),
@@ -282,6 +282,16 @@ def injection_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("lim", "win", "k", F.round("rate", 6).alias("rate"), F.round("base_fa", 6).alias("base_fa"))
 
 
+@query(_experiment_sql("""
+SELECT label, count(*) AS n_cells, round(count(*) * CAST(0.01 AS DOUBLE), 6) AS area_ha, round(avg(z), 6) AS z, round(avg(idx), 6) AS idx, round(avg(d_vv), 6) AS d_vv, round(avg(d_vh), 6) AS d_vh
+FROM lab JOIN score USING (run, win, px) WHERE run = 0 AND win = 3 AND k = 1.5 GROUP BY label
+"""))
+def candidate_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of the data as they are at one window and threshold, with the means of their layers."""
+    c = injection.candidates(land(spark, sf_dir), SETUP, 3, 1.5)
+    return c.select("label", "n_cells", *[F.round(x, 6).alias(x) for x in ("area_ha", "z", "idx", "d_vv", "d_vh")])
+
+
 @query("""
 SELECT cls, px, CAST(floor((row_number() OVER (PARTITION BY cls ORDER BY px) - 1) / greatest(1, ceil(0.1 * count(*) OVER (PARTITION BY cls)) - 1)) AS BIGINT) AS batch FROM cells
 """, CELLS)
