@@ -49,3 +49,17 @@ def circular_days(a: Column, b: Column, period: int = 365) -> Column:
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+
+
+def round_scaled(x: Column, digits: int) -> Column:
+    """`x` times a power of ten, rounded half away from zero, and scaled back, as DuckDB rounds; Spark's `round` reads the
+    shortest decimals of `x` instead, which differs where they end in a 5."""
+    scale = F.lit(10.0**digits)
+    return F.round(x * scale, 0) / scale
+
+
+def sum_in_order(value: Column, order: Column) -> Column:
+    """Aggregate: the sum of doubles added one by one by `order`, so its last bits do not depend on partitions.  Gathers the
+    group's values, so it is for small groups; NULLs are left out, and a group of none but NULLs is NULL."""
+    held = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
+    return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda total, e: total + e["v"]))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larchspan.functions import stats
 from larchspan.operators import raster
 from larchspan.plans.kit import OBJECTS, REFS, query
 from larchspan.plans.objects import labelled, labelled_sql
@@ -68,7 +69,7 @@ SELECT CAST(floor(y0 / 500) * 10 + floor(x0 / 500) AS BIGINT) AS cell, count(*)
 """, OBJECTS)
 def grid_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = (F.floor(F.col("y0") / 500) * 10 + F.floor(F.col("x0") / 500)).cast("long")
-    return domain.objects(spark, sf_dir).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area_ha"), 4).alias("ha"), F.round(F.try_divide(F.count_if(F.col("type") == "cut"), F.count_if(F.col("status") != "new")), 6).alias("conifer_share"))
+    return domain.objects(spark, sf_dir).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), stats.round_scaled(stats.sum_in_order(F.col("area_ha"), F.col("id")), 4).alias("ha"), stats.round_scaled(F.try_divide(F.count_if(F.col("type") == "cut"), F.count_if(F.col("status") != "new")), 6).alias("conifer_share"))
 
 
 @query(labelled_sql("""
