@@ -220,11 +220,11 @@ SELECT row, col, n, round(ha, 4) AS ha, row_number() OVER (ORDER BY n DESC, ha D
 """, OBJECTS)
 def densest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten densest cells (a top-k report) with criteria flags."""
-    c = domain.objects(spark, sf_dir).groupBy(F.floor(F.col("y0") / 500).alias("row"), F.floor(F.col("x0") / 500).alias("col")).agg(F.count(F.lit(1)).alias("n"), F.sum("area_ha").alias("ha"))
+    c = domain.objects(spark, sf_dir).groupBy(F.floor(F.col("y0") / 500).alias("row"), F.floor(F.col("x0") / 500).alias("col")).agg(F.count(F.lit(1)).alias("n"), stats.sum_in_order(F.col("area_ha"), F.col("id")).alias("ha"))
     top = c.orderBy(F.desc("n"), F.desc("ha"), "row", "col").limit(10)
     w = W.orderBy(F.desc("n"), F.desc("ha"), "row", "col")  # ten rows
     many, large = F.col("n") >= 30, F.col("ha") >= 2.5
-    return top.select("row", "col", "n", F.round("ha", 4).alias("ha"), F.row_number().over(w).cast("long").alias("rank"), many.alias("many"), large.alias("large"), (many & large).alias("all_ok"))
+    return top.select("row", "col", "n", stats.round_scaled(F.col("ha"), 4).alias("ha"), F.row_number().over(w).cast("long").alias("rank"), many.alias("many"), large.alias("large"), (many & large).alias("all_ok"))
 
 
 @query("""
