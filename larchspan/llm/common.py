@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larchspan.session import checkpointed
+
 #: The characters of [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -76,10 +78,25 @@ def small_batches(docs: DataFrame, most: int = 1000) -> DataFrame:
     name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
     if 0 < int(spark.conf.get(name)) <= most:
         return docs
+    return moved(docs, session_with(spark, name, str(most)))
+
+
+def session_with(spark: SparkSession, name: str, value: str) -> SparkSession:
+    """A copy of a session with one setting of its own."""
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    own.conf.set(name, str(most))
-    plan = docs._jdf.queryExecution().analyzed()
-    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
+    own.conf.set(name, value)
+    return own
+
+
+def moved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """`df` in another session."""
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark)
+
+
+def checkpointed_alone(df: DataFrame) -> DataFrame:
+    """`df` checkpointed, and the shuffle files that this took removed as it ends, not when the driver collects garbage."""
+    own = session_with(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return moved(checkpointed(moved(df, own)), df.sparkSession)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -12,11 +12,15 @@ them back, so the probabilities of all words after a word sum to 1 but for false
 the number of hash functions follows from the corpus' size such that these add at most about `slack`.  A pair that
 occurs once keeps nothing, so it need not be in the filter, and where K(v) is 0 no pair is probed.
 
-Scoring: segments and K are broadcast while they are at most `broadcast_bytes` together; beyond that the distinct
-n-grams of each block go to the segments by a shuffle and come back with their levels, with the same results.
+Scoring: each block sends all its distinct words and pairs to their buckets, with their training counts.  A bucket that
+has built its segment reads all n-grams that it was sent back from it, once however many blocks have them, and returns
+the levels; K is added to the words' answers, as words and K are dealt alike.  A block is met again as the numbers of its
+tokens, so the texts are read once, and nothing goes through the driver.  Segments and K are broadcast instead while they
+are at most `broadcast_bytes` together, with the same results.
 
-The exact base score needs the exact count of every token, over a vocabulary that grows with the corpus: each block
-sends its distinct tokens to the tokens' buckets, which send back their totals; where they occur stays with the block.
+The exact base score needs the exact count of every token, over a vocabulary that grows with the corpus: it comes back
+with the levels of the words.  Pieces that blocks and buckets exchange would grow with the square of the corpus; buckets
+grow with its square root, to four times their size at most.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are scored alike (and counted each); with no
 training rows all counts are 0; an empty table gives an empty result; a null doc_id hashes as an empty text.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larchspan.llm.common import Numbering, crc_of_id, lower_words, mix64, rows, small_batches
+from larchspan.llm.common import Numbering, checkpointed_alone, crc_of_id, lower_words, mix64, rows, small_batches
 from larchspan.session import checkpointed
 
 END = b"\n"  # no word holds a line feed
@@ -74,6 +79,19 @@ def bucket_of(order: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return _range(keys >> U64(KEY_BITS - FIRST_BITS), buckets) if order == 0 else _range(mix64(keys) >> U64(64 - FIRST_BITS), buckets)
 
 
+def mixed(pairs: np.ndarray) -> np.ndarray:
+    """Pairs' keys as they are sorted when sent: by a hash, so that a bucket is a range of it, see bucket_of()."""
+    return mix64(pairs)
+
+
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The keys that mixed() came from."""
+    back = U64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+    for _ in range(2):
+        x = (x ^ (x >> U64(32))) * back
+    return x ^ (x >> U64(32))
+
+
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
     """1 + floor(log_base c) for c >= 1."""
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9).astype(np.int64)
@@ -166,48 +184,49 @@ def read_back(segment: bytes, keys: np.ndarray, depth: Depth) -> np.ndarray:
     return probe(data, np.zeros(1, np.int64), np.array([8 * len(data)]), np.zeros(len(keys), np.int64), keys, depth)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys of one bucket as differences, with counts: lengths, then the two streams, as compressed bytes."""
+@cache
+def _zstd() -> tuple:
+    """Compressing and decompressing functions, made once a worker: pieces are many and small."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys of one bucket as differences, with counts: lengths and the first key, then the two streams."""
     if not len(keys):
         return b""
-    gaps = np.diff(keys, prepend=U64(0))
-    wide = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    gaps = np.diff(keys, prepend=keys[:1])
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.copy()  # plane by plane; only the last two repeat enough to be worth compressing
     small = np.minimum(counts, 255).astype(np.uint8)
     large = counts[counts >= 255].astype("<u4")
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    planes = wide[:, :width].T.copy()  # plane by plane; only the last repeats enough to be worth compressing
-    head = np.array([len(keys), len(large), width], "<u4").tobytes()
-    return head + planes[:-1].tobytes() + zstandard.ZstdCompressor(level=1).compress(planes[-1].tobytes() + small.tobytes() + large.tobytes())
+    head = np.array([len(keys), len(large), width], "<u4").tobytes() + keys[:1].astype("<u8").tobytes()
+    raw = max(width - 2, 0)
+    return head + planes[:raw].tobytes() + _zstd()[0](planes[raw:].tobytes() + small.tobytes() + large.tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
     if not blob:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     n, n_large, width = (int(x) for x in np.frombuffer(blob, "<u4", 3))
-    rest = zstandard.ZstdDecompressor().decompress(blob[12 + n * (width - 1) :])
+    raw = max(width - 2, 0)
+    rest = _zstd()[1](blob[20 + n * raw :])
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, : width - 1] = np.frombuffer(blob, np.uint8, n * (width - 1), 12).reshape(width - 1, n).T
-    wide[:, width - 1] = np.frombuffer(rest, np.uint8, n)
-    counts = np.frombuffer(rest, np.uint8, n, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(rest, "<u4", n_large, 2 * n)
-    return np.cumsum(wide.reshape(-1).view("<u8")).astype(U64), counts
+    wide[:, :raw] = np.frombuffer(blob, np.uint8, n * raw, 20).reshape(raw, n).T
+    wide[:, raw:width] = np.frombuffer(rest, np.uint8, n * (width - raw)).reshape(width - raw, n).T
+    counts = np.frombuffer(rest, np.uint8, n, n * (width - raw)).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(rest, "<u4", n_large, n * (width - raw + 1))
+    return np.cumsum(wide.reshape(-1).view("<u8")).astype(U64) + np.frombuffer(blob, "<u8", 1, 12), counts
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return _zstd()[0](head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unzip(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _zstd()[1](blob)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     sizes = np.frombuffer(raw, "<u4", n, 4)
     at, out = 4 + 4 * n, []
@@ -217,6 +236,32 @@ def _unzip(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(ids: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte: first the lowest byte of all, then the next; no more bytes than the largest needs."""
+    width = max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.ravel()
+
+
+def _from_planes(planes: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        out[:, : len(planes) // n] = planes.reshape(-1, n).T
+    return out.reshape(-1).view("<u4").astype(np.int64)
+
+
+def pair_keys(hashes: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Keys of pairs of tokens, given by number."""
+    return (first_keys(hashes)[before] << U64(SECOND_BITS)) | second_keys(hashes)[ids]
+
+
+def before_in_texts(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """Number of the token before each place; a text's first token follows its start, written as the end token."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[starts[:-1]] = end
+    return out
+
+
 class _Block:
     """Rows of one block of text: token numbers of all texts one after another, each text's end token last."""
 
@@ -229,21 +274,15 @@ class _Block:
         self.ids, self.starts = self.number.ids(split)
         del split
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.starts))
-        self.first = np.zeros(len(self.ids), bool)
-        self.first[self.starts[:-1]] = True
         self.tokens = list(self.number)
         self.hashes = token_hashes(self.tokens)
 
     def before(self) -> np.ndarray:
-        """Number of the token before each place; a text's first token follows its start, written as END."""
-        out = np.empty_like(self.ids)
-        out[1:] = self.ids[:-1]
-        out[self.first] = self.number[END]
-        return out
+        return before_in_texts(self.ids, self.starts, self.number[END])
 
     def pairs(self) -> np.ndarray:
         """Keys of (token before, token) at every place."""
-        return (first_keys(self.hashes)[self.before()] << U64(SECOND_BITS)) | second_keys(self.hashes)[self.ids]
+        return pair_keys(self.hashes, self.before(), self.ids)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Block]:
@@ -276,7 +315,12 @@ class Settings:
     block_bytes: int = 6 << 20
     score_bytes: int = 2 << 20
     bucket_tokens: int = 800_000
-    broadcast_bytes: int = 192 << 20
+    broadcast_bytes: int = 2 << 20
+
+    def buckets(self, words: float) -> int:
+        """Tasks' worths of a corpus of `words` words; beyond 1000 they are fewer and larger."""
+        many = words / self.bucket_tokens
+        return max(1, math.ceil(many / min(max(many / 1000, 1.0) ** 0.5, 4.0)))
 
     def depths(self, words: float) -> tuple[Depth, Depth]:
         """Of words and of pairs in a corpus of `words` words."""
@@ -295,9 +339,9 @@ def _by_bucket(order: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int
 
 
 def _count(settings: Settings, buckets: int):  # noqa: ANN202
-    """Per block its rows and where its words occur in them (kind 2, sent along in any bucket); per bucket its distinct
-    words (kind 0) and pairs (kind 1) with their training counts.  A word sends one entry a block, however often it
-    occurs, so frequent words do not fill a bucket."""
+    """Per block its rows and their tokens by number (kind 2, sent along in any bucket); per bucket its distinct words
+    (kind 0) and pairs (kind 1) with their training counts, 0 if they occur in held out rows only.  A word sends one entry
+    a block, however often it occurs, so frequent words do not fill a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -306,36 +350,39 @@ def _count(settings: Settings, buckets: int):  # noqa: ANN202
             train_row = np.array([not k[2] for k in b.keys], bool)
             train = train_row[b.row]
             out: list[tuple] = []
-            # words by bucket, then token number; their places (row, times) in this order stay with the block's own rows
-            bucket = bucket_of(0, word_keys(b.hashes), buckets)
-            place, times = np.unique(b.ids * np.int64(len(b.keys)) + b.row, return_counts=True)
-            word, row = np.divmod(place, len(b.keys))
             total = np.bincount(b.ids[train], minlength=len(b.tokens))
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            n_places = np.bincount(word, minlength=len(b.tokens))
-            n = n_places[by]
-            at = np.repeat((np.cumsum(n_places) - n_places)[by] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            for k in np.unique(bucket).tolist():
-                own = by[edges[k] : edges[k + 1]]
+            number, at = np.empty(len(b.tokens), np.int64), 0  # tokens anew, by bucket: so their answers come in this order
+            for k, own in _by_bucket(0, word_keys(b.hashes), buckets):
                 out.append((0, k, name, _zip(np.frombuffer(b" ".join([b.tokens[i] for i in own.tolist()]), np.uint8), total[own].astype("<u4"))))
-            keys, counts = np.unique(b.pairs()[train], return_counts=True)
-            out += [(1, k, name, _pack(keys[own], counts[own])) for k, own in _by_bucket(1, keys, buckets)]
-            n_tokens = np.diff(b.starts)
-            doc = np.array([k[0] if k[0] is not None else 0 for k in b.keys], "<i8")
-            null = np.array([k[0] is None for k in b.keys], np.uint8)
-            out.append((2, (part + serial) % buckets, name, _zip(doc, null, np.array([k[1] for k in b.keys], "<i8"), (~train_row).astype(np.uint8), n_tokens.astype("<i8"), n.astype("<u4"), row[at].astype("<u4"), times[at].astype("<u4"))))
+                number[own] = np.arange(at, at + len(own))
+                at += len(own)
+            keys, counts = _distinct(mixed(b.pairs()), train)
+            edges = np.searchsorted(_range(keys >> U64(64 - FIRST_BITS), buckets), np.arange(buckets + 1)).tolist()
+            out += [(1, k, name, _pack(keys[i:j], counts[i:j])) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
+            doc, null, mark = _rows_of(b)
+            body = _zip(doc, null, mark, (~train_row).astype(np.uint8), np.diff(b.starts).astype("<i8"), _planes(number[b.ids]))
+            out.append((2, (part + serial) % buckets, name, body))
+            del b, keys, counts, train
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["kind", "bucket", "block", "body"])
 
     return run
 
 
+def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each occurs where `train` is set."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[edge], np.add.reduceat(train[order].astype(np.int64), edge)
+
+
 _REDUCED = "kind int, bucket int, block string, body binary, n_train long, n_distinct long, mass double"
 
 
 def _reduce(settings: Settings, words: float):  # noqa: ANN202
-    """Of a words' bucket: each block's words' totals (kind 0) and the words' segment (kind 10).  Of a pairs' bucket: the
-    pairs' segment (kind 11) and what the pairs of each first word keep in it (kind 12).  Blocks' rows pass through."""
+    """Of a words' bucket: each block's words' totals, levels and hashes (kind 0) and the words' segment (kind 10).  Of
+    a pairs' bucket: each block's pairs' levels (kind 1), the pairs' segment (kind 11) and what the pairs of each first word
+    keep in it (kind 12).  Blocks' rows pass through."""
     for_words, for_pairs = settings.depths(words)
     mean = expected(settings.base)
 
@@ -347,20 +394,23 @@ def _reduce(settings: Settings, words: float):  # noqa: ANN202
             out = [(2, bucket, name, body.as_py(), 0, 0, 0.0) for name, body in zip(table.column("block").to_pylist(), bodies, strict=True)]
         elif kind == 1:
             got = [_unpack(b.as_py()) for b in bodies]
-            keys = np.concatenate([g[0] for g in got])
+            edges = np.cumsum([0, *(len(g[0]) for g in got)])
+            keys, counts = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+            del got
             order = np.argsort(keys, kind="stable")
-            counts = np.concatenate([g[1] for g in got])[order]
-            keys = keys[order]
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, counts = keys[edge], np.add.reduceat(counts, edge)
-            keys, counts = keys[counts > 1], counts[counts > 1]
-            segment = build_segment(keys, counts, settings.base, for_pairs)
+            keys, counts = keys[order], counts[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            keys, counts = keys[new], np.add.reduceat(counts, np.flatnonzero(new))
+            keys, stored = unmixed(keys), counts > 1
+            segment = build_segment(keys[stored], counts[stored], settings.base, for_pairs)
+            level = read_back(segment, keys, for_pairs)
             out.append((11, bucket, "", segment, 0, 0, 0.0))
-            if len(keys):
-                keep = kept(read_back(segment, keys, for_pairs), mean)
-                first = keys >> U64(SECOND_BITS)
-                edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-                out.append((12, bucket, "", _zip(first[edge].astype("<u8"), np.add.reduceat(keep, edge)), 0, 0, 0.0))
+            if stored.any():
+                first, inverse = np.unique(keys[stored] >> U64(SECOND_BITS), return_inverse=True)
+                out.append((12, bucket, "", _zip(first.astype("<u8"), np.bincount(inverse, weights=kept(level[stored], mean))), 0, 0, 0.0))
+            sent = np.empty(len(order), np.uint8)
+            sent[order] = level[np.cumsum(new) - 1]
+            out += [(1, bucket, name, _zip(sent[a:b]), 0, 0, 0.0) for name, a, b in zip(table.column("block").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         else:
             number, totals, held = Numbering(), np.zeros(0, np.int64), []
             for name, body in zip(table.column("block").to_pylist(), bodies, strict=True):
@@ -371,12 +421,12 @@ def _reduce(settings: Settings, words: float):  # noqa: ANN202
                 totals[ids] += total
                 held.append((name, ids))
             totals = totals[: len(number)]
-            out += [(0, bucket, name, _zip(totals[ids].astype("<i8")), 0, 0, 0.0) for name, ids in held]
-            met = totals > 0
-            keys = word_keys(token_hashes(list(number))[met])
-            segment = build_segment(keys, totals[met], settings.base, for_words)
-            mass = float((mean[read_back(segment, keys, for_words)] + 0.1).sum())
-            out.append((10, bucket, "", segment, int(totals.sum()), int(met.sum()), mass))
+            met, hashes = totals > 0, token_hashes(list(number))
+            keys = word_keys(hashes)
+            segment = build_segment(keys[met], totals[met], settings.base, for_words)
+            level = read_back(segment, keys, for_words)
+            out += [(0, bucket, name, _zip(totals[ids].astype("<i8"), level[ids], hashes[ids].astype("<u8")), 0, 0, 0.0) for name, ids in held]
+            out.append((10, bucket, "", segment, int(totals.sum()), int(met.sum()), float((mean[level[met]] + 0.1).sum())))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "bucket", "block", "body", "n_train", "n_distinct", "mass"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     return run
@@ -405,23 +455,50 @@ def _firsts(reduced: DataFrame, buckets: int) -> DataFrame:
     return rows_.groupBy("bucket").applyInArrow(summed, "kind int, bucket int, body binary")
 
 
+def _with_kept(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """A bucket's answers to words (kind 0), each with K behind it; left: the bucket's K."""
+    if not right.num_rows:
+        return right
+    first, keep = _unzip(left.column("body")[0].as_py(), "<u8", "<f8") if left.num_rows else (np.zeros(0, "<u8"), np.zeros(0))
+    got = []
+    for body in right.column("body"):
+        totals, level, hashes = _unzip(body.as_py(), "<i8", "u1", "<u8")
+        got.append(_zip(totals, level, hashes, look_up(first, keep, first_keys(hashes))))
+    return right.set_column(right.schema.get_field_index("body"), "body", pa.array(got, pa.binary()))
+
+
 _BASE = "doc_id long, fingerprint long, held_out boolean, n_tokens long, n_known long, log_sum double"
 
 
-def _gather(key: tuple, table: pa.Table) -> pa.Table:
-    """The rows of one block: their words' totals, sent back by all buckets, at the places where the words occur."""
-    own, totals = None, []
-    for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body"), strict=True):
-        if kind == 2:
-            own = _unzip(body.as_py(), "<i8", "u1", "<i8", "u1", "<i8", "<u4", "<u4", "<u4")
-        else:
-            totals.append((bucket, _unzip(body.as_py(), "<i8")[0]))
-    doc, null, mark, held, n, n_places, row, times = own
-    total = np.concatenate([t for _, t in sorted(totals, key=lambda x: x[0])])
-    each = np.repeat(total, n_places)
-    logs = np.bincount(row, weights=np.log10(each + 0.1) * times, minlength=len(doc))
-    known = np.bincount(row, weights=(each > 0) * times.astype(np.float64), minlength=len(doc)).astype(np.int64)
-    return pa.table({"doc_id": pa.array(doc, mask=null.astype(bool)), "fingerprint": mark, "held_out": pa.array(held.astype(bool)), "n_tokens": n, "n_known": known, "log_sum": logs})
+def _gather(mass: float, mean: np.ndarray, scored: bool):  # noqa: ANN202
+    """The rows of one block, which meets the answers of all buckets; `scored`: with the score, for which words must have K
+    and the pairs must have been answered."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        own, words, pairs = None, [], []
+        for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body"), strict=True):
+            if kind == 2:
+                own = _unzip(body.as_py(), "<i8", "u1", "<i8", "u1", "<i8", "u1")
+            elif kind == 1:
+                pairs.append((bucket, body.as_py()))
+            else:
+                words.append((bucket, body.as_py()))
+        doc, null, mark, held, n, planes = own
+        starts = np.concatenate([[0], np.cumsum(n)])
+        ids = _from_planes(planes, int(starts[-1]))
+        opened = [_unzip(x, "<i8", "u1", "<u8", *(["<f8"] if scored else [])) for _, x in sorted(words, key=lambda w: w[0])]
+        total, level, hashes, *after = (np.concatenate(x) for x in zip(*opened, strict=True))
+        sums = lambda x: np.add.reduceat(x[ids], starts[:-1])  # noqa: E731  every text has a token
+        out = {"doc_id": pa.array(doc, mask=null.astype(bool)), "fingerprint": mark, "held_out": pa.array(held.astype(bool)), "n_tokens": n, "n_known": sums((total > 0).astype(np.int64)), "log_sum": sums(np.log10(total + 0.1))}
+        if scored:
+            (after,), before = after, before_in_texts(ids, starts, ids[-1])
+            inverse = np.unique(mixed(pair_keys(hashes, before, ids)), return_inverse=True)[1]
+            pair = np.concatenate([_unzip(x, "u1")[0] for _, x in sorted(pairs, key=lambda p: p[0])])
+            keep = np.where((after > 0)[before] & (level > 0)[ids], kept(pair, mean)[inverse], 0.0)
+            out["score"] = np.add.reduceat(np.log10(probabilities(level, before, ids, after, keep, mass, mean)), starts[:-1])
+        return pa.table(out)
+
+    return run
 
 
 @dataclass
@@ -509,88 +586,6 @@ def _scorer(held):  # noqa: ANN001, ANN202
     return run
 
 
-def _requests(b: _Block, name: str, buckets: int) -> list[tuple]:
-    """(kind, bucket, block, sorted distinct keys) of what a block asks: words (10), pairs (11), first words (12)."""
-    out = []
-    for kind, keys in ((10, np.unique(word_keys(b.hashes))), (11, np.unique(b.pairs()))):
-        out += [(kind, k, name, _pack(keys[own], np.ones(len(own), np.int64))) for k, own in _by_bucket(kind - 10, keys, buckets)]
-    first = np.unique(first_keys(b.hashes))
-    bucket = _range(first, buckets)
-    return out + [(12, k, name, _zip(first[bucket == k].astype("<u8"))) for k in np.unique(bucket).tolist()]
-
-
-def _asked(settings: Settings, buckets: int):  # noqa: ANN202
-    """What each block asks of the filter, and the block itself (kind 3)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for serial, b in enumerate(blocks(batches, settings.block_bytes)):
-            name = f"{part}.{serial}"
-            text = np.frombuffer(b" ".join([b.tokens[i] for i in b.ids[b.ids != b.number[END]].tolist()]), np.uint8)
-            body = _zip(*_rows_of(b), np.diff(b.starts).astype("<u4"), text)
-            out = [*_requests(b, name, buckets), (3, 0, name, body)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["kind", "bucket", "block", "body"])
-
-    return run
-
-
-def _answers(requests: DataFrame, parts: DataFrame, depths: tuple[Depth, Depth]) -> DataFrame:
-    """kind, bucket, block, body: levels, or K, of the keys asked for, in their order."""
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return right.select(["kind", "bucket", "block", "body"])
-        kind = right.column("kind")[0].as_py()
-        if kind == 12:
-            first, keep = _unzip(left.column("body")[0].as_py(), "<u8", "<f8") if left.num_rows else (np.zeros(0, "<u8"), np.zeros(0))
-            got = [look_up(first, keep, _unzip(x.as_py(), "<u8")[0]).tobytes() for x in right.column("body")]
-        else:
-            segment = left.column("body")[0].as_py() if left.num_rows else b""
-            got = [read_back(segment, _unpack(x.as_py())[0], depths[kind - 10]).tobytes() for x in right.column("body")]
-        return pa.table({"kind": right.column("kind"), "bucket": right.column("bucket"), "block": right.column("block"), "body": pa.array(got, pa.binary())})
-
-    return parts.select("kind", "bucket", "body").groupBy("kind", "bucket").cogroup(requests.groupBy("kind", "bucket")).applyInArrow(run, _COUNTED)
-
-
-def _scored_by_shuffle(all_rows: DataFrame, parts: DataFrame, settings: Settings, buckets: int, mass: float, words: float) -> DataFrame:
-    """The scores without a broadcast: blocks ask the segments for levels by a shuffle, then meet their answers."""
-    asked = checkpointed(all_rows.mapInArrow(_asked(settings, buckets), _COUNTED))
-    mean = expected(settings.base)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        answers: dict[int, list] = {10: [], 11: [], 12: []}
-        own = None
-        for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body"), strict=True):
-            if kind == 3:
-                own = _unzip(body.as_py(), "<i8", "u1", "<i8", "<u4", "u1")
-            else:
-                answers[kind].append((bucket, body.as_py()))
-        joined = {k: b"".join(x for _, x in sorted(v, key=lambda a: a[0])) for k, v in answers.items()}
-        *row, n, text = own
-        tokens, at, texts = text.tobytes().split(), 0, []
-        for k in (n.astype(np.int64) - 1).tolist():
-            texts.append(b" ".join(tokens[at : at + k]))
-            at += k
-        b = _Block([(None,)] * len(n), texts)
-
-        def place(kind: int, keys: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
-            """Answers for the keys of a block: they came for the distinct keys, sorted, bucket by bucket."""
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            got = np.frombuffer(joined[kind], "<f8" if kind == 12 else np.uint8)
-            if kind == 11:
-                order = np.argsort(bucket_of(1, distinct, buckets), kind="stable")
-                got, sorted_got = np.empty(len(distinct), np.uint8), got
-                got[order] = sorted_got
-            return got[inverse]
-
-        word, after = place(10, word_keys(b.hashes)), place(12, first_keys(b.hashes))
-        keep = np.where((after > 0)[b.before()] & (word > 0)[b.ids], kept(place(11, b.pairs()), mean), 0.0)
-        return pa.table(_out(*row, _summed(b, word, after, keep, mass, mean)))
-
-    answered = _answers(asked.where("kind <> 3"), parts, settings.depths(words))
-    return asked.where("kind = 3").unionByName(answered).groupBy("block").applyInArrow(run, _SCORED)
-
-
 @dataclass
 class _Learned:
     rows: DataFrame
@@ -616,9 +611,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     all_rows = all_rows.withColumn("fingerprint", F.xxhash64("doc_id", "text")).withColumn("held_out", crc_of_id() % 10 == 0)
     n_rows, n_bytes = all_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     words = n_bytes / 6 + n_rows  # a corpus has fewer distinct words than that
-    buckets = max(1, math.ceil(words / settings.bucket_tokens))
+    buckets = settings.buckets(words)
     counted = all_rows.mapInArrow(_count(settings, buckets), _COUNTED)
-    reduced = checkpointed(counted.groupBy("kind", "bucket").applyInArrow(_reduce(settings, words), _REDUCED))
+    reduced = checkpointed_alone(counted.groupBy("kind", "bucket").applyInArrow(_reduce(settings, words), _REDUCED))
     parts = reduced.where("kind in (10, 11)").select("kind", "bucket", "body").unionByName(checkpointed(_firsts(reduced, buckets)))
     none = F.lit(0)
     n_train, n_distinct, mass = reduced.where("kind = 10").agg(F.coalesce(F.sum("n_train"), none), F.coalesce(F.sum("n_distinct"), none), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
@@ -629,13 +624,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`."""
     got = learn(docs, id_col, text_col, settings)
-    base = got.reduced.where("kind in (0, 2)").select("kind", "bucket", "block", "body").groupBy("block").applyInArrow(_gather, _BASE)
-    if got.n_bytes <= settings.broadcast_bytes:
+    answers = got.reduced.where("kind in (0, 1, 2)").select("kind", "bucket", "block", "body")
+    mean, by_shuffle = expected(settings.base), got.n_bytes > settings.broadcast_bytes
+    if by_shuffle:
+        kept_after = got.parts.where("kind = 12").groupBy("bucket").cogroup(answers.where("kind = 0").groupBy("bucket"))
+        joined = answers.where("kind > 0").unionByName(kept_after.applyInArrow(_with_kept, _COUNTED)).groupBy("block").applyInArrow(_gather(got.mass, mean, True), f"{_BASE}, score double")
+    else:
+        base = answers.where("kind <> 1").groupBy("block").applyInArrow(_gather(got.mass, mean, False), _BASE)
         held = got.rows.sparkSession.sparkContext.broadcast(got.model(settings))
         scored = got.rows.select("doc_id", "text", "fingerprint", "held_out").mapInArrow(_scorer(held), _SCORED)
-    else:
-        scored = _scored_by_shuffle(got.rows, got.parts, settings, got.buckets, got.mass, got.words)
-    scored = scored.groupBy("fingerprint", "doc_id").agg(F.max("score").alias("score"))  # repeated rows have one score
+        scored = scored.groupBy("fingerprint", "doc_id").agg(F.max("score").alias("score"))  # repeated rows have one score
+        joined = base.join(scored.withColumnRenamed("doc_id", "_doc").withColumnRenamed("fingerprint", "_mark"), (F.col("fingerprint") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     norm = math.log10(got.n_train + 0.1 * (got.n_distinct + 1))
-    joined = base.join(scored.withColumnRenamed("doc_id", "_doc").withColumnRenamed("fingerprint", "_mark"), (F.col("fingerprint") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(got.n_train).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score")
